@@ -180,7 +180,7 @@ def repeats(docs: DataFrame) -> DataFrame:
             o = np.lexsort((at, pattern))
             pattern, at = pattern[o], at[o]
             first = np.flatnonzero(np.r_[True, (pattern[1:] != pattern[:-1]) | (at[1:] != at[:-1] + 1)]) if len(at) else np.zeros(0, np.int64)
-            last = np.r_[first[1:], len(at)] - 1
+            last = (np.r_[first[1:], len(at)] - 1)[: len(first)]
             runs = pattern[first], at[first], at[last] + SPAN
             # Each run, for each place at which the smallest document holds the stretch.
             mine = np.flatnonzero(~covered)
