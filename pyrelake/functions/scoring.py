@@ -13,7 +13,7 @@ def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
 def confidence(raw: Column) -> Column:
     """Letters and words to 33, 66, 100; numbers truncated and clamped; anything else 0."""
     t = F.lower(F.trim(raw))
-    return F.when(t.isin("l", "low"), 33).when(t.isin("n", "nominal"), 66).when(t.isin("h", "high"), 100).otherwise(F.coalesce(F.greatest(F.lit(0), F.least(F.lit(100), t.try_cast("double").cast("int"))), F.lit(0)))
+    return F.when(t.isin("l", "low"), 33).when(t.isin("n", "nominal"), 66).when(t.isin("h", "high"), 100).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(t.try_cast("double").cast("int"), F.lit(0)))))
 
 
 def steps(x: Column, bounds: list[tuple[float, str]], otherwise: str, strict: bool = False) -> Column:

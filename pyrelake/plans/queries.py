@@ -137,7 +137,7 @@ query("ingest_dedup", f"SELECT min(id) AS id, h AS detection_hash FROM (SELECT i
     lambda s, d: ingest.new_only(hashed(s, d).filter("detected_at >= timestamp_ntz'2024-01-15'"), hashed(s, d).filter("detected_at < timestamp_ntz'2024-01-15'")).select("id", "detection_hash")
 )
 RAW = "CASE WHEN event_id % 5 = 0 THEN ' Low ' WHEN event_id % 5 = 1 THEN 'n' WHEN event_id % 5 = 2 THEN 'HIGH' WHEN event_id % 5 = 3 THEN CAST(event_id % 150 - 20 AS VARCHAR(9)) ELSE 'x?' END"
-query("ingest_confidence", f"SELECT event_id, CASE WHEN t IN ('l', 'low') THEN 33 WHEN t IN ('n', 'nominal') THEN 66 WHEN t IN ('h', 'high') THEN 100 ELSE coalesce(greatest(0, least(100, TRY_CAST(t AS INT))), 0) END AS confidence FROM (SELECT event_id, lower(trim({RAW})) AS t FROM events)")(
+query("ingest_confidence", f"SELECT event_id, CASE WHEN t IN ('l', 'low') THEN 33 WHEN t IN ('n', 'nominal') THEN 66 WHEN t IN ('h', 'high') THEN 100 ELSE greatest(0, least(100, coalesce(TRY_CAST(t AS INT), 0))) END AS confidence FROM (SELECT event_id, lower(trim({RAW})) AS t FROM events)")(
     lambda s, d: table(s, d, "events").select("event_id", scoring.confidence(F.expr(RAW)).alias("confidence"))
 )
 query("ingest_time", "SELECT event_id, ts::DATE + INTERVAL 1 HOUR * (event_id % 24) + INTERVAL 1 MINUTE * (event_id % 60) AS at FROM events")(
