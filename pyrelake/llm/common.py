@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text gathered in a Python task before a block is worked off; bounds the memory of a task.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -97,6 +97,15 @@ def runs_of(sorted_keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(s, [*s[1:], len(sorted_keys)], strict=True)) if s else []
 
 
+def planes(a: np.ndarray) -> bytes:
+    """32-bit integers byte by byte, the lowest bytes first: compresses better."""
+    return a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64)."""
     x = x.astype(np.uint64, copy=True)
@@ -109,14 +118,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def shared_keys(docs: DataFrame, keys_of: Callable[[np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray]], n_buckets: int) -> DataFrame:
-    """(doc_id, keys): the keys of each document that at least one other document holds too.
+    """(doc_id, key): the keys of each document that at least one other document holds too.
 
     ``keys_of`` maps a block of texts to (64-bit keys, index of the document). Keys are dealt to buckets as
     compressed blocks of 32-bit prints, sorted there, and those with two documents sent back. A key that several
     documents of one block hold is known as shared already: one entry of it is dealt, so that a key in a third of all
-    rows adds one entry a block. Prints may collide, which only adds keys: exact checks follow. ``keys`` holds
-    little-endian unsigned 64-bit integers (bucket and print); a document has a row for each bucket, and several
-    rows may repeat a key.
+    rows adds one entry a block. Prints may collide, which only adds keys: exact checks follow. ``key`` is bucket and
+    print as a signed 64-bit integer; several rows may repeat a (document, key).
     """
     import zstandard
 
@@ -141,7 +149,7 @@ def shared_keys(docs: DataFrame, keys_of: Callable[[np.ndarray, list[bytes]], tu
             bucket = (full >> np.uint64(32)).astype(np.int64)
             for s, e in runs_of(bucket):
                 who, local = np.unique(doc[s:e], return_inverse=True)
-                blob = np.array([e - s, len(who)], "<u4").tobytes() + who.astype("<i8").tobytes() + (full[s:e] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + local.astype("<u4").tobytes() + many[s:e].tobytes()
+                blob = np.array([e - s, len(who)], "<u4").tobytes() + who.astype("<i8").tobytes() + planes(np.diff(full[s:e] & np.uint64(0xFFFFFFFF), prepend=np.uint64(0))) + planes(local) + many[s:e].tobytes()
                 rows.append((int(bucket[s]), None, press.compress(blob)))
             for s in range(0, len(rows), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[s : s + 2000]], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["bucket", "doc_id", "keys"])
@@ -154,9 +162,10 @@ def shared_keys(docs: DataFrame, keys_of: Callable[[np.ndarray, list[bytes]], tu
             n, k = np.frombuffer(raw, "<u4", 2)
             o = 8 + 8 * int(k)
             who = np.frombuffer(raw, "<i8", int(k), 8)
-            prints.append(np.frombuffer(raw, "<u4", int(n), o))
-            docs_.append(who[np.frombuffer(raw, "<u4", int(n), o + 4 * int(n))])
-            flags.append(np.frombuffer(raw, bool, int(n), o + 8 * int(n)))
+            n = int(n)
+            prints.append(np.cumsum(from_planes(raw[o : o + 4 * n]), dtype=np.uint32))
+            docs_.append(who[from_planes(raw[o + 4 * n : o + 8 * n])])
+            flags.append(np.frombuffer(raw, bool, n, o + 8 * n))
         p, d, f = np.concatenate(prints), np.concatenate(docs_), np.concatenate(flags)
         o = np.argsort(p, kind="stable")
         p, d = p[o], d[o]
@@ -165,20 +174,23 @@ def shared_keys(docs: DataFrame, keys_of: Callable[[np.ndarray, list[bytes]], tu
         p, d = p[two], d[two]
         o = np.argsort(d, kind="stable")
         p, d = p[o], d[o]
-        for s, e in runs_of(d):
-            yield int(d[s]), (p[s:e].astype("<u8") | np.uint64(bucket << 32)).astype("<u8").tobytes()
+        return d, p.astype(np.int64) | (bucket << 32)
 
     def meet(batches):
+        def table(d, k):
+            for s in range(0, len(d), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(d[s : s + 100_000]), pa.array(k[s : s + 100_000])], ["doc_id", "key"])
+
         def flush(bucket, blobs):
-            rows = list(settle(bucket, blobs)) if blobs else []
-            for s in range(0, len(rows), 5000):
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[s : s + 5000]], pa.int64()), pa.array([r[1] for r in rows[s : s + 5000]], pa.binary())], ["doc_id", "keys"])
+            if blobs:
+                yield from table(*settle(bucket, blobs))
 
         now, blobs = None, []
         for b in batches:
             ready = pa.compute.is_valid(b.column(1))
             if (own := b.filter(ready)).num_rows:
-                yield pa.RecordBatch.from_arrays([own.column(1), own.column(2)], ["doc_id", "keys"])
+                keys = [np.frombuffer(k, "<i8") for k in own.column(2).to_pylist()]
+                yield from table(np.repeat(own.column(1).to_numpy(), [len(k) for k in keys]), np.concatenate(keys))
             rest = b.filter(pa.compute.invert(ready))
             for bucket, z in zip(rest.column(0).to_pylist(), rest.column(2).to_pylist(), strict=True):
                 if bucket != now:
@@ -191,7 +203,7 @@ def shared_keys(docs: DataFrame, keys_of: Callable[[np.ndarray, list[bytes]], tu
 
     dealt = docs.select("doc_id", "text").mapInArrow(deal, "bucket long, doc_id long, keys binary")
     parts = min(n_buckets, 8192)
-    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "doc_id long, keys binary")
+    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "doc_id long, key long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def suffix_order(t: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         key = key << np.uint64(9) | padded[i : i + n]
     depth, equal = 7, None
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.r_[True, key[order][1:] != key[order][:-1]]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)

@@ -1,14 +1,14 @@
 """Suffix-array dedup by run-length indexes: removes long strings that an earlier document holds too.
 
 A byte goes if it is covered by a ``SPAN``-byte string that also starts in a document with a smaller doc_id. Every such string has a
-minimizer, the 16-byte string in it with the smallest hash, and equal strings have equal minimizers, so texts meet by
+minimizer, the 24-byte string in it with the smallest hash, and equal strings have equal minimizers, so texts meet by
 them instead of each against each:
 
 1. minimizers that one document alone holds are dropped (:func:`common.shared_keys`);
 2. the stretches of text under each remaining one (all strings that share it, joined) are dealt to buckets by it;
    equal stretches of one block of documents are sent once, the later documents being covered already;
-3. in a bucket, equal stretches are merged, and a run-length index (:mod:`run_index`) is built over those whose
-   minimizer has more than one text. Matching statistics of these are streamed through the index; a match of
+3. in a bucket, equal stretches are merged, and run-length indexes (:mod:`run_index`) are built over those whose
+   minimizer has more than one text, all texts of a minimizer in one. Matching statistics of these are streamed through the index; a match of
    ``SPAN`` bytes or more whose smallest document is earlier is marked;
 4. marks are merged for each document and its bytes are cut.
 
@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, buckets_for, mix, runs_of, shared_keys, prepare, volume
+from .common import BLOCK_BYTES, buckets_for, mix, runs_of, shared_keys, prepare, volume
 from .run_index import RunIndex
 
-SPAN, GRAM = 50, 16
+SPAN, GRAM = 50, 24
 #: Stretches are cut at this many starting positions.
 LONGEST = 4096
+#: Text of one run-length index; a minimizer with more has a larger one.
+INDEX_BYTES = 1 << 20
 CHUNK = 1 << 18
 
 
@@ -43,13 +45,11 @@ def stretches(text: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray
     padded = np.r_[text, np.zeros(GRAM, np.uint8)]
     for s in range(0, n, CHUNK):
         m = min(CHUNK, n - s) + SPAN - GRAM  # hashes that these windows need
-        a = np.ndarray((m,), "<u8", padded, s, (1,))
-        b = np.ndarray((m,), "<u8", padded, s + 8, (1,))
-        h = a * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-        h += b
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(29)
+        h = np.zeros(m, np.uint64)
+        for at in range(0, GRAM, 8):
+            h += np.ndarray((m,), "<u8", padded, s + at, (1,))
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(31)
         width, want = 1, SPAN - GRAM + 1
         while 2 * width <= want:
             h = np.minimum(h[:-width], h[width:])
@@ -95,14 +95,15 @@ def merged(pairs: np.ndarray) -> np.ndarray:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, spans) of the bytes to remove; several rows a document."""
+    import pyarrow.compute  # noqa: F401
     import zstandard
 
     n_buckets = buckets_for(volume(docs))
-    lists = shared_keys(docs, keys_of, n_buckets).groupBy("doc_id").agg(F.collect_list("keys").alias("lists"))  # bounded by the document's own keys
-    asked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(lists, "doc_id")
+    lists = shared_keys(docs, keys_of, n_buckets).groupBy("doc_id").agg(F.collect_list("key").alias("lists"))  # bounded by the document's own keys
+    asked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(lists, "doc_id", "left")  # as below, so that one shuffle of the texts serves both
 
     def deal(batches):
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=5)
 
         def work(ids, texts, lists):
             text, doc, base = joined(texts)
@@ -111,7 +112,7 @@ def repeats(docs: DataFrame) -> DataFrame:
             keep = np.zeros(len(full), bool)
             ends = np.searchsorted(own, np.arange(len(texts) + 1))
             for d in range(len(texts)):
-                keep[ends[d] : ends[d + 1]] = np.isin(full[ends[d] : ends[d + 1]], np.frombuffer(b"".join(lists[d]), "<u8"))
+                keep[ends[d] : ends[d + 1]] = np.isin(full[ends[d] : ends[d + 1]], lists[d].view(np.uint64))
             full, own, at, count = full[keep], own[keep], at[keep], count[keep]
             cuts = -(-count // LONGEST)
             if (cuts > 1).any():
@@ -139,12 +140,16 @@ def repeats(docs: DataFrame) -> DataFrame:
 
         ids, texts, lists, n = [], [], [], 0
         for b in batches:
-            for i, t, k in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
+            b = b.filter(pa.compute.is_valid(b.column(2)))
+            if not b.num_rows:
+                continue
+            keys, ends = b.column(2).values.to_numpy(), b.column(2).offsets.to_numpy()[1:-1]
+            for i, t, k in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), np.split(keys, ends), strict=True):
                 ids.append(i)
                 texts.append(t)
                 lists.append(k)
                 n += len(t)
-                if n >= 12 << 20:
+                if n >= BLOCK_BYTES:
                     yield from work(np.array(ids, np.int64), texts, lists)
                     ids, texts, lists, n = [], [], [], 0
         if ids:
@@ -171,17 +176,29 @@ def repeats(docs: DataFrame) -> DataFrame:
         key_of = np.empty(len(unique), np.int64)
         key_of[which] = key
         _, group, size = np.unique(key_of, return_inverse=True, return_counts=True)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        length_of = np.array([len(u) for u in unique], np.int64)
+        longest = np.zeros(len(size), np.int64)
+        np.maximum.at(longest, group, length_of)
+        # Strings of one minimizer stay together; small indexes of strings alike in length work fastest.
         several = np.flatnonzero(size[group] > 1)
-        if len(several):
-            index = RunIndex([unique[i] for i in several], least[several], SPAN)
-            pattern, at, smallest = index.matches([unique[i] for i in several])
-            hit = smallest < least[several][pattern]
-            pattern, at = several[pattern[hit]], at[hit]
+        several = several[np.lexsort((group[several], longest[group[several]]))]
+        new = np.flatnonzero(np.r_[True, group[several][1:] != group[several][:-1]]) if len(several) else np.zeros(0, np.int64)
+        at_byte = np.cumsum(length_of[several])[new] // INDEX_BYTES if len(several) else new
+        cuts = new[np.r_[True, at_byte[1:] != at_byte[:-1]]].tolist() if len(several) else []
+        for low_cut, high_cut in zip(cuts, [*cuts[1:], len(several)], strict=True):
+            part = several[low_cut:high_cut]
+            strings_of = [unique[i] for i in part]
+            pattern, at, smallest = RunIndex(strings_of, least[part], SPAN).matches(strings_of)
+            hit = smallest < least[part][pattern]
+            pattern, at = part[pattern[hit]], at[hit]
             o = np.lexsort((at, pattern))
             pattern, at = pattern[o], at[o]
             first = np.flatnonzero(np.r_[True, (pattern[1:] != pattern[:-1]) | (at[1:] != at[:-1] + 1)]) if len(at) else np.zeros(0, np.int64)
             last = (np.r_[first[1:], len(at)] - 1)[: len(first)]
-            runs = pattern[first], at[first], at[last] + SPAN
+            found.append((pattern[first], at[first], at[last] + SPAN))
+        if found:
+            runs = tuple(np.concatenate(x) for x in zip(*found, strict=True))
             # Each run, for each place at which the smallest document holds the stretch.
             mine = np.flatnonzero(~covered)
             mine = mine[np.argsort(which[mine], kind="stable")]
