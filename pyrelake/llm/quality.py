@@ -49,7 +49,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 2000, train_bytes:
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.when(F.col("y") == 1, int(min(1.0, train_docs / sizes.get(1, 1)) * 1_000_000)).otherwise(int(min(1.0, train_docs / sizes.get(0, 1)) * 1_000_000))
     sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
-    rows = sample.join(docs.select("doc_id", F.substring("text", 1, train_chars).alias("text")), "doc_id").select("doc_id", "y", "text").collect()  # at most about 2 * train_docs texts
+    rows = docs.select("doc_id", F.substring("text", 1, train_chars).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text").collect()  # at most about 2 * train_docs texts
     rows = sorted(((r["doc_id"], r["y"], (r["text"] or "").encode()) for r in rows), key=lambda r: (r[0], r[1], r[2]))
     total = sum(sizes.values())
     prior = sizes.get(1, 0) / total if total else 0.5
