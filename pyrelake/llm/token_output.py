@@ -31,28 +31,30 @@ class Encoder:
     """The tokenizers library behind a bounded cache of what stands between two splits.
 
     A space before a character that is no white space always starts a new pre-token of a byte-level BPE, so a text
-    may be cut there: the pieces' ids, joined, are the text's ids.
+    may be cut there: the pieces' ids, joined, are the text's ids. The cache has two generations.
     """
 
-    LIMIT = 300_000
+    LIMIT = 400_000
 
     def __init__(self, path: str):
         import re
 
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.former = Tokenizer.from_file(path), {}, {}
         self.cut, self.wide = re.compile(r" (?=\S)"), re.compile(r" (?!\S)")
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > self.LIMIT:
-            self.known = {}
+            self.known, self.former = {}, self.known
         cut = []
         for t in texts:
             p = self.cut.split(t) if self.wide.search(t) else t.split(" ")
             cut.append([p[0], *map(" ".__add__, p[1:])])
         new = list({p for ps in cut for p in ps if p not in self.known})
-        known = self.known
+        known, former = self.known, self.former
+        known.update([(p, former[p]) for p in new if p in former])
+        new = [p for p in new if p not in known]
         for s in range(0, len(new), 5000):
             for p, e in zip(new[s : s + 5000], self.tokenizer.encode_batch_fast(new[s : s + 5000], add_special_tokens=False), strict=True):
                 known[p] = np.array(e.ids, "<u4").tobytes()
