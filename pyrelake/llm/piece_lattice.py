@@ -1,6 +1,9 @@
 """SentencePiece encoding and decoding with exact N-best segmentations.
 
-A text is normalised as the model does, and cut before each run of the space mark: no piece of the vocabulary reaches
+The first result is the model's own encoding of the whole text. The model merges pairs by rank, so this is in general
+not the segmentation with the largest sum of scores. ``nbest_scores`` are the largest sums that the lattice has.
+
+For the lattice a text is normalised as the model does, and cut before each run of the space mark: no piece of the vocabulary reaches
 over such a cut (checked when the model is loaded), so the lattice of the text is the chain of the lattices of its
 segments; a segment is cut further between characters that no piece holds side by side. For each part, a forward Viterbi pass gives the best score up to every position; from the end, A* search
 over partial paths uses these scores as its exact heuristic and so yields complete segmentations in falling order.
@@ -47,6 +50,7 @@ class PieceModel:
                 self.bytes_of[i] = p.encode()
                 if SPACE in p.lstrip(SPACE):
                     raise ValueError(f"piece {p!r} reaches over a segment")
+        self.score_of = np.array([self.scores.get(i, 0.0) for i in range(sp.get_piece_size())])
         self.longest = max(map(len, self.pieces))
         self.joined = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -137,10 +141,15 @@ class PieceModel:
         return self.sp.normalize(text) if text else ""
 
     def encode(self, text: str, n: int) -> tuple[bytes, list[float]]:
-        """Ids of the best segmentation of a text, and the scores of its n best."""
+        """Ids of the lattice's best segmentation of a text, and the scores of its n best."""
         parts = [self.segment(s, n) for s in self.cut.findall(self.normalize(text))]
         return b"".join([ids for ids, _ in parts]), self.combine([scores for _, scores in parts], n)
 
+    def own(self, text: str) -> tuple[bytes, float]:
+        """The model's encoding of a text, and the sum of its scores."""
+        ids = np.array(self.sp.encode(text), "<u4")
+        return ids.tobytes(), float(self.score_of[ids].sum())
+
     def decode(self, ids: bytes) -> str:
         """The normalised text of ids."""
         return b"".join([self.bytes_of[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
@@ -153,7 +162,7 @@ def model(path: str) -> PieceModel:
 
 
 def encode_pieces(docs: DataFrame, model_path: str, n_best: int = 4) -> DataFrame:
-    """One row per document: size and hash of the best ids, the scores of the n best, and whether decoding them gives the normalised text."""
+    """One row per document: size, hash and score of the model's ids, the scores of the n best, and whether decoding them gives the normalised text."""
     prepare(docs.sparkSession)
 
     def run(batches):
@@ -161,9 +170,10 @@ def encode_pieces(docs: DataFrame, model_path: str, n_best: int = 4) -> DataFram
         for b in batches:
             rows = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids, scores = m.encode(text or "", n_best)
+                ids, score = m.own(text or "")
+                _, scores = m.encode(text or "", n_best)
                 back = m.decode(ids)
-                rows.append((i, len(ids) // 4, zlib.crc32(ids), scores[0], scores, zlib.crc32(back.encode()), back == m.normalize(text or "")))
+                rows.append((i, len(ids) // 4, zlib.crc32(ids), score, scores, zlib.crc32(back.encode()), back == m.normalize(text or "")))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [c.split()[0] for c in SCHEMA.split(", ")])
 

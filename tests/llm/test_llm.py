@@ -273,6 +273,20 @@ def test_pieces(spark):
     assert piece_lattice.encode_pieces(spark.createDataFrame([], EMPTY), path).count() == 0
 
 
+def test_pieces_are_the_models(spark):
+    """The op5 query's ids are those of the model's own encoder on whole texts."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_path("piece_bpe_32k.model"))
+    got = rows(queries.op5_piece_lattice(spark, SF))
+    docs = documents(spark)
+    assert got.keys() == docs.keys()
+    for i, text in docs.items():
+        ids = sp.encode(text or "")
+        assert (got[i]["n_pieces"], got[i]["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert got[i]["best_score"] == sum(sp.get_score(k) for k in ids)
+
+
 # 6
 
 
