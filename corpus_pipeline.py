@@ -38,7 +38,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as pieces."""
-    return piece_lattice.encode_pieces(docs, tokenizer_path("piece_bpe_32k.model"))
+    return piece_lattice.digest(piece_lattice.encode_pieces(docs, tokenizer_path("piece_bpe_32k.model")))
 
 
 STAGES = [("language_id", identify), ("exact_dedup", exact), ("ngram_join", near), ("decontaminate", clean), ("piece_lattice", pieces)]

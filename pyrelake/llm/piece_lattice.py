@@ -1,13 +1,18 @@
 """SentencePiece encoding and decoding with exact N-best segmentations.
 
 The first result is the model's own encoding of the whole text. The model merges pairs by rank, so this is in general
-not the segmentation with the largest sum of scores. ``nbest_scores`` are the largest sums that the lattice has.
+not the segmentation with the largest sum of scores. The alternatives after it are the lattice's segmentations with the
+largest sums, in falling order, without the model's own; their sums can exceed the first.
 
 For the lattice a text is normalised as the model does, and cut before each run of the space mark: no piece of the vocabulary reaches
 over such a cut (checked when the model is loaded), so the lattice of the text is the chain of the lattices of its
 segments; a segment is cut further between characters that no piece holds side by side. For each part, a forward Viterbi pass gives the best score up to every position; from the end, A* search
 over partial paths uses these scores as its exact heuristic and so yields complete segmentations in falling order.
-The N best of a text are the N smallest sums of losses, one segment's alternative at a time.
+The N best of a text are the N smallest sums of losses, one segment's alternative at a time; the alternatives chosen are
+carried along and give the ids.
+
+Decoding joins the pieces' bytes, drops the space mark that the model puts before a text and turns the other marks into
+spaces. A text that holds the mark itself comes back with spaces in its place: ``round_trip`` is false there.
 
 Characters that no piece covers fall back to byte pieces with the model's scores. Ties come in the order in which the
 search meets them, which depends on the segment alone. Null counts as empty text: no pieces, score 0, one segmentation. Repeated
@@ -18,16 +23,20 @@ from __future__ import annotations
 
 import heapq
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .common import prepare
 
 SPACE = "▁"
-SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, best_score double, nbest_scores array<double>, decoded_crc32 long, round_trip boolean"
+SCHEMA = "doc_id long, n_pieces long, ids array<int>, best_score double, nbest_ids array<array<int>>, nbest_scores array<double>, decoded string, round_trip boolean"
+#: Bytes of ids after which a task hands its rows on.
+FLUSH_BYTES = 8 << 20
+#: Segmentations, best first: the ids of each as little-endian u32, and the score of each.
+Best = tuple[tuple[bytes, ...], tuple[float, ...]]
 _models: dict[str, PieceModel] = {}
 
 
@@ -54,7 +63,7 @@ class PieceModel:
         self.longest = max(map(len, self.pieces))
         self.joined = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.known: dict[tuple[str, int], tuple[bytes, tuple[float, ...]]] = {}
+        self.known: dict[tuple[str, int], Best] = {}
         self.former = self.known
 
     def edges(self, s: str, end: int) -> list[tuple[int, tuple[int, ...], float]]:
@@ -108,8 +117,8 @@ class PieceModel:
                 start = k
         return [*out, s[start:]]
 
-    def segment(self, s: str, n: int) -> tuple[bytes, tuple[float, ...]]:
-        """Best ids (little-endian u32) and the n best scores, from a cache of two bounded generations."""
+    def segment(self, s: str, n: int) -> Best:
+        """The n best segmentations of one segment, from a cache of two bounded generations."""
         key = (s, n)
         if (got := self.known.get(key)) is not None:
             return got
@@ -117,33 +126,51 @@ class PieceModel:
             links = self.links(s)
             if len(links) == 1:
                 found = self.nbest(s, n)
-                got = np.array(found[0][1], "<u4").tobytes(), tuple([score for score, _ in found])
+                got = tuple([np.array(ids, "<u4").tobytes() for _, ids in found]), tuple([score for score, _ in found])
             else:
-                parts = [self.segment(link, n) for link in links]
-                got = b"".join([ids for ids, _ in parts]), tuple(self.combine([scores for _, scores in parts], n))
+                got = self.combine([self.segment(link, n) for link in links], n)
         if len(self.known) >= self.LIMIT:
             self.known, self.former = {}, self.known
         self.known[key] = got
         return got
 
     @staticmethod
-    def combine(parts: list[tuple[float, ...]], n: int) -> list[float]:
-        """The n best sums of one score of each part."""
-        best = float(sum([p[0] for p in parts]))
+    def combine(parts: list[Best], n: int) -> Best:
+        """The n best choices of one segmentation of each part."""
+        first = [ids[0] for ids, _ in parts]
+        best = float(sum([scores[0] for _, scores in parts]))
         # Only the n - 1 parts with the smallest first losses can take part in the n best sums.
-        many = sorted([p for p in parts if len(p) > 1], key=lambda p: p[0] - p[1])[: n - 1] if n > 1 else []
-        losses = [0.0]
-        for p in many:
-            losses = sorted(a + p[0] - b for a in losses for b in p)[:n]
-        return [best - x for x in losses]
+        many = sorted([(scores[0] - scores[1], k) for k, (_, scores) in enumerate(parts) if len(scores) > 1])[: n - 1] if n > 1 else []
+        # (loss, the alternatives taken as (part, which)); the first is the best segmentation of every part.
+        ways: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
+        for _, k in many:
+            scores = parts[k][1]
+            ways = sorted([(loss + scores[0] - b, (*taken, (k, j)) if j else taken) for loss, taken in ways for j, b in enumerate(scores)], key=lambda w: w[0])[:n]
+        out = []
+        for _, taken in ways:
+            ids = first.copy() if taken else first
+            for k, j in taken:
+                ids[k] = parts[k][0][j]
+            out.append(b"".join(ids))
+        return tuple(out), tuple([best - loss for loss, _ in ways])
 
     def normalize(self, text: str) -> str:
         return self.sp.normalize(text) if text else ""
 
+    def lattice(self, text: str, n: int) -> Best:
+        """The n segmentations of a text with the largest sums of scores."""
+        return self.combine([self.segment(s, n) for s in self.cut.findall(self.normalize(text))], n)
+
     def encode(self, text: str, n: int) -> tuple[bytes, list[float]]:
         """Ids of the lattice's best segmentation of a text, and the scores of its n best."""
-        parts = [self.segment(s, n) for s in self.cut.findall(self.normalize(text))]
-        return b"".join([ids for ids, _ in parts]), self.combine([scores for _, scores in parts], n)
+        ids, scores = self.lattice(text, n)
+        return ids[0], list(scores)
+
+    def results(self, text: str, n: int) -> tuple[list[bytes], list[float]]:
+        """Ids and scores of the model's encoding and of the n - 1 best other segmentations."""
+        own, score = self.own(text)
+        others = [x for x in zip(*self.lattice(text, n), strict=True) if x[0] != own][: n - 1] if n > 1 else []
+        return [own, *[ids for ids, _ in others]], [score, *[s for _, s in others]]
 
     def own(self, text: str) -> tuple[bytes, float]:
         """The model's encoding of a text, and the sum of its scores."""
@@ -154,6 +181,10 @@ class PieceModel:
         """The normalised text of ids."""
         return b"".join([self.bytes_of[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
+    def plain(self, ids: bytes) -> str:
+        """The text of ids: without the mark that the model puts before a text, other marks as spaces."""
+        return self.decode(ids).removeprefix(SPACE).replace(SPACE, " ")
+
 
 def model(path: str) -> PieceModel:
     if path not in _models:
@@ -161,20 +192,56 @@ def model(path: str) -> PieceModel:
     return _models[path]
 
 
+def lists(blobs: list[bytes]) -> pa.ListArray:
+    """Ids as lists of 32-bit integers."""
+    ends = np.cumsum([0, *[len(x) // 4 for x in blobs]]).astype("<i4")
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(blobs), "<i4")))
+
+
+def table_of(rows: list[tuple[int, list[bytes], list[float], str, bool]]) -> pa.RecordBatch:
+    ids, found, scores, plain, same = ([r[k] for r in rows] for k in range(5))
+    ends = np.cumsum([0, *[len(x) for x in found]]).astype("<i4")
+    columns = [
+        pa.array(ids, pa.int64()),
+        pa.array([len(x[0]) // 4 for x in found], pa.int64()),
+        lists([x[0] for x in found]),
+        pa.array([x[0] for x in scores], pa.float64()),
+        pa.ListArray.from_arrays(pa.array(ends), lists([x for f in found for x in f])),
+        pa.array(scores, pa.list_(pa.float64())),
+        pa.array(plain, pa.string()),
+        pa.array(same, pa.bool_()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCHEMA.split(", ")])
+
+
 def encode_pieces(docs: DataFrame, model_path: str, n_best: int = 4) -> DataFrame:
-    """One row per document: size, hash and score of the model's ids, the scores of the n best, and whether decoding them gives the normalised text."""
+    """One row per document: the model's ids and their score, ids and scores of the n best (the model's first), the text decoded from the model's ids, and whether it is the document's."""
     prepare(docs.sparkSession)
 
     def run(batches):
         m = model(model_path)
         for b in batches:
-            rows = []
+            rows, size = [], 0
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids, score = m.own(text or "")
-                _, scores = m.encode(text or "", n_best)
-                back = m.decode(ids)
-                rows.append((i, len(ids) // 4, zlib.crc32(ids), score, scores, zlib.crc32(back.encode()), back == m.normalize(text or "")))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [c.split()[0] for c in SCHEMA.split(", ")])
+                found, scores = m.results(text or "", n_best)
+                back = m.plain(found[0])
+                rows.append((i, found, scores, back, back == (text or "")))
+                size += sum([len(x) for x in found])
+                if size >= FLUSH_BYTES:
+                    yield table_of(rows)
+                    rows, size = [], 0
+            if rows:
+                yield table_of(rows)
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def crc32_of(ids: str) -> Column:
+    """crc32 of a list of ids as little-endian u32."""
+    turned = "shiftleft(cast(x & 255 AS bigint), 24) | shiftleft(x & 65280, 8) | (shiftright(x, 8) & 65280) | (shiftright(x, 24) & 255)"
+    return F.expr(f"crc32(unhex(array_join(transform({ids}, x -> substring(hex(4294967296 | {turned}), 2)), '')))")
+
+
+def digest(pieces: DataFrame) -> DataFrame:
+    """The rows of :func:`encode_pieces` with hashes for ids and text."""
+    return pieces.select("doc_id", "n_pieces", crc32_of("ids").alias("ids_crc32"), "best_score", "nbest_scores", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), "round_trip", F.xxhash64("nbest_ids").alias("nbest_xxhash64"))

@@ -35,7 +35,7 @@ def op4_token_output(spark, sf_dir):
 
 
 def op5_piece_lattice(spark, sf_dir):
-    return piece_lattice.encode_pieces(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return piece_lattice.digest(piece_lattice.encode_pieces(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")))
 
 
 def op6_quality(spark, sf_dir):

@@ -287,6 +287,27 @@ def test_pieces_are_the_models(spark):
         assert got[i]["best_score"] == sum(sp.get_score(k) for k in ids)
 
 
+def test_pieces_nbest_ids(spark):
+    """Ids of every result, and the text that they decode to."""
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    m, n = piece_lattice.model(path), 5
+    texts = ["the cat sat", "a", "", None, "é日 x", " in  it", "a\tb\n", "a▁b", *documents(spark).values()]
+    got = rows(piece_lattice.encode_pieces(table(spark, texts), path, n))
+    for i, text in enumerate(texts):
+        r, text = got[i], text or ""
+        own = m.sp.encode(text)
+        assert r["ids"] == r["nbest_ids"][0] == own and r["n_pieces"] == len(own) and r["best_score"] == r["nbest_scores"][0]
+        assert r["decoded"] == m.sp.decode(own) == text.replace("▁", " ") and r["round_trip"] == ("▁" not in text)
+        assert len({tuple(ids) for ids in r["nbest_ids"]}) == len(r["nbest_ids"]) == len(r["nbest_scores"])
+        assert [sum(m.scores[k] for k in ids) for ids in r["nbest_ids"]] == r["nbest_scores"]
+        assert all(m.sp.decode(ids) == r["decoded"] for ids in r["nbest_ids"])
+        assert r["nbest_scores"][1:] == sorted(r["nbest_scores"][1:], reverse=True)
+        if i < 8:
+            every = [t for t, ids in all_segmentations(m, m.normalize(text)) if list(ids) != own]
+            assert r["nbest_scores"][1:] == sorted(every, reverse=True)[: n - 1]
+    assert all(len(got[i]["nbest_ids"]) == n for i in range(8, len(texts)) if len(texts[i] or "") > 20)
+
+
 # 6
 
 
