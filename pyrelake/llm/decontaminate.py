@@ -7,14 +7,17 @@ windows is a candidate; then the words behind the placeholders are compared: the
 but the same value of the item must always get the same value (consistent slots). ``verbatim`` means no value differs,
 ``reparameterised`` that some do, consistently.
 
-Windows with fewer than half literal words don't count. An item shorter than a window forms one window of its own
+Windows with fewer than half literal words say too little as templates: they match by their words as they are (lower
+case), so copies of items made mostly of numbers and names are found, but such windows don't match with other values. Coverage is
+the larger of the share of all windows and that of the others. Below ``coverage``, ``run_words`` words of an item in one
+piece make a candidate too, whatever share of the item they are. An item shorter than a window forms one window of its own
 length; items without words match nothing. Null counts as empty text. Repeated documents get a row each pair of ids;
 repeated items likewise. Empty tables give an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import save, text_of
@@ -45,7 +48,7 @@ def template(text: Column) -> Column:
 
 
 def windows(templates: DataFrame, key: str, sizes: list[int]) -> DataFrame:
-    """(key, pos, size, h) of all windows of the given sizes."""
+    """(key, pos, size, h) of all windows of the given sizes over the words in t."""
 
     def of_size(n: int) -> Column:
         starts = F.when(F.size("t") >= n, F.sequence(F.lit(0), F.size("t") - n)).otherwise(F.array().cast("array<int>"))
@@ -55,27 +58,45 @@ def windows(templates: DataFrame, key: str, sizes: list[int]) -> DataFrame:
     return templates.select(key, F.inline(F.concat(*each) if len(each) > 1 else each[0]))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: float = 0.5, consistency: float = 0.8) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: float = 0.5, consistency: float = 0.8, run_words: int = 24) -> DataFrame:
     """One row for each contaminated (document, item): doc_id, item_id, n_windows, coverage, n_slots, consistency, verdict."""
     items = save(benchmark.select("item_id", text_of().alias("text")).select("item_id", template(F.col("text")).alias("t"), words(F.col("text")).alias("w")).filter(F.size("t") > 0))
     sizes = sorted(r["n"] for r in items.select(F.least(F.size("t"), F.lit(window)).alias("n")).distinct().collect()) or [window]  # at most ``window`` numbers
     own = items.withColumn("n", F.least(F.size("t"), F.lit(window)))
+    lowered = F.transform("w", lambda w: F.lower(w)).alias("t")
     grams = None
     for n in sizes:
-        g = windows(own.filter(F.col("n") == n).select("item_id", "t"), "item_id", [n]).join(own.select("item_id", "t"), "item_id")
-        g = g.filter(F.size(F.filter(F.slice("t", F.col("pos") + 1, F.col("size")), lambda w: ~F.startswith(w, F.lit(MARK)))) * 2 >= F.col("size")).select("item_id", F.col("pos").alias("item_pos"), "size", "h")
+        sized = own.filter(F.col("n") == n)
+        g = windows(sized.select("item_id", "t"), "item_id", [n]).join(own.select("item_id", "t"), "item_id")
+        g = g.withColumn("thin", F.size(F.filter(F.slice("t", F.col("pos") + 1, F.col("size")), lambda w: ~F.startswith(w, F.lit(MARK)))) * 2 < F.col("size"))
+        raw = windows(sized.select("item_id", lowered), "item_id", [n]).withColumnRenamed("h", "raw").distinct()
+        g = g.join(raw, ["item_id", "pos", "size"]).select("item_id", F.col("pos").alias("item_pos"), "size", F.when(F.col("thin"), F.col("raw")).otherwise(F.col("h")).alias("h"), "thin")
         grams = g if grams is None else grams.union(g)
     grams = save(grams)
-    n_grams = grams.count()
-    hashes = F.broadcast(grams) if n_grams <= BROADCAST_WINDOWS else grams
+    count = {r["thin"]: r["n"] for r in grams.groupBy("thin").agg(F.count(F.lit(1)).alias("n")).collect()}
     texts = docs.select("doc_id", text_of().alias("text"))
-    ours = windows(texts.select("doc_id", template(F.col("text")).alias("t")), "doc_id", sizes)
-    hits = save(ours.join(hashes, ["h", "size"]).select("doc_id", "item_id", "pos", "item_pos", "size"))
-    totals = grams.groupBy("item_id").agg(F.countDistinct("item_pos").alias("total"))
-    found = (
-        hits.groupBy("doc_id", "item_id").agg(F.countDistinct("item_pos").alias("n_windows")).join(totals, "item_id").withColumn("coverage", F.col("n_windows") / F.col("total")).filter(F.col("coverage") >= coverage).select("doc_id", "item_id", "n_windows", "coverage")
-    )
-    found = save(found)
+
+    def meet(column: Column, thin: bool) -> DataFrame:
+        hashes = grams.filter(F.col("thin") == thin).drop("thin")
+        if count.get(thin, 0) <= BROADCAST_WINDOWS:
+            hashes = F.broadcast(hashes)
+        return windows(texts.select("doc_id", column), "doc_id", sizes).join(hashes, ["h", "size"]).select("doc_id", "item_id", "pos", "item_pos", "size", F.lit(thin).alias("thin"))
+
+    hits = meet(template(F.col("text")).alias("t"), False)
+    if count.get(True):
+        hits = hits.union(meet(F.transform(words(F.col("text")), lambda w: F.lower(w)).alias("t"), True))
+    hits = save(hits)
+    places = F.countDistinct("item_pos"), F.countDistinct(F.when(~F.col("thin"), F.col("item_pos")))
+    totals = grams.groupBy("item_id").agg(places[0].alias("total"), places[1].alias("total_full"))
+    counted = hits.groupBy("doc_id", "item_id").agg(places[0].alias("n_windows"), places[1].alias("n_full")).join(totals, "item_id")
+    share = F.greatest(F.col("n_windows") / F.col("total"), F.when(F.col("total_full") > 0, F.col("n_full") / F.nullif(F.col("total_full"), F.lit(0))))
+    counted = save(counted.select("doc_id", "item_id", "n_windows", share.alias("coverage")))
+    # Of the others, those with enough windows for a run: the longest piece on one diagonal.
+    rest = counted.filter((F.col("coverage") < coverage) & (F.col("n_windows") >= run_words - window + 1))
+    steps = hits.join(rest.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "size").distinct()
+    piece = F.col("item_pos") - F.row_number().over(Window.partitionBy("doc_id", "item_id", "shift").orderBy("item_pos"))
+    runs = steps.withColumn("piece", piece).groupBy("doc_id", "item_id", "shift", "piece", "size").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") + F.col("size") - 1 >= run_words)
+    found = save(counted.filter(F.col("coverage") >= coverage).union(rest.join(runs, ["doc_id", "item_id"], "left_semi").select(rest.columns)))
     # The values behind the placeholders, on the diagonals that matched.
     lines = hits.join(found.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi").groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.min("item_pos").alias("low"), F.max(F.col("item_pos") + F.col("size")).alias("high"))
     slots = items.select("item_id", F.posexplode("t").alias("at", "kind"), "w").filter(F.startswith("kind", F.lit(MARK))).select("item_id", "at", F.lower(F.get("w", F.col("at"))).alias("value"))

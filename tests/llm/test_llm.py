@@ -189,6 +189,18 @@ def test_decontaminate(spark):
     assert decontaminate.decontaminate(table(spark, texts), items.limit(0)).count() == 0
 
 
+def test_decontaminate_placeholders_and_runs(spark):
+    """Word for word copies of an item made mostly of numbers and names, and long runs of a longer item."""
+    thin = "Anna has 12 kg, Bert has 15 kg, Carl has 17 kg"
+    long = " ".join(f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(59)).split()
+    items = spark.createDataFrame([(1, thin), (2, " ".join(long))], "item_id long, text string")
+    texts = ["Before it. " + thin + " after", "so " + thin.upper(), thin.replace("12", "13").replace("15", "16").replace("17", "18"), "x y " + " ".join(long[10:42]) + " z", " ".join(long[:12] + ["gap"] + long[12:24] + ["gap"] + long[24:30]), " ".join(long[5:25])]
+    got = {(r["doc_id"], r["item_id"]): r["verdict"] for r in decontaminate.decontaminate(table(spark, texts), items).collect()}
+    assert got == {(0, 1): "verbatim", (1, 1): "verbatim", (3, 2): "verbatim"}
+    twice = table(spark, texts).union(table(spark, texts))
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.decontaminate(twice, items).collect()} == set(got)
+
+
 def test_decontaminate_documents(spark):
     """Documents that hold an item word for word are found, and nothing that holds no half of one."""
     docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
