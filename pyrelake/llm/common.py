@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
@@ -18,34 +19,64 @@ BLOCK_BYTES = 6 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set (local tests)."""
+    """The shared folder that the cluster names. Where none is set, local mode gets a temporary one; a cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-def save(df: DataFrame) -> DataFrame:
+def save(df: DataFrame, base: str | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{base or scratch_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one run in the shared folder, removed when the run ends or fails; its result must be saved elsewhere."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base, self.tables = spark, f"{scratch_dir(spark)}/{uuid.uuid4().hex}", []
+
+    def save(self, df: DataFrame) -> DataFrame:
+        return save(df, self.base)
+
+    def bucketed(self, df: DataFrame, n: int, column: str) -> DataFrame:
+        """``df`` as a table in buckets of a column, so that joins on it shuffle the other side alone."""
+        self.tables.append(f"t_{uuid.uuid4().hex}")
+        df.write.bucketBy(n, column).option("path", f"{self.base}/{self.tables[-1]}").option("compression", "zstd").saveAsTable(self.tables[-1])
+        return self.spark.table(self.tables[-1])
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _shipped: set[str] = set()
+#: Bytes of one Arrow batch: bounds what a Python task is handed at once.
+BATCH_BYTES = 4 << 20
 
 
-def prepare(spark: SparkSession, rows: int = 1000) -> None:
-    """For operators with Python tasks: Arrow batches of a bounded number of texts, and this package on the executors."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def prepare(spark: SparkSession) -> None:
+    """For operators with Python tasks: Arrow batches of bounded bytes, and this package on the executors."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parents[1]
         with tempfile.NamedTemporaryFile(prefix=f"{root.name}-", suffix=".zip", delete=False) as f, zipfile.ZipFile(f, "w") as z:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, p.relative_to(root.parent))
+        atexit.register(Path(f.name).unlink, missing_ok=True)
         spark.sparkContext.addPyFile(f.name)
         _shipped.add(app)
 
@@ -117,17 +148,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Partitions that a block deals to at most; beyond, a partition holds several buckets and sorts them out itself.
+PARTS = 4096
+#: Entries that a partition of several buckets gathers before it passes them on bucket by bucket.
+REGROUP = 8 << 20
+
+
+def part_of(bucket: np.ndarray, n_buckets: int) -> np.ndarray:
+    return bucket * min(n_buckets, PARTS) // n_buckets
+
+
 def shared_keys(docs: DataFrame, keys_of: Callable[[np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray]], n_buckets: int) -> DataFrame:
     """(doc_id, key): the keys of each document that at least one other document holds too.
 
-    ``keys_of`` maps a block of texts to (64-bit keys, index of the document). Keys are dealt to buckets as
-    compressed blocks of 32-bit prints, sorted there, and those with two documents sent back. A key that several
-    documents of one block hold is known as shared already: one entry of it is dealt, so that a key in a third of all
-    rows adds one entry a block. Prints may collide, which only adds keys: exact checks follow. ``key`` is bucket and
-    print as a signed 64-bit integer; several rows may repeat a (document, key).
+    ``keys_of`` maps a block of texts to (64-bit keys, index of the document). Keys are dealt to at most ``PARTS``
+    partitions as compressed blocks of 32-bit prints, so the number of blocks of a document does not grow with the
+    input; a partition takes its buckets (about 16 MB of text each) one after the other, sorts a bucket, and sends the
+    keys with two documents back. A key that several documents of one block hold is known as shared already: one entry
+    of it is dealt, so that a key in a third of all rows adds one entry a block. Prints may collide, which only adds
+    keys: exact checks follow. ``key`` is bucket and print as a signed 64-bit integer; a (document, key) is repeated
+    only if the document's row is.
     """
+    import pyarrow.compute  # noqa: F401
     import zstandard
 
+    def pack(press, full, doc, many) -> bytes:
+        who, local = np.unique(doc, return_inverse=True)
+        first = starts_of(full >> np.uint64(32))
+        runs = np.r_[full[first] >> np.uint64(32), np.diff(np.r_[first, len(full)]).astype(np.uint64)]
+        head = np.array([len(full), len(who), len(first)], "<u4").tobytes()
+        return press.compress(head + who.astype("<i8").tobytes() + runs.astype("<u4").tobytes() + planes(np.diff(full & np.uint64(0xFFFFFFFF), prepend=np.uint64(0))) + planes(local) + many.tobytes())
+
+    def unpack(unpress, z: bytes):
+        raw = unpress.decompress(z)
+        n, k, r = np.frombuffer(raw, "<u4", 3).tolist()
+        who = np.frombuffer(raw, "<i8", k, 12)
+        at = 12 + 8 * k
+        bucket, count = np.frombuffer(raw, "<u4", 2 * r, at).reshape(2, r)
+        at += 8 * r
+        full = np.repeat(bucket.astype(np.uint64), count) << np.uint64(32) | np.cumsum(from_planes(raw[at : at + 4 * n]), dtype=np.uint32)
+        return full, who[from_planes(raw[at + 4 * n : at + 8 * n])], np.frombuffer(raw, bool, n, at + 8 * n)
+
+    def rows_of(rows):
+        for s in range(0, len(rows), 2000):
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[s : s + 2000]], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["bucket", "doc_id", "keys"])
+
     def deal(batches):
         press = zstandard.ZstdCompressor(level=1)
         for ids, texts in blocks(batches):
@@ -147,44 +212,49 @@ def shared_keys(docs: DataFrame, keys_of: Callable[[np.ndarray, list[bytes]], tu
                 rows.append((int(ids[own[s]] % n_buckets), int(ids[own[s]]), own_keys[s:e].astype("<u8").tobytes()))
             full, doc = full[first], ids[at[first]]
             bucket = (full >> np.uint64(32)).astype(np.int64)
-            for s, e in runs_of(bucket):
-                who, local = np.unique(doc[s:e], return_inverse=True)
-                blob = np.array([e - s, len(who)], "<u4").tobytes() + who.astype("<i8").tobytes() + planes(np.diff(full[s:e] & np.uint64(0xFFFFFFFF), prepend=np.uint64(0))) + planes(local) + many[s:e].tobytes()
-                rows.append((int(bucket[s]), None, press.compress(blob)))
-            for s in range(0, len(rows), 2000):
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[s : s + 2000]], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["bucket", "doc_id", "keys"])
-
-    def settle(bucket, blobs):
+            for s, e in runs_of(part_of(bucket, n_buckets)):
+                rows.append((int(bucket[s]), None, pack(press, full[s:e], doc[s:e], many[s:e])))
+            yield from rows_of(rows)
+
+    def regroup(batches):
+        """Of a partition with several buckets: one block a bucket for every ``REGROUP`` entries."""
+        press, unpress = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+        def flush(held):
+            full, doc, many = (np.concatenate(x) for x in zip(*held, strict=True))
+            o = np.argsort(full, kind="stable")
+            full, doc, many = full[o], doc[o], many[o]
+            yield from rows_of([(int(full[s] >> np.uint64(32)), None, pack(press, full[s:e], doc[s:e], many[s:e])) for s, e in runs_of(full >> np.uint64(32))])
+
+        held, n = [], 0
+        for b in batches:
+            ready = pa.compute.is_valid(b.column(1))
+            yield b.filter(ready)
+            for z in b.filter(pa.compute.invert(ready)).column(2).to_pylist():
+                held.append(unpack(unpress, z))
+                n += len(held[-1][0])
+                if n >= REGROUP:
+                    yield from flush(held)
+                    held, n = [], 0
+        if held:
+            yield from flush(held)
+
+    def settle(blobs):
         unpress = zstandard.ZstdDecompressor()
-        prints, docs_, flags = [], [], []
-        for z in blobs:
-            raw = unpress.decompress(z)
-            n, k = np.frombuffer(raw, "<u4", 2)
-            o = 8 + 8 * int(k)
-            who = np.frombuffer(raw, "<i8", int(k), 8)
-            n = int(n)
-            prints.append(np.cumsum(from_planes(raw[o : o + 4 * n]), dtype=np.uint32))
-            docs_.append(who[from_planes(raw[o + 4 * n : o + 8 * n])])
-            flags.append(np.frombuffer(raw, bool, n, o + 8 * n))
-        p, d, f = np.concatenate(prints), np.concatenate(docs_), np.concatenate(flags)
-        o = np.argsort(p, kind="stable")
-        p, d = p[o], d[o]
-        n = np.diff(np.r_[starts_of(p), len(p)])
-        two = np.repeat(n > 1, n)
-        p, d = p[two], d[two]
-        o = np.argsort(d, kind="stable")
-        p, d = p[o], d[o]
-        return d, p.astype(np.int64) | (bucket << 32)
+        full, doc, sent = (np.concatenate(x) for x in zip(*[unpack(unpress, z) for z in blobs], strict=True))
+        o = np.argsort(full, kind="stable")
+        full, doc, sent = full[o], doc[o], sent[o]
+        n = np.diff(np.r_[starts_of(full), len(full)])
+        back = np.repeat(n > 1, n) & ~sent
+        full, doc = full[back], doc[back]
+        o = np.argsort(doc, kind="stable")
+        return doc[o], full[o].view(np.int64)
 
     def meet(batches):
         def table(d, k):
             for s in range(0, len(d), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(d[s : s + 100_000]), pa.array(k[s : s + 100_000])], ["doc_id", "key"])
 
-        def flush(bucket, blobs):
-            if blobs:
-                yield from table(*settle(bucket, blobs))
-
         now, blobs = None, []
         for b in batches:
             ready = pa.compute.is_valid(b.column(1))
@@ -194,19 +264,22 @@ def shared_keys(docs: DataFrame, keys_of: Callable[[np.ndarray, list[bytes]], tu
             rest = b.filter(pa.compute.invert(ready))
             for bucket, z in zip(rest.column(0).to_pylist(), rest.column(2).to_pylist(), strict=True):
                 if bucket != now:
-                    yield from flush(now, blobs)
+                    if blobs:
+                        yield from table(*settle(blobs))
                     now, blobs = bucket, []
                 blobs.append(z)
-        yield from flush(now, blobs)
-
-    import pyarrow.compute  # noqa: F401
+        if blobs:
+            yield from table(*settle(blobs))
 
+    parts = min(n_buckets, PARTS)
     dealt = docs.select("doc_id", "text").mapInArrow(deal, "bucket long, doc_id long, keys binary")
-    parts = min(n_buckets, 8192)
-    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "doc_id long, key long")
+    dealt = dealt.repartition(parts, F.expr(f"bucket * {parts} div {n_buckets}"))
+    if parts < n_buckets:
+        dealt = dealt.mapInArrow(regroup, dealt.schema)
+    return dealt.sortWithinPartitions("bucket").mapInArrow(meet, "doc_id long, key long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, save: Callable[[DataFrame], DataFrame] = save) -> DataFrame:
     """(id, component): the smallest id that links reach, for every id in ``edges`` (a, b).
 
     Every round takes the smallest label around each vertex and then the label of that label, so chains shorten by

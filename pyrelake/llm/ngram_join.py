@@ -10,39 +10,40 @@ Each band indexes the subsets of both sides under one global order of keys, the
 many of the first as it has segments to spare. As a linked pair shares more keys than either has to spare, the rarest of
 them is allocated on both sides. Allocation goes by cost in other ways, too. An empty segment, which very many sets share, gets 0. A set with too few other segments to
 reach H + 1 makes up for it with 2 on these, and then its one-deletion neighbourhoods are indexed too; if that is not
-enough, empty segments get 1. m leaves some segments to spare. Sets whose remaining subsets are still frequent are
-dealt anew to ``FINE`` times as many segments, of which they have more to spare.
+enough, empty segments get 1. m leaves some segments to spare.
 
-Work done, in order, with no all-pairs step inside a group:
+Work done, in order:
 1. equal sets are merged, by size and two independent hashes (the links between them are known);
 2. keys of (band, segment, subset) that only one set holds are dropped (:func:`common.shared_keys`);
-3. every set is compared with the smallest document of its keys (a star a key) if it shares enough of them, links are
-   joined to components, and this repeats on the keys that still join different components as long as it finds links;
-4. on the keys that still do, sets meet under keys allocated on both sides, those with frequent ones after a finer
-   partition, and every pair across components is verified exactly.
-Step 4 makes the result independent of step 3. Sets of up to a given size are compared by 64-bit shingle hashes.
-
-A text without words has an empty set and links with nothing. Null counts as empty. Repeated rows form one class. Extra
-columns are ignored; an empty table gives an empty result.
+3. every set is compared with the hub of its keys, the document that shares the most keys (a star a key), if it
+   shares enough of them; links are joined to components, and a second round takes the hubs outside the first ones'
+   components;
+4. the keys that still reach over components are allocated; the sets that keep any are compared by their shingles,
+   of which those that no other of these sets holds bound the overlap (:func:`meetings`); what may still link across
+   components is verified exactly.
+Step 4 makes the result independent of step 3. It is linear in a cloud of copies around a hub. Where sets just under
+the threshold share all their shingles with others and no hub links them, their pairs are verified one by one.
+Sets are compared by 64-bit shingle hashes.
+
+A text without words has an empty set and links with nothing. Null counts as empty. Very long texts are whole sets like
+any other. Repeated rows form one class, ties do not arise. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, buckets_for, components, mix, prepare, save, scratch_dir, shared_keys, starts_of, volume
+from .common import PARTS, Scratch, blocks, buckets_for, components, mix, prepare, save, shared_keys, starts_of, volume
 
 WORDS, PERCENT = 5, 80
 #: Star rounds before the exhaustive one.
-ROUNDS = 4
-#: Sets with an allocated key that more sets hold are partitioned again, into so many times the segments.
-DENSE, FINE = 16, 3
+ROUNDS = 2
+#: Sizes at which sets meet: their natural logarithms times this, rounded down.
+SIZES = 50
 
 
 def shingles(text: bytes, k: int = WORDS) -> np.ndarray:
@@ -74,11 +75,11 @@ def differences(x: int, y: int, percent: int = PERCENT) -> int:
     return (x + y) * (100 - percent) // (100 + percent)
 
 
-def segments_of(band: int, percent: int = PERCENT, times: int = 1) -> tuple[int, int]:
-    """(segments, largest possible H) of a band: ``times`` one more than H, and a tenth and two to spare."""
+def segments_of(band: int, percent: int = PERCENT) -> tuple[int, int]:
+    """(segments, largest possible H) of a band: one more than H, and a tenth and two to spare."""
     top = int(BOUNDS[band + 1]) - 1
     h = differences(top, top, percent)
-    return times * (h + 1) + (h // 10 + 2) if h else 1, h
+    return (h + 1) + (h // 10 + 2) if h else 1, h
 
 
 def needed(n: int, band: int, percent: int = PERCENT) -> int:
@@ -87,9 +88,9 @@ def needed(n: int, band: int, percent: int = PERCENT) -> int:
     return differences(n, min(top, n * 100 // percent), percent) + 1
 
 
-def band_keys(s: np.ndarray, band: int, percent: int = PERCENT, times: int = 1) -> np.ndarray:
+def band_keys(s: np.ndarray, band: int, percent: int = PERCENT) -> np.ndarray:
     """The keys of a set in a band; the last bit tells the set's two bands apart."""
-    m, _ = segments_of(band, percent, times)
+    m, _ = segments_of(band, percent)
     need = needed(len(s), band, percent)
     if m == 1:
         return np.zeros(0, np.uint64)  # only equal sets could link
@@ -113,20 +114,20 @@ def band_keys(s: np.ndarray, band: int, percent: int = PERCENT, times: int = 1)
     return np.concatenate(keys)
 
 
-def set_keys(s: np.ndarray, percent: int = PERCENT, times: int = 1) -> np.ndarray:
+def set_keys(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Keys of the set's own band and of the next one, where larger partners may be."""
     if not len(s):
         return np.zeros(0, np.uint64)
     band = int(np.searchsorted(BOUNDS, len(s), "right")) - 1
-    return np.unique(np.concatenate([band_keys(s, b, percent, times) for b in (band, band + 1)]))
+    return np.unique(np.concatenate([band_keys(s, b, percent) for b in (band, band + 1)]))
 
 
-def spare_of(s: np.ndarray, percent: int = PERCENT, times: int = 1) -> int:
+def spare_of(s: np.ndarray, percent: int = PERCENT) -> int:
     """How many segments the set may give 0 in either of its bands and still reach H + 1."""
     if not len(s):
         return 0
     band = int(np.searchsorted(BOUNDS, len(s), "right")) - 1
-    return max(0, min(len(np.unique(s % np.uint64(segments_of(b, percent, times)[0]))) - needed(len(s), b, percent) for b in (band, band + 1)))
+    return max(0, min(len(np.unique(s % np.uint64(segments_of(b, percent)[0]))) - needed(len(s), b, percent) for b in (band, band + 1)))
 
 
 def keys_of(ids: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -157,14 +158,6 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hashes binary")
 
 
-def bucketed(sets: DataFrame, n: int) -> tuple[str, DataFrame]:
-    """(name, table): the sets, written in buckets of doc_id, so that joins shuffle the pairs alone."""
-    spark = sets.sparkSession
-    name = f"sets_{uuid.uuid4().hex}"
-    sets.write.bucketBy(min(n, 8192), "doc_id").option("path", f"{scratch_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
-    return name, spark.table(name)
-
-
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose sets link."""
 
@@ -182,87 +175,94 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     return both.select("a", "b", "xa", "yb").mapInArrow(run, "a long, b long").distinct()
 
 
-def fine_keys(sets: DataFrame) -> DataFrame:
-    """(doc_id, spare, key) of sets under the finer partition."""
+def shingle_keys(ids: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    sets = [shingles(t) for t in texts]
+    return np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.repeat(np.arange(len(texts)), [len(s) for s in sets])
 
-    def run(batches):
-        for b in batches:
-            for d, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = np.frombuffer(h, "<u8")
-                keys = set_keys(s, times=FINE)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), d, np.int64)), pa.array(np.full(len(keys), spare_of(s, times=FINE), np.int64)), pa.array(keys.view(np.int64))], ["doc_id", "spare", "key"])
 
-    return sets.select("doc_id", "hashes").mapInArrow(run, "doc_id long, spare long, key long")
+def hub() -> Column:
+    """Of the rows under a key the document that shares the most keys with others: in a cloud of copies, what they are copies of."""
+    return F.min(F.struct((-F.col("held")).alias("order"), "doc_id", "label", "n", "spare")).over(Window.partitionBy("key"))
 
 
-def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, n_links (verified links between classes, as found)."""
-    spark = docs.sparkSession
-    prepare(spark, 250)
-    sized = save(describe(docs))
-    same = ["n_shingles", "h1", "h2"]
-    classes = sized.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    members = save(sized.join(classes, same, "left").select("doc_id", "n_shingles", "spare", F.coalesce("rep", "doc_id").alias("rep")))
-    reps = members.filter("doc_id = rep AND n_shingles > 0").select("doc_id", F.col("n_shingles").alias("n"), "spare").distinct()
-
-    n_buckets = buckets_for(volume(docs))
-    shared = shared_keys(docs, keys_of, n_buckets)
-    live = stars(shared.join(reps, "doc_id").withColumn("label", F.col("doc_id")))
-    texts = docs.select("doc_id", "text").repartition(n_buckets, "doc_id").join(live.select("doc_id").distinct(), "doc_id", "left_semi")
-    name, sets = bucketed(sets_of(texts), n_buckets)
-    near = (F.col("first.n") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("first.n") * percent)
+def stars(live: DataFrame, peel: int, percent: int) -> DataFrame:
+    """Pairs (a, b): documents and the hub of their key, if in another component and with enough keys of the hub.
+
+    ``peel``: how many hubs have had their turn; the rows of their components are out.
+    """
+    for _ in range(peel):
+        live = live.withColumn("hub", hub()).filter("label <> hub.label").drop("hub")
+    near = (F.col("hub.n") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("hub.n") * percent)
     # Linked sets share more keys than the smaller one has to spare; under stars, a part of these shows.
-    enough = F.count(F.lit(1)) * 2 > F.min(F.when(F.col("n") <= F.col("first.n"), F.col("spare")).otherwise(F.col("first.spare")))
-    links = tested = sets.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
-    labels = None
-    for _ in range(ROUNDS):
-        pairs = live.filter((F.col("first.label") != F.col("label")) & near).select(F.least("first.doc_id", "doc_id").alias("a"), F.greatest("first.doc_id", "doc_id").alias("b"), "n", "spare", "first").groupBy("a", "b").agg(enough.alias("enough")).filter("enough").select("a", "b")
-        pairs = save(pairs if labels is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        found = save(verify(pairs, sets, percent))
-        tested = pairs if labels is None else tested.union(pairs)
-        if found.isEmpty():
-            break
-        links = found if labels is None else links.union(found)
-        labels = components(links)
-        live = stars(live.select("doc_id", "n", "spare", "key").join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component"))
-        if live.isEmpty():
-            break
-    last = save(verify(across(live, sets, percent).join(tested, ["a", "b"], "left_anti"), sets, percent))
-    if labels is None or not last.isEmpty():
-        links = links.union(last)
-        labels = components(links)
-    spark.sql(f"DROP TABLE {name}")
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    out = members.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").join(degree, "rep", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-
-
-def stars(keyed: DataFrame) -> DataFrame:
-    """Adds to (doc_id, n, spare, key, label) the smallest (label, doc_id, n, spare) under the key, and how many rows it has; keys of one label go."""
-    by_key = Window.partitionBy("key")
-    first = F.min(F.struct("label", "doc_id", "n", "spare")).over(by_key)
-    return save(keyed.select("*", first.alias("first"), F.max("label").over(by_key).alias("high"), F.count(F.lit(1)).over(by_key).alias("freq")).filter("first.label < high").drop("high"))
+    enough = F.count(F.lit(1)) * 2 > F.min(F.when(F.col("n") <= F.col("hub.n"), F.col("spare")).otherwise(F.col("hub.spare")))
+    found = live.withColumn("hub", hub()).filter("label <> hub.label").filter(near)
+    return found.groupBy(F.least("hub.doc_id", "doc_id").alias("a"), F.greatest("hub.doc_id", "doc_id").alias("b")).agg(enough.alias("enough")).filter("enough").select("a", "b")
 
 
 def allocate(live: DataFrame) -> DataFrame:
-    """The keys of each set and band but the ``spare`` most frequent ones, which get 0."""
+    """Of the keys that reach over components, those of each set and band but the ``spare`` most frequent ones, which get 0."""
+    by_key = Window.partitionBy("key")
+    mixed = live.select("*", F.min("label").over(by_key).alias("low"), F.max("label").over(by_key).alias("high"), F.count(F.lit(1)).over(by_key).alias("freq")).filter("low < high")
     place = F.row_number().over(Window.partitionBy("doc_id", F.col("key").bitwiseAND(1)).orderBy(F.desc("freq"), "key"))
-    return live.withColumn("place", place).filter("place > spare").select("doc_id", "n", "label", "key", "freq")
+    return mixed.withColumn("place", place).filter("place > spare").select("doc_id", "n", "label", "key")
 
 
-def meetings(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components under a key of both."""
-    x = x.select("key", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-    near = (F.col("nx") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("nx") * percent)
-    return x.join(y.select("key", "doc_id", "n", "label"), "key").filter("label <> lx").filter(near).select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b"))
+def meetings(probes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components under a key allocated on both sides whose sizes allow a link.
 
+    probes: doc_id, n, label, key, and e: how many shingles of the set any other probing set holds. The overlap is e at
+    most, which bounds the size of a partner; sets meet by key and size, the larger one looking up the sizes that its
+    e allows. In a cloud, a copy too far from the hub to link holds so many shingles of its own that no size is left.
+    """
+    size = lambda c: F.floor(F.log(c) * SIZES).cast("int")
+    low, high = F.ceil(F.col("n") * percent / 100), F.least(F.col("n"), F.floor(F.col("e") * (100 + percent) / percent).cast("long") - F.col("n"))
+    x = probes.withColumn("low", low).withColumn("high", high).filter("high >= low")
+    x = x.select("key", F.explode(F.sequence(size(F.col("low")), size(F.col("high")))).alias("size"), F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("e").alias("ex"), F.col("label").alias("lx"))
+    y = probes.select("key", size(F.col("n")).alias("size"), "doc_id", "n", "e", "label")
+    smaller = (F.col("n") < F.col("nx")) | ((F.col("n") == F.col("nx")) & (F.col("doc_id") < F.col("x")))
+    fits = (F.col("n") * 100 >= F.col("nx") * percent) & (F.least("e", "ex") * (100 + percent) >= (F.col("n") + F.col("nx")) * percent)
+    both = x.join(y, ["key", "size"]).filter((F.col("label") != F.col("lx")) & smaller & fits)
+    return both.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
 
-def across(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that may link: under a key allocated on both sides."""
-    probes = save(allocate(live))
-    dense = probes.filter(F.col("freq") > DENSE).select("doc_id").distinct()
-    sparse = probes.join(dense, "doc_id", "left_anti")
-    about = live.select("doc_id", "n", "label").distinct()
-    partners = probes.join(probes.join(dense, "doc_id", "left_semi").select("key").distinct(), "key", "left_semi").select("doc_id").distinct()
-    fine = save(allocate(stars(fine_keys(sets.join(partners, "doc_id", "left_semi")).join(about, "doc_id"))))
-    return meetings(sparse, sparse, percent).union(meetings(fine.join(dense, "doc_id", "left_semi"), fine, percent)).distinct()
+
+def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, n_verified (the links of its set found on the way, not all)."""
+    spark = docs.sparkSession
+    prepare(spark)
+    with Scratch(spark) as scratch:
+        sized = scratch.save(describe(docs))
+        same = ["n_shingles", "h1", "h2"]
+        classes = sized.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
+        members = scratch.save(sized.join(classes, same, "left").select("doc_id", "n_shingles", "spare", F.coalesce("rep", "doc_id").alias("rep")))
+        reps = members.filter("doc_id = rep AND n_shingles > 0").select("doc_id", F.col("n_shingles").alias("n"), "spare").distinct()
+
+        n_buckets = buckets_for(volume(docs))
+        held = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
+        live = scratch.save(shared_keys(docs, keys_of, n_buckets).join(reps, "doc_id").withColumn("held", held))
+        texts = docs.select("doc_id", "text")
+        parts = min(n_buckets, PARTS)
+        sets = scratch.bucketed(sets_of(texts.join(live.select("doc_id").distinct(), "doc_id", "left_semi")).repartition(parts, "doc_id"), parts, "doc_id")
+
+        links = tested = sets.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
+        labels = links.select(F.col("a").alias("id"), F.col("b").alias("component"))
+        for peel in range(ROUNDS):
+            pairs = scratch.save(stars(labelled(live, labels), peel, percent).join(tested, ["a", "b"], "left_anti"))
+            found = scratch.save(verify(pairs, sets, percent))
+            links, tested = links.union(found), tested.union(pairs)
+            labels = components(links, scratch.save)
+        probes = scratch.save(allocate(labelled(live, labels)))
+        asked = texts.join(probes.select("doc_id").distinct(), "doc_id", "left_semi")
+        common = shared_keys(asked, shingle_keys, n_buckets).groupBy("doc_id").agg(F.count(F.lit(1)).alias("e"))
+        pairs = scratch.save(meetings(probes.join(common, "doc_id").filter(F.col("e") * 100 >= F.col("n") * percent), percent).join(tested, ["a", "b"], "left_anti"))
+        found = scratch.save(verify(pairs, sets, percent))
+        if not found.isEmpty():
+            links = links.union(found)
+            labels = components(links, scratch.save)
+        degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_verified"))
+        out = members.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").join(degree, "rep", "left")
+        return save(out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_verified", F.lit(0)).cast("long").alias("n_verified")))
+
+
+def labelled(live: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds the component of each document, its own id if it has none yet."""
+    return live.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")

@@ -125,7 +125,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 crcs = [zlib.crc32(raw[4 * int(e - n) : 4 * int(e)]) for e, n in zip(ends, lengths, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(b.column(0)[k].as_py() + ends - lengths), pa.array(lengths), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    prepare(shards.sparkSession, 8)
+    prepare(shards.sparkSession)
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
