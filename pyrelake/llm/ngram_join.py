@@ -18,11 +18,13 @@ Work done, in order:
 3. every set is compared with the hub of its keys, the document that shares the most keys (a star a key), if it
    shares enough of them; links are joined to components, and a second round takes the hubs outside the first ones'
    components;
-4. the keys that still reach over components are allocated; the sets that keep any are compared by their shingles,
-   of which those that no other of these sets holds bound the overlap (:func:`meetings`); what may still link across
-   components is verified exactly.
-Step 4 makes the result independent of step 3. It is linear in a cloud of copies around a hub. Where sets just under
-the threshold share all their shingles with others and no hub links them, their pairs are verified one by one.
+4. the keys that still reach over components are allocated. Of the sets that keep any, a pair that links shares a rare
+   shingle (one that ``RARE`` of these sets hold at most), or its common shingles alone are enough: it meets under
+   the rare one, or under an allocated key in a size that its number of common shingles allows (:func:`meetings`).
+   What may still link across components is verified exactly.
+Step 4 makes the result independent of step 3. In a cloud of copies around a hub it is linear: a copy too far from the
+hub to link has too few common shingles for any partner. Where sets just under the threshold share nearly all their
+shingles with many others and no hub links them, their pairs are verified one by one.
 Sets are compared by 64-bit shingle hashes.
 
 A text without words has an empty set and links with nothing. Null counts as empty. Very long texts are whole sets like
@@ -44,6 +46,8 @@ WORDS, PERCENT = 5, 80
 ROUNDS = 2
 #: Sizes at which sets meet: their natural logarithms times this, rounded down.
 SIZES = 50
+#: Sets that meet under a shingle: the shingles of more sets count as common ones.
+RARE = 16
 
 
 def shingles(text: bytes, k: int = WORDS) -> np.ndarray:
@@ -207,12 +211,17 @@ def allocate(live: DataFrame) -> DataFrame:
     return mixed.withColumn("place", place).filter("place > spare").select("doc_id", "n", "label", "key")
 
 
-def meetings(probes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components under a key allocated on both sides whose sizes allow a link.
+def overlap_allows(overlap: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of sizes n and m can link with an overlap of at most this."""
+    return overlap * (100 + percent) >= (n + m) * percent
 
-    probes: doc_id, n, label, key, and e: how many shingles of the set any other probing set holds. The overlap is e at
-    most, which bounds the size of a partner; sets meet by key and size, the larger one looking up the sizes that its
-    e allows. In a cloud, a copy too far from the hub to link holds so many shingles of its own that no size is left.
+
+def met_by_segment(probes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components under a key allocated on both sides that need share no rare shingle to link.
+
+    probes: doc_id, n, label, key, and e: how many shingles of the set more than ``RARE`` of the probing sets hold. The
+    overlap is e at most, which bounds the size of a partner; sets meet by key and size, the larger one looking up the
+    sizes that its e allows. In a cloud, a copy too far from the hub to link has too few common shingles for any size.
     """
     size = lambda c: F.floor(F.log(c) * SIZES).cast("int")
     low, high = F.ceil(F.col("n") * percent / 100), F.least(F.col("n"), F.floor(F.col("e") * (100 + percent) / percent).cast("long") - F.col("n"))
@@ -220,9 +229,33 @@ def meetings(probes: DataFrame, percent: int) -> DataFrame:
     x = x.select("key", F.explode(F.sequence(size(F.col("low")), size(F.col("high")))).alias("size"), F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("e").alias("ex"), F.col("label").alias("lx"))
     y = probes.select("key", size(F.col("n")).alias("size"), "doc_id", "n", "e", "label")
     smaller = (F.col("n") < F.col("nx")) | ((F.col("n") == F.col("nx")) & (F.col("doc_id") < F.col("x")))
-    fits = (F.col("n") * 100 >= F.col("nx") * percent) & (F.least("e", "ex") * (100 + percent) >= (F.col("n") + F.col("nx")) * percent)
+    fits = (F.col("n") * 100 >= F.col("nx") * percent) & overlap_allows(F.least("e", "ex"), F.col("n"), F.col("nx"), percent)
     both = x.join(y, ["key", "size"]).filter((F.col("label") != F.col("lx")) & smaller & fits)
-    return both.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
+    return both.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b"))
+
+
+def met_by_shingle(rare: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share rare shingles, enough of them to link. rare: key, doc_id, n, label, e.
+
+    At most ``RARE`` sets meet under a shingle. The overlap of a pair is the rare shingles that it shares and the
+    smaller e at most.
+    """
+    x, y = ([rare.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "n", "label", "e")]) for k in "ab"])
+    fits = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+    both = x.join(y, "key").filter((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("label_a") != F.col("label_b")) & fits)
+    shared = both.groupBy("doc_id_a", "doc_id_b", "n_a", "n_b", F.least("e_a", "e_b").alias("e")).agg(F.count(F.lit(1)).alias("r"))
+    return shared.filter(overlap_allows(F.col("e") + F.col("r"), F.col("n_a"), F.col("n_b"), percent)).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
+
+
+def meetings(probes: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that may link. probes: doc_id, n, label, key; shared: (doc_id, key), the shingles of these sets that several of them hold."""
+    few = shared.groupBy("key").agg(F.count(F.lit(1)).alias("f")).filter(F.col("f") <= RARE).select("key")
+    rare = shared.join(few, "key")
+    own = rare.groupBy("doc_id").agg(F.count(F.lit(1)).alias("r"))
+    e = shared.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).join(own, "doc_id", "left").select("doc_id", (F.col("c") - F.coalesce("r", F.lit(0))).alias("e"), (F.col("c") * 100).alias("c"))
+    about = probes.select("doc_id", "n", "label").distinct().join(e, "doc_id").filter(F.col("c") >= F.col("n") * percent).drop("c")
+    segments = met_by_segment(probes.select("doc_id", "key").join(about, "doc_id"), percent)
+    return segments.union(met_by_shingle(rare.join(about, "doc_id"), percent)).distinct()
 
 
 def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -252,8 +285,8 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             labels = components(links, scratch.save)
         probes = scratch.save(allocate(labelled(live, labels)))
         asked = texts.join(probes.select("doc_id").distinct(), "doc_id", "left_semi")
-        common = shared_keys(asked, shingle_keys, n_buckets).groupBy("doc_id").agg(F.count(F.lit(1)).alias("e"))
-        pairs = scratch.save(meetings(probes.join(common, "doc_id").filter(F.col("e") * 100 >= F.col("n") * percent), percent).join(tested, ["a", "b"], "left_anti"))
+        shared = scratch.save(shared_keys(asked, shingle_keys, n_buckets))
+        pairs = scratch.save(meetings(probes, shared, percent).join(tested, ["a", "b"], "left_anti"))
         found = scratch.save(verify(pairs, sets, percent))
         if not found.isEmpty():
             links = links.union(found)
