@@ -1,28 +1,34 @@
 """SentencePiece encoding and decoding with exact N-best segmentations.
 
-The first result is the model's own encoding of the whole text. The model merges pairs by rank, so this is in general
+The first result is the model's own encoding of the whole text, put together from that of its segments (below), over
+which no merge reaches. The model merges pairs by rank, so this is in general
 not the segmentation with the largest sum of scores. The alternatives after it are the lattice's segmentations with the
 largest sums, in falling order, without the model's own; their sums can exceed the first.
 
 For the lattice a text is normalised as the model does, and cut before each run of the space mark: no piece of the vocabulary reaches
 over such a cut (checked when the model is loaded), so the lattice of the text is the chain of the lattices of its
-segments; a segment is cut further between characters that no piece holds side by side. For each part, a forward Viterbi pass gives the best score up to every position; from the end, A* search
-over partial paths uses these scores as its exact heuristic and so yields complete segmentations in falling order.
-The N best of a text are the N smallest sums of losses, one segment's alternative at a time; the alternatives chosen are
-carried along and give the ids.
+segments; a segment is cut further between characters that no piece holds side by side. For each part, a forward Viterbi
+pass gives the best score up to every position and the score of the second choice; the N best of a text are the N
+smallest sums of losses, and only the N - 1 parts with the smallest losses of a second choice can take part in them.
+For these, A* search from the end over partial paths uses the forward scores as its exact heuristic and so yields
+complete segmentations in falling order. The alternatives chosen are carried along and give the ids.
 
 Decoding joins the pieces' bytes, drops the space mark that the model puts before a text and turns the other marks into
 spaces. A text that holds the mark itself comes back with spaces in its place: ``round_trip`` is false there.
 
 Characters that no piece covers fall back to byte pieces with the model's scores. Ties come in the order in which the
 search meets them, which depends on the segment alone. Null counts as empty text: no pieces, score 0, one segmentation. Repeated
-rows get a row each; extra columns are ignored.
+rows get a row each; extra columns are ignored; an empty table gives an empty result. A very long text is worked whole,
+in memory in proportion to it.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
+import math
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +46,14 @@ Best = tuple[tuple[bytes, ...], tuple[float, ...]]
 _models: dict[str, PieceModel] = {}
 
 
+#: Of the hash of a piece: a polynomial in its code points, modulo 2^64.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
 class PieceModel:
     LIMIT = 200_000
+    #: Links of up to so many characters are worked by length, many at a time.
+    TOGETHER = 40
 
     def __init__(self, path: str):
         import sentencepiece
@@ -62,9 +74,22 @@ class PieceModel:
         self.score_of = np.array([self.scores.get(i, 0.0) for i in range(sp.get_piece_size())])
         self.longest = max(map(len, self.pieces))
         self.joined = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
+        names = sorted(self.pieces, key=len)
+        hashes = np.zeros(len(names), np.uint64)
+        for k in range(self.longest):
+            more = np.array([len(p) > k for p in names])
+            hashes[more] = hashes[more] * BASE + np.array([ord(p[k]) + 1 for p in names if len(p) > k], np.uint64)
+        o = np.argsort(hashes)
+        own = np.array([self.pieces[p] for p in names])[o]
+        if len(np.unique(hashes)) < len(names):
+            raise ValueError("two pieces have one hash")
+        self.table = hashes[o], own, self.score_of[own]
+        self.powers = np.cumprod(np.r_[np.uint64(1), np.full(self.longest, BASE)], dtype=np.uint64)
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.known: dict[tuple[str, int], Best] = {}
+        #: Segment -> ids, score and text of the model's encoding; ids and score of the lattice's best; losses of the second choice, by link; the smallest.
+        self.known: dict[str, tuple[bytes, float, str, bytes, float, tuple[tuple[float, int], ...], float]] = {}
         self.former = self.known
+        self.searched: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
     def edges(self, s: str, end: int) -> list[tuple[int, tuple[int, ...], float]]:
         """(start, ids, score) of the pieces that end at ``end``, the longest first."""
@@ -83,6 +108,38 @@ class PieceModel:
             best.append(max([best[start] + score for start, _, score in edges]))
         return best
 
+    def forward(self, s: str) -> tuple[tuple[int, ...], float, float]:
+        """(ids, score) of the best segmentation and the score of the second best (-inf: none), in one forward pass."""
+        get, scores, longest = self.pieces.get, self.scores, self.longest
+        best, second, back = [0.0], [-math.inf], [(0, ())]
+        for end in range(1, len(s) + 1):
+            b1 = b2 = -math.inf
+            way, at = None, 0
+            for start in range(end - longest if end > longest else 0, end):
+                i = get(s[start:end])
+                if i is not None:
+                    score, ids = scores[i], i
+                elif start == end - 1:
+                    ids = tuple([self.byte_id[b] for b in s[start].encode()])
+                    score = sum([scores[k] for k in ids])
+                else:
+                    continue
+                v = best[start] + score
+                if v > b1:
+                    w = second[start] + score
+                    b2 = b1 if b1 > w else w
+                    b1, way, at = v, ids, start
+                elif v > b2:
+                    b2 = v
+            best.append(b1)
+            second.append(b2)
+            back.append((at, way))
+        ids, end = [], len(s)
+        while end:
+            end, way = back[end]
+            ids[:0] = way if isinstance(way, tuple) else (way,)
+        return tuple(ids), best[-1], second[-1]
+
     def nbest(self, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of one segment, best first: A* from the end, ordered by exact total score."""
         ways = [self.edges(s, end) for end in range(1, len(s) + 1)]
@@ -110,80 +167,173 @@ class PieceModel:
 
     def links(self, s: str) -> list[str]:
         """Cut a segment between neighbouring characters that no piece holds side by side: no edge crosses such a cut."""
-        out, start = [], 0
-        for k in range(1, len(s)):
-            if s[k - 1 : k + 1] not in self.joined:
-                out.append(s[start:k])
-                start = k
-        return [*out, s[start:]]
-
-    def segment(self, s: str, n: int) -> Best:
-        """The n best segmentations of one segment, from a cache of two bounded generations."""
-        key = (s, n)
-        if (got := self.known.get(key)) is not None:
-            return got
-        if (got := self.former.get(key)) is None:
-            links = self.links(s)
-            if len(links) == 1:
-                found = self.nbest(s, n)
-                got = tuple([np.array(ids, "<u4").tobytes() for _, ids in found]), tuple([score for score, _ in found])
-            else:
-                got = self.combine([self.segment(link, n) for link in links], n)
+        joined = self.joined
+        ends = [k for k in range(1, len(s)) if s[k - 1 : k + 1] not in joined]
+        return [s[a:b] for a, b in zip([0, *ends], [*ends, len(s)], strict=True)] if ends else [s]
+
+    def forward_all(self, links: list[str]) -> dict[str, tuple[bytes, float, float]]:
+        """:meth:`forward` of many links, ids as little-endian u32: those of one length together, pieces found by hash."""
+        out: dict[str, tuple[bytes, float, float]] = {}
+        by_length: dict[int, list[str]] = {}
+        for s in links:
+            by_length.setdefault(len(s), []).append(s)
+        for length, group in by_length.items():
+            for k in range(0, len(group), 1 << 16) if length <= self.TOGETHER else ():
+                self._forward_group(group[k : k + (1 << 16)], length, out)
+        for s in links:
+            if s not in out:  # long, or with bytes on its best path
+                ids, best, second = self.forward(s)
+                out[s] = np.array(ids, "<u4").tobytes(), best, second
+        return out
+
+    def _forward_group(self, group: list[str], length: int, out: dict[str, tuple[bytes, float, float]]) -> None:
+        n = len(group)
+        codes = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, length).T.astype(np.uint64)
+        prefix = np.zeros((length + 1, n), np.uint64)
+        for k in range(length):
+            prefix[k + 1] = prefix[k] * BASE + codes[k] + np.uint64(1)
+        best, second = np.zeros((length + 1, n)), np.full((length + 1, n), -math.inf)
+        start_of, id_of = np.zeros((length + 1, n), np.int64), np.zeros((length + 1, n), np.int64)
+        hashes, ids, scores = self.table
+        for end in range(1, length + 1):
+            b1, b2 = np.full(n, -math.inf), np.full(n, -math.inf)
+            for start in range(max(0, end - self.longest), end):
+                h = prefix[end] - prefix[start] * self.powers[end - start]
+                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                known = hashes[at] == h
+                if start < end - 1 and not known.any():
+                    continue
+                score, piece = np.where(known, scores[at], -math.inf), np.where(known, ids[at], -1)
+                if start == end - 1 and not known.all():
+                    for k in np.flatnonzero(~known).tolist():
+                        score[k] = sum([self.scores[self.byte_id[x]] for x in group[k][start].encode()])
+                v = best[start] + score
+                better = v > b1
+                b2 = np.where(better, np.maximum(b1, second[start] + score), np.maximum(b2, v))
+                b1 = np.where(better, v, b1)
+                start_of[end] = np.where(better, start, start_of[end])
+                id_of[end] = np.where(better, piece, id_of[end])
+            best[end], second[end] = b1, b2
+        back, end, every = np.zeros((n, length), "<u4"), np.full(n, length), np.arange(n)
+        count, plain = np.zeros(n, np.int64), np.ones(n, bool)
+        while (live := every[end[every] > 0]).size:
+            piece = id_of[end[live], live]
+            plain[live[piece < 0]] = False
+            count[live] += 1
+            back[live, length - count[live]] = piece.astype("<u4")
+            end[live] = start_of[end[live], live]
+        raw = back.tobytes()
+        for k, (s, c, ok, x, y) in enumerate(zip(group, count.tolist(), plain.tolist(), best[-1].tolist(), second[-1].tolist(), strict=True)):
+            if ok:
+                out[s] = raw[4 * (length * (k + 1) - c) : 4 * length * (k + 1)], x, y
+
+    def learn(self, segments: Iterable[str]) -> None:
+        """Put what is not known of these segments in the cache of two bounded generations."""
         if len(self.known) >= self.LIMIT:
             self.known, self.former = {}, self.known
-        self.known[key] = got
+        known, former = self.known, self.former
+        new = [s for s in dict.fromkeys(segments) if s not in known]
+        known.update([(s, former[s]) for s in new if s in former])
+        new = [s for s in new if s not in known]
+        if not new:
+            return
+        # The model puts the mark before a text and merges nothing over a cut: the ids of a segment are those in its text.
+        own = self.sp.encode([s[1:].replace(SPACE, " ") for s in new], num_threads=1)
+        own = [ids or list(self.forward(s)[0]) for s, ids in zip(new, own, strict=True)]  # a mark alone is no text
+        flat = np.fromiter(itertools.chain.from_iterable(own), "<u4")
+        ends = np.cumsum([len(ids) for ids in own])
+        sums, raw = np.add.reduceat(self.score_of[flat], np.r_[0, ends[:-1]]).tolist(), flat.tobytes()
+        cut = [self.links(s) for s in new]
+        ways = self.forward_all(list(dict.fromkeys(itertools.chain.from_iterable(cut))))
+        spell, start = self.bytes_of.__getitem__, 0
+        for s, ids, end, score, links in zip(new, own, ends.tolist(), sums, cut, strict=True):
+            found = [ways[link] for link in links]
+            losses = sorted([(best - second, k) for k, (_, best, second) in enumerate(found) if second > -math.inf])
+            text = b"".join(map(spell, ids)).decode("utf-8", "replace")
+            known[s] = (raw[4 * start : 4 * end], score, text, b"".join([f[0] for f in found]), sum([f[1] for f in found]), tuple(losses), losses[0][0] if losses else math.inf)
+            start = end
+
+    def alternatives(self, link: str, n: int) -> list[tuple[float, bytes]]:
+        key = (link, n)
+        if (got := self.searched.get(key)) is None:
+            if len(self.searched) >= self.LIMIT:
+                self.searched = {}
+            got = self.searched[key] = [(score, np.array(ids, "<u4").tobytes()) for score, ids in self.nbest(link, n)]
         return got
 
-    @staticmethod
-    def combine(parts: list[Best], n: int) -> Best:
-        """The n best choices of one segmentation of each part."""
-        first = [ids[0] for ids, _ in parts]
-        best = float(sum([scores[0] for _, scores in parts]))
-        # Only the n - 1 parts with the smallest first losses can take part in the n best sums.
-        many = sorted([(scores[0] - scores[1], k) for k, (_, scores) in enumerate(parts) if len(scores) > 1])[: n - 1] if n > 1 else []
-        # (loss, the alternatives taken as (part, which)); the first is the best segmentation of every part.
-        ways: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
-        for _, k in many:
-            scores = parts[k][1]
-            ways = sorted([(loss + scores[0] - b, (*taken, (k, j)) if j else taken) for loss, taken in ways for j, b in enumerate(scores)], key=lambda w: w[0])[:n]
+    def normalize(self, text: str) -> str:
+        return self.sp.normalize(text) if text else ""
+
+    def cuts(self, text: str) -> list[str]:
+        return self.cut.findall(self.normalize(text))
+
+    def best(self, segments: list[str], n: int) -> Best:
+        """The n best segmentations of a text, of its segments in order; these must be known.
+
+        Only the n - 1 links with the smallest losses of a second choice can take part in the n best sums, so A* runs
+        for these alone.
+        """
+        found = [self.known[s] for s in segments]
+        total = float(sum([f[4] for f in found]))
+        if n < 2 or not found:
+            return (b"".join([f[3] for f in found]),), (total,)
+        loss = np.array([f[6] for f in found])
+        limit = np.partition(loss, min(n - 1, len(loss)) - 1)[min(n - 1, len(loss)) - 1]
+        first = np.flatnonzero((loss <= limit) & (loss < math.inf))
+        first = first[np.argsort(loss[first], kind="stable")[: n - 1]].tolist()
+        many = sorted([(x, at, k) for at in first for x, k in found[at][5]])[: n - 1]
+        # (loss, the alternatives taken as (segment, link, which)); the first is the best segmentation of every part.
+        ways: list[tuple[float, tuple[tuple[int, int, int], ...]]] = [(0.0, ())]
+        links = {at: self.links(segments[at]) for _, at, _ in many}
+        for _, at, k in many:
+            choices = self.alternatives(links[at][k], n)
+            ways = sorted([(x + choices[0][0] - score, (*taken, (at, k, j))) for x, taken in ways for j, (score, _) in enumerate(choices)], key=lambda w: w[0])[:n]
+        at, start, around = sorted(links), 0, []
+        for k in [*at, len(found)]:
+            around.append(b"".join([f[3] for f in found[start:k]]))
+            start = k + 1
         out = []
         for _, taken in ways:
-            ids = first.copy() if taken else first
-            for k, j in taken:
-                ids[k] = parts[k][0][j]
+            which, ids = {(p, k): j for p, k, j in taken}, [around[0]]
+            for p, after in zip(at, around[1:], strict=True):
+                ids += [self.alternatives(link, n)[which.get((p, k), 0)][1] for k, link in enumerate(links[p])]
+                ids.append(after)
             out.append(b"".join(ids))
-        return tuple(out), tuple([best - loss for loss, _ in ways])
-
-    def normalize(self, text: str) -> str:
-        return self.sp.normalize(text) if text else ""
+        return tuple(out), tuple([total - x for x, _ in ways])
 
     def lattice(self, text: str, n: int) -> Best:
         """The n segmentations of a text with the largest sums of scores."""
-        return self.combine([self.segment(s, n) for s in self.cut.findall(self.normalize(text))], n)
+        segments = self.cuts(text)
+        self.learn(segments)
+        return self.best(segments, n)
 
     def encode(self, text: str, n: int) -> tuple[bytes, list[float]]:
         """Ids of the lattice's best segmentation of a text, and the scores of its n best."""
         ids, scores = self.lattice(text, n)
         return ids[0], list(scores)
 
-    def results(self, text: str, n: int) -> tuple[list[bytes], list[float]]:
-        """Ids and scores of the model's encoding and of the n - 1 best other segmentations."""
-        own, score = self.own(text)
-        others = [x for x in zip(*self.lattice(text, n), strict=True) if x[0] != own][: n - 1] if n > 1 else []
-        return [own, *[ids for ids, _ in others]], [score, *[s for _, s in others]]
-
-    def own(self, text: str) -> tuple[bytes, float]:
-        """The model's encoding of a text, and the sum of its scores."""
-        ids = np.array(self.sp.encode(text), "<u4")
-        return ids.tobytes(), float(self.score_of[ids].sum())
+    def results(self, texts: list[str], n: int) -> Iterator[tuple[list[bytes], list[float], str]]:
+        """Of each text, ids and scores of the model's encoding and of the n - 1 best other segmentations, and the text decoded from the first."""
+        cut = [self.cuts(t) for t in texts]
+        self.learn(itertools.chain.from_iterable(cut))
+        for segments in cut:
+            found = [self.known[s] for s in segments]
+            own, score = b"".join([f[0] for f in found]), float(sum([f[1] for f in found]))
+            others = [x for x in zip(*self.best(segments, n), strict=True) if x[0] != own][: n - 1] if n > 1 else []
+            yield [own, *[ids for ids, _ in others]], [score, *[s for _, s in others]], self.spaced("".join([f[2] for f in found]))
 
     def decode(self, ids: bytes) -> str:
         """The normalised text of ids."""
         return b"".join([self.bytes_of[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
+    @staticmethod
+    def spaced(text: str) -> str:
+        """Without the mark that the model puts before a text, other marks as spaces."""
+        return text.removeprefix(SPACE).replace(SPACE, " ")
+
     def plain(self, ids: bytes) -> str:
-        """The text of ids: without the mark that the model puts before a text, other marks as spaces."""
-        return self.decode(ids).removeprefix(SPACE).replace(SPACE, " ")
+        """The text of ids."""
+        return self.spaced(self.decode(ids))
 
 
 def model(path: str) -> PieceModel:
@@ -222,10 +372,9 @@ def encode_pieces(docs: DataFrame, model_path: str, n_best: int = 4) -> DataFram
         m = model(model_path)
         for b in batches:
             rows, size = [], 0
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found, scores = m.results(text or "", n_best)
-                back = m.plain(found[0])
-                rows.append((i, found, scores, back, back == (text or "")))
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for i, text, (found, scores, back) in zip(b.column(0).to_pylist(), texts, m.results(texts, n_best), strict=True):
+                rows.append((i, found, scores, back, back == text))
                 size += sum([len(x) for x in found])
                 if size >= FLUSH_BYTES:
                     yield table_of(rows)
