@@ -81,6 +81,21 @@ def prepare(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
+def on_executors(spark: SparkSession, path: str) -> Callable[[], str]:
+    """Ship a file of the driver to the executors; in a task, the function returned tells its path there."""
+    name = Path(path).name
+    if (key := f"{spark.sparkContext.applicationId} {path}") not in _shipped:
+        spark.sparkContext.addFile(path)
+        _shipped.add(key)
+
+    def local() -> str:
+        from pyspark import SparkFiles
+
+        return SparkFiles.get(name)
+
+    return local
+
+
 def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

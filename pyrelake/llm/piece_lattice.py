@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import on_executors, prepare
 
 SPACE = "▁"
 SCHEMA = "doc_id long, n_pieces long, ids array<int>, best_score double, nbest_ids array<array<int>>, nbest_scores array<double>, decoded string, round_trip boolean"
@@ -367,9 +367,10 @@ def table_of(rows: list[tuple[int, list[bytes], list[float], str, bool]]) -> pa.
 def encode_pieces(docs: DataFrame, model_path: str, n_best: int = 4) -> DataFrame:
     """One row per document: the model's ids and their score, ids and scores of the n best (the model's first), the text decoded from the model's ids, and whether it is the document's."""
     prepare(docs.sparkSession)
+    local = on_executors(docs.sparkSession, model_path)
 
     def run(batches):
-        m = model(model_path)
+        m = model(local())
         for b in batches:
             rows, size = [], 0
             texts = [t or "" for t in b.column(1).to_pylist()]

@@ -7,11 +7,13 @@ Spark's writer puts the files wherever the cluster's storage is. Reading them ba
 partitions before a partition come from a sum of one row a partition.
 
 Null counts as empty text, which is the end id alone. A document longer than a shard has a shard of its own. Repeated
-rows are written as often as they occur, in an order fixed by their text. An empty table gives an empty result.
+rows are written as often as they occur, in an order fixed by their text. Extra columns are ignored. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wavelet
-from .common import buckets_for, save, prepare, volume
+from .common import buckets_for, on_executors, prepare, save, volume
 
 SCHEMA = "part int, shard int, before long, n_tokens long, doc_ids array<long>, lengths array<long>, matrix binary"
 END_ID = 0
@@ -31,10 +33,11 @@ class Encoder:
     """The tokenizers library behind a bounded cache of what stands between two splits.
 
     A space before a character that is no white space always starts a new pre-token of a byte-level BPE, so a text
-    may be cut there: the pieces' ids, joined, are the text's ids. The cache has two generations.
+    may be cut there: the pieces' ids, joined, are the text's ids. New pieces are encoded together as one text and told
+    apart by the tokens that begin with a space. The cache has two generations.
     """
 
-    LIMIT = 400_000
+    LIMIT, TOGETHER = 400_000, 4000
 
     def __init__(self, path: str):
         import re
@@ -43,22 +46,40 @@ class Encoder:
 
         self.tokenizer, self.known, self.former = Tokenizer.from_file(path), {}, {}
         self.cut, self.wide = re.compile(r" (?=\S)"), re.compile(r" (?!\S)")
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        top = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(top)])
+
+    def alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> None:
+        """Words that follow a space and hold none."""
+        for s in range(0, len(words), self.TOGETHER):
+            some = words[s : s + self.TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(self.spaced[ids])
+            if len(at) == len(some) and at[0] == 0:
+                raw, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
+                self.known.update(zip(some, [raw[a:e] for a, e in zip((4 * at).tolist(), ends, strict=True)], strict=True))
+            else:  # a token that takes in the space
+                self.known.update(zip(some, self.alone([" " + w for w in some]), strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian u32."""
         if len(self.known) > self.LIMIT:
             self.known, self.former = {}, self.known
-        cut = []
-        for t in texts:
-            p = self.cut.split(t) if self.wide.search(t) else t.split(" ")
-            cut.append([p[0], *map(" ".__add__, p[1:])])
-        new = list({p for ps in cut for p in ps if p not in self.known})
+        cut = [self.cut.split(t) if self.wide.search(t) else t.split(" ") for t in texts]
         known, former = self.known, self.former
-        known.update([(p, former[p]) for p in new if p in former])
-        new = [p for p in new if p not in known]
-        for s in range(0, len(new), 5000):
-            for p, e in zip(new[s : s + 5000], self.tokenizer.encode_batch_fast(new[s : s + 5000], add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join([known[p] for p in ps]), "<u4") for ps in cut]
+        words = set(itertools.chain.from_iterable([p[1:] for p in cut])).difference(known)
+        known.update([(w, former[w]) for w in words if w in former])
+        new = [w for w in words if w not in known]
+        odd = [w for w in new if " " in w]
+        self.learn([w for w in new if " " not in w])
+        known.update(zip(odd, self.alone([" " + w for w in odd]), strict=True))
+        begin = list({p[0] for p in cut})
+        firsts = dict(zip(begin, self.alone(begin), strict=True))
+        get = known.__getitem__
+        return [b"".join([firsts[p[0]], *map(get, p[1:])]) for p in cut]
 
 
 def encoder(path: str) -> Encoder:
@@ -72,35 +93,37 @@ def encode_shards(docs: DataFrame, tokenizer: str, shard_tokens: int = 1 << 19,
     spark = docs.sparkSession
     prepare(spark)
 
+    local = on_executors(spark, tokenizer)
+
     def run(batches):
         import os
 
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, part, shard, before = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        encode, part, shard, before = encoder(local()), TaskContext.get().partitionId(), 0, 0
+        end = np.uint32(end_id).tobytes()
         ids: list[int] = []
-        tokens: list[np.ndarray] = []
+        tokens: list[bytes] = []
         n = 0
 
         def row():
-            flat = np.concatenate(tokens)
-            lengths = [len(t) for t in tokens]
+            flat = np.frombuffer(b"".join([x for t in tokens for x in (t, end)]), "<u4")
+            lengths = [len(t) // 4 + 1 for t in tokens]
             cells = (part, shard, before, len(flat), ids, lengths, wavelet.encode(flat))
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
 
         for b in batches:
             who, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for s in range(0, len(who), 250):
-                for i, t in zip(who[s : s + 250], encode(texts[s : s + 250]), strict=True):
-                    ids.append(i)
-                    tokens.append(np.r_[t, np.uint32(end_id)].astype(np.uint32))
-                    n += len(t) + 1
-                    if n >= shard_tokens:
-                        yield row()
-                        shard, before = shard + 1, before + n
-                        ids, tokens, n = [], [], 0
+            for i, t in zip(who, encode(texts), strict=True):
+                ids.append(i)
+                tokens.append(t)
+                n += len(t) // 4 + 1
+                if n >= shard_tokens:
+                    yield row()
+                    shard, before = shard + 1, before + n
+                    ids, tokens, n = [], [], 0
         if ids:
             yield row()
 
@@ -111,9 +134,13 @@ def encode_shards(docs: DataFrame, tokenizer: str, shard_tokens: int = 1 << 19,
 
 def read_shards(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the decoded matrices."""
-    sizes = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row for each range partition
-    first = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
-    placed = shards.join(F.broadcast(first), "part").select((F.col("first") + F.col("before")).alias("start"), "doc_ids", "lengths", "matrix")
+    # Ids before a partition: within its group of 1024 partitions, and before that group.
+    sizes = shards.groupBy("part", F.expr("part div 1024").alias("batch")).agg(F.sum("n_tokens").alias("n"))
+    groups = sizes.groupBy("batch").agg(F.sum("n").alias("all"))
+    earlier = groups.select("batch", (F.sum("all").over(Window.orderBy("batch")) - F.col("all")).alias("earlier"))
+    inside = F.sum("n").over(Window.partitionBy("batch").orderBy("part")) - F.col("n")
+    first = sizes.withColumn("inside", inside).join(earlier, "batch").select("part", (F.col("earlier") + F.col("inside")).alias("first"))
+    placed = shards.join(first, "part").select((F.col("first") + F.col("before")).alias("start"), "doc_ids", "lengths", "matrix")
 
     def run(batches):
         for b in batches:
