@@ -105,6 +105,16 @@ def held_out(col: str = "doc_id") -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % 4 == 2
 
 
+def threshold(n_wanted: int, n: int) -> int:
+    """Of hashes below 2^62, those below this are ``n_wanted`` of ``n`` on average; never none."""
+    return max(1, min(n_wanted, n) * (1 << 62) // max(1, n))
+
+
+def sampled(below: Column, col: str = "doc_id") -> Column:
+    """Whether the hash of the id is below a :func:`threshold`."""
+    return F.shiftrightunsigned(F.xxhash64(col), 2) < below
+
+
 def volume(docs: DataFrame, col: str = "text") -> int:
     """UTF-8 bytes of all texts; sizes partitions and buckets."""
     return docs.agg(F.sum(F.octet_length(F.col(col))).alias("n")).first()["n"] or 0

@@ -7,7 +7,8 @@ absent one counting as the profile's full length.
 
 Profiles are learnt from a bounded sample of labelled texts: at most about ``train_docs`` documents a language, those
 whose hashed id is smallest. A null text, or one without a letter, is ``und`` with score 0. Ties between languages go
-to the alphabetically first. With no labelled text at all, everything is ``und``. Repeated rows get a row each.
+to the alphabetically first. With no labelled text at all, everything is ``und``. Repeated rows get a row each. Extra
+columns are ignored, very long texts are profiled whole, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, held_out, prepare, starts_of
+from .common import blocks, held_out, prepare, sampled, starts_of, threshold
 
 #: Length of a profile.
 TOP = 400
@@ -67,8 +68,8 @@ def train(docs: DataFrame, train_docs: int = 2000, top: int = TOP) -> dict[str,
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return {}
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(min(1.0, train_docs / n) * 1_000_000)))])
-    sample = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(share, F.col("lang"))).select("lang", "text")
+    below = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, threshold(train_docs, n))])
+    sample = labelled.filter(sampled(F.element_at(below, F.col("lang")))).select("lang", "text")
 
     def count(batches):
         for b in batches:

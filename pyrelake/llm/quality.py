@@ -4,10 +4,12 @@ One zstandard dictionary is built from texts labelled good, one from texts label
 difference of its two compressed sizes over its own length; a logistic curve fitted on labelled texts that took no
 part in the dictionaries turns it into a probability.
 
-Dictionaries and curve are fitted on a bounded sample: at most about ``train_docs`` labelled documents a class, of
-each at most ``train_chars`` characters; ``train_bytes`` bytes of text of each class feed its dictionary. Everything is scored over whole texts. Empty
-and null texts have feature 0 and get the curve's value there. With labels of one class only, the score is that
-class's share of the labels (0.5 without any). Several labels of one document count once each.
+Dictionaries and curve are fitted on a bounded sample of labelled rows: about ``train_docs`` documents a class, those
+with the smallest hashed ids; one half, whole texts in pieces, feeds the dictionaries, the other half the curve. The
+sample is held by the driver: about 2 x ``train_docs`` texts. Every text is scored whole, however long. Empty and null
+texts have feature 0 and get the curve's value there. With labels of one class only, the score is that class's share
+of the labels (0.5 without any). Several labels of one document count once each; repeated documents get a row each.
+Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, held_out, prepare
+from .common import blocks, held_out, prepare, sampled, threshold
 
 
 def features(texts: list[bytes], good: bytes, bad: bytes, level: int = 3) -> np.ndarray:
@@ -41,27 +43,23 @@ def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, fl
     return scale, float(w[0]), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 2000, train_bytes: int = 2 << 20, train_chars: int = 20_000, dict_bytes: int = 16384) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 2000, dict_bytes: int = 16384) -> dict:
     """Fit on a sample of labelled rows whose size does not depend on the input."""
     import zstandard
 
     known = labels.filter(F.col("quality").isin(0, 1)).select(F.col("doc_id"), F.col("quality").cast("int").alias("y"))
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.when(F.col("y") == 1, int(min(1.0, train_docs / sizes.get(1, 1)) * 1_000_000)).otherwise(int(min(1.0, train_docs / sizes.get(0, 1)) * 1_000_000))
-    sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
-    rows = docs.select("doc_id", F.substring("text", 1, train_chars).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text").collect()  # at most about 2 * train_docs texts
+    below = F.when(F.col("y") == 1, threshold(train_docs, sizes.get(1, 1))).otherwise(threshold(train_docs, sizes.get(0, 1)))
+    sample = known.filter(sampled(below))
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text").collect()  # about 2 * train_docs texts
     rows = sorted(((r["doc_id"], r["y"], (r["text"] or "").encode()) for r in rows), key=lambda r: (r[0], r[1], r[2]))
     total = sum(sizes.values())
     prior = sizes.get(1, 0) / total if total else 0.5
     parts = {}
     for y in (0, 1):
         own = [t for k, (_, q, t) in enumerate(rows) if q == y and k % 2 == 0 and t]
-        pieces, n = [], 0
-        for t in own:
-            pieces += [t[k : k + 2048] for k in range(0, len(t), 2048)]
-            n += len(t)
-            if n > train_bytes:
-                break
+        pieces = [t[k : k + 2048] for t in own for k in range(0, len(t), 2048)]
+        n = sum([len(t) for t in own])
         try:
             parts[y] = zstandard.train_dictionary(max(256, min(dict_bytes, n // 8)), pieces).as_bytes() if len(pieces) >= 8 else b"".join(pieces)[-dict_bytes:]
         except zstandard.ZstdError:
