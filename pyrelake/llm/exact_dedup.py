@@ -38,7 +38,7 @@ def merge_sorted(batches: Iterator[pa.RecordBatch], keep: str) -> Iterator[pa.Re
     best = np.maximum if keep == "largest" else np.minimum
     held: pa.Table | None = None
     for b in batches:
-        t = pa.Table.from_batches([b])
+        t = pa.Table.from_arrays(b.columns, b.schema.names)
         t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
         if not t.num_rows:
             continue

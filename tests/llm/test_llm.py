@@ -381,6 +381,32 @@ def test_exact_dedup(spark):
         exact_dedup.exact_dedup(small, keep="any")
 
 
+def test_merge_sorted():
+    """Groups that reach over batches; neighbours that differ in one check alone stay apart."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    rows = sorted((rng.randrange(2), rng.randrange(2), bytes([rng.randrange(3)]) * 32, rng.randrange(2), rng.randrange(2), rng.randrange(100), rng.randrange(1, 5)) for _ in range(400))
+    names = [c.split()[0] for c in exact_dedup.RUN.split(", ")]
+    want = {}
+    for *key, i, n in rows:
+        best, total = want.get(tuple(key), (i, 0))
+        want[tuple(key)] = (max(best, i), total + n)
+    schema = pa.schema([pa.field(c, pa.binary() if c == "digest" else pa.int64(), nullable=c != "group_size") for c in names])
+    for size in (1, 7, 400):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[k : k + size]], schema) for k in range(0, 400, size)]
+        got = [tuple(r.values()) for b in exact_dedup.merge_sorted(iter([*batches, batches[0].slice(0, 0)]), "largest") for r in b.to_pylist()]
+        assert got == [(*k, *v) for k, v in sorted(want.items())]
+
+
+def test_threshold():
+    """A sample's share never falls to nothing."""
+    from pyrelake.llm.common import threshold
+
+    assert threshold(2000, 10**10) == 2000 * (1 << 62) // 10**10 and threshold(1, 1 << 63) == 1
+    assert threshold(2000, 5) == 1 << 62
+
+
 # 8
 
 
