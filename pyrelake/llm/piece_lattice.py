@@ -24,6 +24,7 @@ in memory in proportion to it.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import itertools
 import math
@@ -32,13 +33,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import on_executors, prepare
 
 SPACE = "▁"
-SCHEMA = "doc_id long, n_pieces long, ids array<int>, best_score double, nbest_ids array<array<int>>, nbest_scores array<double>, decoded string, round_trip boolean"
+SCHEMA = "doc_id long, n_pieces long, ids array<int>, packed binary, best_score double, nbest_ids array<array<int>>, nbest_scores array<double>, decoded string, round_trip boolean"
 #: Bytes of ids after which a task hands its rows on.
 FLUSH_BYTES = 8 << 20
 #: Segmentations, best first: the ids of each as little-endian u32, and the score of each.
@@ -46,12 +47,14 @@ Best = tuple[tuple[bytes, ...], tuple[float, ...]]
 _models: dict[str, PieceModel] = {}
 
 
+#: Characters of the texts whose segments are learnt at a time.
+TOGETHER = 1 << 20
 #: Of the hash of a piece: a polynomial in its code points, modulo 2^64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class PieceModel:
-    LIMIT = 200_000
+    LIMIT = 150_000
     #: Links of up to so many characters are worked by length, many at a time.
     TOGETHER = 40
 
@@ -86,8 +89,8 @@ class PieceModel:
         self.table = hashes[o], own, self.score_of[own]
         self.powers = np.cumprod(np.r_[np.uint64(1), np.full(self.longest, BASE)], dtype=np.uint64)
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        #: Segment -> ids, score and text of the model's encoding; ids and score of the lattice's best; losses of the second choice, by link; the smallest.
-        self.known: dict[str, tuple[bytes, float, str, bytes, float, tuple[tuple[float, int], ...], float]] = {}
+        #: Segment -> ids, score and text of the model's encoding; ids and score of the lattice's best; losses of the second choice by link, if there are several; the smallest.
+        self.known: dict[str, tuple[bytes, float, str, bytes, float, tuple[tuple[float, int], ...] | None, float]] = {}
         self.former = self.known
         self.searched: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
@@ -248,9 +251,13 @@ class PieceModel:
         spell, start = self.bytes_of.__getitem__, 0
         for s, ids, end, score, links in zip(new, own, ends.tolist(), sums, cut, strict=True):
             found = [ways[link] for link in links]
-            losses = sorted([(best - second, k) for k, (_, best, second) in enumerate(found) if second > -math.inf])
             text = b"".join(map(spell, ids)).decode("utf-8", "replace")
-            known[s] = (raw[4 * start : 4 * end], score, text, b"".join([f[0] for f in found]), sum([f[1] for f in found]), tuple(losses), losses[0][0] if losses else math.inf)
+            if len(found) == 1:
+                ((best, total, second),) = found
+                known[s] = raw[4 * start : 4 * end], score, text, best, total, None, total - second
+            else:
+                losses = sorted([(best - second, k) for k, (_, best, second) in enumerate(found) if second > -math.inf])
+                known[s] = raw[4 * start : 4 * end], score, text, b"".join([f[0] for f in found]), sum([f[1] for f in found]), tuple(losses), losses[0][0] if losses else math.inf
             start = end
 
     def alternatives(self, link: str, n: int) -> list[tuple[float, bytes]]:
@@ -281,7 +288,7 @@ class PieceModel:
         limit = np.partition(loss, min(n - 1, len(loss)) - 1)[min(n - 1, len(loss)) - 1]
         first = np.flatnonzero((loss <= limit) & (loss < math.inf))
         first = first[np.argsort(loss[first], kind="stable")[: n - 1]].tolist()
-        many = sorted([(x, at, k) for at in first for x, k in found[at][5]])[: n - 1]
+        many = sorted([(x, at, k) for at in first for x, k in found[at][5] or ((found[at][6], 0),)])[: n - 1]
         # (loss, the alternatives taken as (segment, link, which)); the first is the best segmentation of every part.
         ways: list[tuple[float, tuple[tuple[int, int, int], ...]]] = [(0.0, ())]
         links = {at: self.links(segments[at]) for _, at, _ in many}
@@ -314,8 +321,21 @@ class PieceModel:
 
     def results(self, texts: list[str], n: int) -> Iterator[tuple[list[bytes], list[float], str]]:
         """Of each text, ids and scores of the model's encoding and of the n - 1 best other segmentations, and the text decoded from the first."""
+        while texts:
+            size, few = 0, 0
+            while few < len(texts) and size < TOGETHER:
+                size += len(texts[few])
+                few += 1
+            yield from self.results_together(texts[:few], n)
+            texts = texts[few:]
+
+    def results_together(self, texts: list[str], n: int) -> Iterator[tuple[list[bytes], list[float], str]]:
         cut = [self.cuts(t) for t in texts]
-        self.learn(itertools.chain.from_iterable(cut))
+        gc.disable()  # many small tuples, no cycles
+        try:
+            self.learn(itertools.chain.from_iterable(cut))
+        finally:
+            gc.enable()
         for segments in cut:
             found = [self.known[s] for s in segments]
             own, score = b"".join([f[0] for f in found]), float(sum([f[1] for f in found]))
@@ -355,6 +375,7 @@ def table_of(rows: list[tuple[int, list[bytes], list[float], str, bool]]) -> pa.
         pa.array(ids, pa.int64()),
         pa.array([len(x[0]) // 4 for x in found], pa.int64()),
         lists([x[0] for x in found]),
+        pa.array([x[0] for x in found], pa.binary()),
         pa.array([x[0] for x in scores], pa.float64()),
         pa.ListArray.from_arrays(pa.array(ends), lists([x for f in found for x in f])),
         pa.array(scores, pa.list_(pa.float64())),
@@ -365,7 +386,7 @@ def table_of(rows: list[tuple[int, list[bytes], list[float], str, bool]]) -> pa.
 
 
 def encode_pieces(docs: DataFrame, model_path: str, n_best: int = 4) -> DataFrame:
-    """One row per document: the model's ids and their score, ids and scores of the n best (the model's first), the text decoded from the model's ids, and whether it is the document's."""
+    """One row per document: the model's ids (packed: the same as little-endian u32) and their score, ids and scores of the n best (the model's first), the text decoded from the model's ids, and whether it is the document's."""
     prepare(docs.sparkSession)
     local = on_executors(docs.sparkSession, model_path)
 
@@ -386,12 +407,6 @@ def encode_pieces(docs: DataFrame, model_path: str, n_best: int = 4) -> DataFram
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-def crc32_of(ids: str) -> Column:
-    """crc32 of a list of ids as little-endian u32."""
-    turned = "shiftleft(cast(x & 255 AS bigint), 24) | shiftleft(x & 65280, 8) | (shiftright(x, 8) & 65280) | (shiftright(x, 24) & 255)"
-    return F.expr(f"crc32(unhex(array_join(transform({ids}, x -> substring(hex(4294967296 | {turned}), 2)), '')))")
-
-
 def digest(pieces: DataFrame) -> DataFrame:
     """The rows of :func:`encode_pieces` with hashes for ids and text."""
-    return pieces.select("doc_id", "n_pieces", crc32_of("ids").alias("ids_crc32"), "best_score", "nbest_scores", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), "round_trip", F.xxhash64("nbest_ids").alias("nbest_xxhash64"))
+    return pieces.select("doc_id", "n_pieces", F.crc32("packed").alias("ids_crc32"), "best_score", "nbest_scores", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), "round_trip", F.xxhash64("nbest_ids").alias("nbest_xxhash64"))
