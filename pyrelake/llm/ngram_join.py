@@ -269,7 +269,7 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         members = scratch.save(sized.join(classes, same, "left").select("doc_id", "n_shingles", "spare", F.coalesce("rep", "doc_id").alias("rep")))
         reps = members.filter("doc_id = rep AND n_shingles > 0").select("doc_id", F.col("n_shingles").alias("n"), "spare").distinct()
 
-        n_buckets = buckets_for(volume(docs))
+        n_buckets = buckets_for(volume(docs), 8 << 20)
         held = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
         live = scratch.save(shared_keys(docs, keys_of, n_buckets).join(reps, "doc_id").withColumn("held", held))
         texts = docs.select("doc_id", "text")

@@ -54,7 +54,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class PieceModel:
-    LIMIT = 150_000
+    LIMIT = 100_000
     #: Links of up to so many characters are worked by length, many at a time.
     TOGETHER = 40
 
@@ -260,6 +260,9 @@ class PieceModel:
                 known[s] = raw[4 * start : 4 * end], score, text, b"".join([f[0] for f in found]), sum([f[1] for f in found]), tuple(losses), losses[0][0] if losses else math.inf
             start = end
 
+    def forget(self) -> None:
+        self.known, self.former, self.searched = {}, {}, {}
+
     def alternatives(self, link: str, n: int) -> list[tuple[float, bytes]]:
         key = (link, n)
         if (got := self.searched.get(key)) is None:
@@ -392,6 +395,12 @@ def encode_pieces(docs: DataFrame, model_path: str, n_best: int = 4) -> DataFram
 
     def run(batches):
         m = model(local())
+        try:
+            yield from rows_of(m, batches)
+        finally:
+            m.forget()  # workers live on; the next operator needs the memory
+
+    def rows_of(m, batches):
         for b in batches:
             rows, size = [], 0
             texts = [t or "" for t in b.column(1).to_pylist()]
