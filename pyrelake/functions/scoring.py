@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def rounded(x: Column, places: int) -> Column:
+    """Half up by multiplication, as other engines can repeat it exactly; no negative zero."""
+    return F.floor(x * 10.0**places + 0.5) / F.lit(10.0**places) + F.lit(0.0)
+
+
 def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 

@@ -72,7 +72,7 @@ def burn_severity(scenes: DataFrame) -> DataFrame:
     nbr = (F.col("nir") - F.col("swir")) / (F.col("nir") + F.col("swir"))
     order = F.struct("acquired_on", "scene_id")
     g = scenes.withColumn("nbr", nbr).groupBy("event_id").agg(F.min_by("nbr", order).alias("post"), F.max_by("nbr", order).alias("pre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    d = F.round(F.col("pre") - F.col("post"), 6) + F.lit(0.0)  # no negative zero
+    d = S.rounded(F.col("pre") - F.col("post"), 6)
     return g.select("event_id", d.alias("dnbr"), S.severity(d).alias("severity"))
 
 

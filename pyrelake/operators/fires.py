@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import in_box
+from ..functions.text import plain
 
 
 @dataclass(frozen=True)
@@ -21,6 +22,8 @@ class Filters:
     status: str = "all"
     min_confidence: float | None = None
     min_detections: int | None = None
+    department: str | None = None
+    significant: bool | None = None
     search: str | None = None
     box: tuple[float, float, float, float] | None = None
     active_days: int = 7
@@ -43,7 +46,12 @@ class Filters:
         if self.min_detections is not None:
             out.append(F.col("total_detections") >= self.min_detections)
         if self.search and len(self.search.strip()) >= 2:
-            out.append(F.col("province").ilike(f"%{self.search.strip()}%"))
+            found = [F.coalesce(plain(F.col(c)).contains(plain(F.lit(self.search))), F.lit(False)) for c in ("province", "department")]
+            out.append(found[0] | found[1])
+        if self.department:
+            out.append(F.col("department").ilike(f"%{self.department}%"))
+        if self.significant is not None:
+            out.append(F.col("is_significant") == self.significant)
         if self.box:
             out.append(in_box(F.col("lat"), F.col("lon"), *self.box, strict=True))
         return out
@@ -72,18 +80,25 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int | None, la
     return rows.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
 
 
-def keyset(rows: DataFrame, after: str, size: int) -> DataFrame:
-    """The page that follows a start date, newest first."""
-    return rows.filter(F.col("start_date") < F.lit(after).cast("timestamp_ntz")).orderBy(F.desc("start_date"), "id").limit(size)
+def keyset(rows: DataFrame, after: str, after_id: int, size: int) -> DataFrame:
+    """The page that follows an event (start date and id), newest first; ties of the date go by id. Its last row is the next cursor."""
+    start, at = F.col("start_date"), F.lit(after).cast("timestamp_ntz")
+    return rows.filter((start < at) | ((start == at) & (F.col("id") > after_id))).orderBy(F.desc("start_date"), "id").limit(size)
 
 
-def kpis(fires: DataFrame) -> DataFrame:
+def is_active(as_of: str) -> Column:
+    """active, monitoring, or without status and seen since ``as_of``."""
+    seen = F.coalesce("last_seen_at", "end_date", "start_date") >= F.lit(as_of).cast("timestamp_ntz")
+    return F.coalesce(F.col("status").isin("active", "monitoring") | (F.col("status").isNull() & seen), F.lit(False))
+
+
+def kpis(fires: DataFrame, as_of: str) -> DataFrame:
     """One row of totals; shares are guarded against an empty table."""
     total = F.count(F.lit(1))
-    active = F.count_if(F.col("status") == "active")
+    active = F.count_if(is_active(as_of))
     return fires.agg(
-        total.alias("total"), active.alias("active"), F.greatest(total - active, F.lit(0)).alias("historical"), F.count_if((F.col("max_frp") > 50) | (F.col("avg_confidence") > 80)).alias("significant"), F.coalesce(F.sum("total_detections"), F.lit(0)).alias("detections"),
-        F.round(F.coalesce(F.sum("estimated_area_hectares"), F.lit(0.0)), 2).alias("area"), F.round(F.coalesce(F.avg("avg_confidence"), F.lit(0.0)), 4).alias("confidence"), F.round(F.when(total > 0, active * 100.0 / total).otherwise(0.0), 4).alias("active_share"),
+        total.alias("total"), active.alias("active"), F.greatest(total - active, F.lit(0)).alias("historical"), F.count_if("is_significant").alias("significant"), F.coalesce(F.sum("total_detections"), F.lit(0)).alias("detections"),
+        F.round(F.coalesce(F.sum("estimated_area_hectares"), F.lit(0.0)), 2).alias("area"), F.round(F.coalesce(F.avg("avg_confidence"), F.lit(0.0)), 4).alias("confidence"), F.round(F.coalesce(F.avg("estimated_area_hectares"), F.lit(0.0)), 4).alias("mean_area"), F.round(F.when(total > 0, active * 100.0 / total).otherwise(0.0), 4).alias("active_share"),
     )
 
 
@@ -149,12 +164,12 @@ def projection(points: DataFrame, periods: int = 3) -> DataFrame:
     return k.select("ahead", F.round(value, 2).alias("n"), F.round(value * 0.8, 2).alias("low"), F.round(value * 1.2, 2).alias("high"))
 
 
-def recurrence(fires: DataFrame, size: float = 0.5) -> DataFrame:
-    """Events a grid cell: class and score."""
+def recurrence(fires: DataFrame, box: tuple[float, float, float, float], size: float = 0.5, most: int = 500) -> DataFrame:
+    """Events a grid cell of a box (west, south, east, north): class and score; the report lists the ``most`` highest."""
     from ..functions.geo import cell
 
-    g = fires.groupBy(cell(F.col("lat"), F.col("lon"), size).alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.max("max_frp").alias("max_frp"))
-    return g.select("cell", "n", "max_frp", F.when(F.col("n") >= 5, "high").when(F.col("n") >= 2, "medium").otherwise("low").alias("class"), F.round(F.least(F.col("n") / 10, F.lit(1.0)), 4).alias("score"))
+    g = fires.filter(in_box(F.col("lat"), F.col("lon"), *box)).groupBy(cell(F.col("lat"), F.col("lon"), size).alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.max("max_frp").alias("max_frp"))
+    return g.orderBy(F.least(F.col("n"), F.lit(10)).desc(), "cell").limit(most).select("cell", "n", "max_frp", F.when(F.col("n") >= 5, "high").when(F.col("n") >= 2, "medium").otherwise("low").alias("class"), F.round(F.least(F.col("n") / 10, F.lit(1.0)), 4).alias("score"))
 
 
 def recurrence_view(fires: DataFrame, as_of: str, size: float = 0.5) -> DataFrame:

@@ -18,10 +18,20 @@ def detected_at(day: Column, hhmm: Column) -> Column:
     return F.to_timestamp_ntz(F.concat_ws(" ", day, F.concat_ws(":", F.substring(t, 1, 2), F.substring(t, 3, 2))), F.lit("yyyy-MM-dd HH:mm"))
 
 
-def detection_hash(satellite: Column, at: Column, lat: Column, lon: Column) -> Column:
-    """SHA-256 over satellite, time and position in units of 1e-5 degrees."""
-    unit = lambda c: F.floor(c * 100000 + 0.5).cast("long").cast("string")
-    return F.sha2(F.concat_ws("|", satellite, F.date_format(at, "yyyy-MM-dd HH:mm"), unit(lat), unit(lon)), 256)
+def instrument(satellite: Column) -> Column:
+    """VIIRS satellites by name, MODIS for the others."""
+    return F.when(F.upper(satellite).contains("VIIRS"), "VIIRS").otherwise("MODIS")
+
+
+def detection_hash(satellite: Column, by: Column, at: Column, lat: Column, lon: Column, frp: Column, sure: Column) -> Column:
+    """SHA-256 over satellite, instrument, time in UTC, position, power and confidence."""
+    time = F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+    return F.sha2(F.concat_ws("|", satellite, by, time, F.format_string("%.5f", lat), F.format_string("%.5f", lon), F.format_string("%.2f", frp), sure.cast("string")), 256)
+
+
+def legacy_hash(satellite: Column, at: Column, lat: Column, lon: Column) -> Column:
+    """The older key: 16 digits of an MD5 over position, day, time and satellite."""
+    return F.substring(F.md5(F.concat_ws("|", F.format_string("%.5f", lat), F.format_string("%.5f", lon), F.date_format(at, "yyyy-MM-dd"), F.date_format(at, "HHmm"), satellite)), 1, 16)
 
 
 def normalize(raw: DataFrame, least: int = 50) -> DataFrame:
@@ -31,7 +41,11 @@ def normalize(raw: DataFrame, least: int = 50) -> DataFrame:
         "frp", confidence(F.col("confidence")).alias("confidence"), detected_at(F.col("acq_date"), F.col("acq_time")).alias("detected_at"), "daynight",
     )
     rows = rows.filter(in_box(F.col("lat"), F.col("lon"), *COUNTRY)).filter(F.col("confidence") >= least)
-    return rows.withColumn("detection_hash", detection_hash(F.col("satellite"), F.col("detected_at"), F.col("lat"), F.col("lon")))
+    return hashed(rows.withColumn("instrument", instrument(F.col("satellite"))))
+
+
+def hashed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("detection_hash", detection_hash(*[F.col(c) for c in ("satellite", "instrument", "detected_at", "lat", "lon", "frp", "confidence")]))
 
 
 def new_only(batch: DataFrame, known: DataFrame) -> DataFrame:

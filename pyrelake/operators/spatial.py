@@ -20,6 +20,8 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
@@ -86,13 +88,16 @@ def cluster_events(detections: DataFrame, labels: DataFrame) -> DataFrame:
     g = detections.join(labels.filter("label IS NOT NULL"), "id").groupBy(F.col("label").alias("event_id"))
     return g.agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"), F.min("detected_at").alias("start_date"), F.max("detected_at").alias("end_date"), F.round(F.max("frp"), 2).alias("max_frp"),
-        F.round(F.sum("frp"), 2).alias("sum_frp"), ((F.max("frp") > 50) | (F.avg("confidence") > 80)).alias("is_significant"),
+        F.round(F.sum("frp"), 2).alias("sum_frp"), F.round(F.avg("frp") + 1e-7, 4).alias("avg_frp"), ((F.max("frp") > 50) | (F.avg("confidence") > 80)).alias("is_significant"),
     )
 
 
 def consolidate(fires: DataFrame, eps: float = 1000.0, buffer_days: int = 5) -> DataFrame:
-    """(id, survivor): live events near each other, equal in province, whose spans overlap within a buffer."""
-    live = fires.filter(F.col("status").isin("active", "monitoring")).select("id", "lat", "lon", "province", F.col("start_date").cast("date").alias("s"), F.col("end_date").cast("date").alias("e"))
+    """(id, survivor): active events near each other, equal in province, whose spans overlap within a buffer.
+
+    Chains are closed: the smallest id of all events that links reach survives.
+    """
+    live = fires.filter(F.col("status") == "active").select("id", "lat", "lon", "province", F.col("start_date").cast("date").alias("s"), F.col("end_date").cast("date").alias("e"))
     near = neighbours(live, eps)
     a, b = (live.select(*[F.col(c).alias(f"{c}_{k}") for c in ("id", "province", "s", "e")]) for k in "ab")
     both = near.join(a, F.col("a") == F.col("id_a")).join(b, F.col("b") == F.col("id_b"))
@@ -102,6 +107,16 @@ def consolidate(fires: DataFrame, eps: float = 1000.0, buffer_days: int = 5) ->
     return components(edges).select("id", F.col("component").alias("survivor"))
 
 
+def merged(fires: DataFrame, survivors: DataFrame) -> DataFrame:
+    """The surviving events recomputed over what was merged into them."""
+    g = fires.join(survivors, "id").groupBy(F.col("survivor").alias("id"))
+    weight = F.sum(F.col("avg_confidence") * F.col("total_detections")) / F.nullif(F.sum("total_detections"), F.lit(0))
+    return g.agg(
+        F.count(F.lit(1)).alias("n_merged"), F.min("start_date").alias("start_date"), F.max("end_date").alias("end_date"), F.sum("total_detections").alias("total_detections"), F.max("max_frp").alias("max_frp"),
+        F.floor(weight * 10000 + 0.5).alias("confidence_e4"), F.floor(F.avg("lat") * 10000 + 0.5).alias("lat_e4"), F.floor(F.avg("lon") * 10000 + 0.5).alias("lon_e4"),
+    )
+
+
 def covered(areas: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
     """Areas by each grid cell that their box covers."""
     span = lambda lo, hi, base: F.explode(F.sequence(F.floor((F.col(lo) + base - margin) / size).cast("long"), F.floor((F.col(hi) + base + margin) / size).cast("long")))

@@ -47,15 +47,16 @@ LIVE = "(coalesce(status IN ('active', 'monitoring'), coalesce(end_date, start_d
 
 fires_query("fires_list_page", ITEM + " ORDER BY start_date DESC, id LIMIT 20 OFFSET 20")(lambda f: O.page(f, [F.desc("start_date"), F.col("id")], 2, None).transform(O.items))
 fires_query("fires_list_null_order", "SELECT id, estimated_area_hectares FROM fires ORDER BY estimated_area_hectares DESC NULLS FIRST, id LIMIT 100")(lambda f: O.page(f, [F.desc_nulls_first("estimated_area_hectares"), F.col("id")], 1, 500).select("id", "estimated_area_hectares"))
-fires_query("fires_keyset_page", "SELECT id FROM fires WHERE start_date < TIMESTAMP '1999-01-01' ORDER BY start_date DESC, id LIMIT 50")(lambda f: O.keyset(f, "1999-01-01", 50).select("id"))
+fires_query("fires_keyset_page", "SELECT id FROM fires WHERE start_date < TIMESTAMP '1999-01-01' OR (start_date = TIMESTAMP '1999-01-01' AND id > 30) ORDER BY start_date DESC, id LIMIT 50")(lambda f: O.keyset(f, "1999-01-01", 30, 50).select("id"))
 fires_query("fires_items", ITEM)(O.items)
 fires_query("fires_search_bbox", "SELECT id FROM fires WHERE lon > -70 AND lon < -60 AND lat > -40 AND lat < -30 AND avg_confidence >= 50 AND total_detections >= 3")(lambda f: O.Filters(AS_OF, box=(-70, -40, -60, -30), min_confidence=50, min_detections=3).apply(f).select("id"))
-fires_query("fires_search_text", "SELECT id, province FROM fires WHERE province ILIKE '%ion_1%' AND start_date >= TIMESTAMP '1998-01-01' AND start_date < TIMESTAMP '1999-01-01'")(lambda f: O.Filters(AS_OF, search=" ion_1 ", date_from="1998-01-01", date_to="1998-12-31").apply(f).select("id", "province"))
+fires_query("fires_search_text", "SELECT id, province FROM fires WHERE (coalesce(lower(province) LIKE '%ñ1%', false) OR coalesce(lower(department) LIKE '%ñ1%', false)) AND start_date >= TIMESTAMP '1998-01-01' AND start_date < TIMESTAMP '1999-01-01'")(lambda f: O.Filters(AS_OF, search=" N1 ", date_from="1998-01-01", date_to="1998-12-31").apply(f).select("id", "province"))
 fires_query("fires_status_active", f"SELECT id FROM fires WHERE {LIVE}")(lambda f: O.Filters(AS_OF, status="active").apply(f).select("id"))
 fires_query("fires_status_historical", f"SELECT id FROM fires WHERE NOT {LIVE}")(lambda f: O.Filters(AS_OF, status="historical").apply(f).select("id"))
-fires_query("stats_kpi", """SELECT count(*) AS total, count(*) FILTER (status = 'active') AS active, greatest(count(*) - count(*) FILTER (status = 'active'), 0) AS historical,
- count(*) FILTER (max_frp > 50 OR avg_confidence > 80) AS significant, coalesce(sum(total_detections), 0)::BIGINT AS detections, round(coalesce(sum(estimated_area_hectares), 0.0), 2) AS area,
- round(coalesce(avg(avg_confidence), 0.0), 4) AS confidence, round(count(*) FILTER (status = 'active') * 100.0::DOUBLE / count(*), 4) AS active_share FROM fires""")(O.kpis)
+fires_query("stats_kpi", """SELECT count(*) AS total, count(*) FILTER (a) AS active, greatest(count(*) - count(*) FILTER (a), 0) AS historical,
+ count(*) FILTER (is_significant) AS significant, coalesce(sum(total_detections), 0)::BIGINT AS detections, round(coalesce(sum(estimated_area_hectares), 0.0), 2) AS area,
+ round(coalesce(avg(avg_confidence), 0.0), 4) AS confidence, round(coalesce(avg(estimated_area_hectares), 0.0), 4) AS mean_area, round(count(*) FILTER (a) * 100.0::DOUBLE / count(*), 4) AS active_share FROM
+ (SELECT *, coalesce(status IN ('active', 'monitoring') OR (status IS NULL AND coalesce(last_seen_at, end_date, start_date) >= TIMESTAMP '2001-08-11'), false) AS a FROM fires)""")(lambda f: O.kpis(f, AS_OF))
 fires_query("stats_median_area", "SELECT round(coalesce(quantile_cont(estimated_area_hectares, 0.5), 0.0), 4) AS median_area FROM fires")(O.median_area)
 fires_query("stats_by_province", "SELECT coalesce(province, 'Unknown') AS province, count(*) AS n, max(start_date) AS latest FROM fires GROUP BY 1")(O.by_province)
 fires_query("stats_by_month", "SELECT strftime(start_date, '%Y-%m') AS month, count(*) AS n FROM fires GROUP BY 1")(O.by_month)
@@ -71,7 +72,7 @@ fires_query("trend_series", SERIES)(O.series)
 fires_query("trend_direction", f"SELECT round(r, 2) AS rate, CASE WHEN r > 5 THEN 'increasing' WHEN r < -5 THEN 'decreasing' ELSE 'stable' END AS direction, last FROM {RATE}")(lambda f: O.direction(O.series(f)))
 fires_query("trend_projection", f"SELECT k::INT AS ahead, round(v, 2) AS n, round(v * 0.8::DOUBLE, 2) AS low, round(v * 1.2::DOUBLE, 2) AS high FROM (SELECT k, greatest(last + k * (round(r, 2) / 100 * last), 0.0) AS v FROM {RATE}, range(1, 4) t(k))")(lambda f: O.projection(O.series(f)))
 CELL = "(floor((lat + 90) / 0.5)::BIGINT * 1000000 + floor((lon + 180) / 0.5)::BIGINT)"
-fires_query("recurrence_live", f"SELECT cell, n, max_frp, CASE WHEN n >= 5 THEN 'high' WHEN n >= 2 THEN 'medium' ELSE 'low' END AS class, round(least(n / 10, 1.0), 4)::DOUBLE AS score FROM (SELECT {CELL} AS cell, count(*) AS n, max(max_frp) AS max_frp FROM fires GROUP BY 1)")(O.recurrence)
+fires_query("recurrence_live", f"SELECT cell, n, max_frp, CASE WHEN n >= 5 THEN 'high' WHEN n >= 2 THEN 'medium' ELSE 'low' END AS class, round(least(n / 10, 1.0), 4)::DOUBLE AS score FROM (SELECT {CELL} AS cell, count(*) AS n, max(max_frp) AS max_frp FROM fires WHERE lon BETWEEN -70 AND -56 AND lat BETWEEN -50 AND -30 GROUP BY 1) ORDER BY least(n, 10) DESC, cell LIMIT 500")(lambda f: O.recurrence(f, (-70, -50, -56, -30)))
 fires_query("recurrence_view", f"SELECT cell, n, n5, n1, CASE WHEN n5 > 3 THEN 'high' WHEN n5 >= 1 THEN 'medium' ELSE 'low' END AS class, round(least(n5 / 5, 1.0), 4)::DOUBLE AS score FROM (SELECT {CELL} AS cell, count(*) AS n, count(*) FILTER (start_date::DATE >= DATE '1996-08-11') AS n5, count(*) FILTER (start_date::DATE >= DATE '2000-08-11') AS n1 FROM fires GROUP BY 1)")(lambda f: O.recurrence_view(f, AS_OF))
 fires_query("episode_metrics", """SELECT concat(site_id, '-', strftime(start_date, '%Y-%m')) AS episode_id, count(*) AS n_events, min(start_date) AS start_date, max(end_date) AS end_date, sum(total_detections)::BIGINT AS detections,
  coalesce(array_to_string(list_sort(list_distinct(list(province) FILTER (province IS NOT NULL))), ','), '') AS provinces, round(min(lat), 6) AS south, round(max(lat), 6) AS north, max(max_frp) AS max_frp, coalesce(bool_or(status IN ('active', 'monitoring')), false) AS live FROM fires GROUP BY 1""")(E.metrics)
@@ -110,7 +111,6 @@ query("nearest_areas", f"SELECT area_id, round({distance(*POINT, f'greatest(sout
 query("park_alerts", """SELECT area_id, round(o, 4) AS occupancy, CASE WHEN o >= 1.2 THEN 'alert' WHEN o >= 0.8 THEN 'watch' ELSE 'normal' END AS level FROM (SELECT area_id, least(2.0, count(id) * 10.0::DOUBLE / carrying_capacity) AS o FROM areas LEFT JOIN fires ON """ + INSIDE + " GROUP BY area_id, carrying_capacity)", "fires", "areas")(
     lambda s, d: load(s, d, "areas").join(spatial.crossing(*both(s, d)).filter("overlap = 100").groupBy("area_id").agg(F.count(F.lit(1)).alias("n")), "area_id", "left").withColumn("o", F.least(F.lit(2.0), F.coalesce("n", F.lit(0)) * 10.0 / F.col("carrying_capacity"))).select("area_id", F.round("o", 4).alias("occupancy"), scoring.steps(F.col("o"), [(1.2, "alert"), (0.8, "watch")], "normal").alias("level"))
 )
-query("consolidate_events", None)(lambda s, d: spatial.consolidate(load(s, d, "fires")))
 
 # Scenes.
 query("image_nearest", """SELECT event_id, scene_id, gap::INT AS gap FROM (SELECT event_id, scene_id, gap, row_number() OVER (PARTITION BY event_id ORDER BY gap, acquired_on, scene_id) AS k FROM
@@ -118,7 +118,7 @@ query("image_nearest", """SELECT event_id, scene_id, gap::INT AS gap FROM (SELEC
 query("image_threshold_scan", """SELECT event_id, scene_id, level FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY level, acquired_on DESC, scene_id) AS k FROM
  (SELECT *, CASE WHEN cloud_cover < 10 THEN 10 WHEN cloud_cover < 20 THEN 20 WHEN cloud_cover < 30 THEN 30 WHEN cloud_cover < 50 THEN 50 END AS level FROM scenes) WHERE level IS NOT NULL) WHERE k = 1""", "scenes")(lambda s, d: E.threshold_scan(load(s, d, "scenes")))
 query("dnbr_severity", """SELECT event_id, d AS dnbr, CASE WHEN d >= 0.66 THEN 'high' WHEN d >= 0.44 THEN 'moderate_high' WHEN d >= 0.27 THEN 'moderate_low' WHEN d >= 0.1 THEN 'low' ELSE 'unburned' END AS severity FROM
- (SELECT event_id, round(arg_max(nbr, (acquired_on, scene_id)) - arg_min(nbr, (acquired_on, scene_id)), 6) + 0.0 AS d FROM (SELECT *, (nir - swir) / (nir + swir) AS nbr FROM scenes) GROUP BY 1 HAVING count(*) > 1)""", "scenes")(lambda s, d: E.burn_severity(load(s, d, "scenes")))
+ (SELECT event_id, floor((arg_max(nbr, (acquired_on, scene_id)) - arg_min(nbr, (acquired_on, scene_id))) * 1e6 + 0.5) / 1e6 + 0.0 AS d FROM (SELECT *, (nir - swir) / (nir + swir) AS nbr FROM scenes) GROUP BY 1 HAVING count(*) > 1)""", "scenes")(lambda s, d: E.burn_severity(load(s, d, "scenes")))
 query("recovery_series", """SELECT event_id, scene_id, m::INT AS months, p AS pct, CASE WHEN p >= 90 THEN 'full_recovery' WHEN p >= 60 THEN 'advanced_recovery' WHEN p >= 30 THEN 'moderate_recovery' WHEN p >= 10 THEN 'early_recovery' ELSE 'no_recovery' END AS class,
  round(CASE WHEN m <= 0 THEN 0 WHEN m <= 3 THEN m / 3 * 0.15 WHEN m <= 6 THEN 0.15 + (m - 3) / 3 * 0.15 WHEN m <= 12 THEN 0.3 + (m - 6) / 6 * 0.2 WHEN m <= 24 THEN 0.5 + (m - 12) / 12 * 0.2 WHEN m <= 36 THEN 0.7 + (m - 24) / 12 * 0.15 ELSE 0.85 END, 6)::DOUBLE AS expected FROM
  (SELECT event_id, scene_id, ((year(acquired_on) - year(b)) * 12 + month(acquired_on) - month(b))::DOUBLE AS m, round(CASE WHEN base <= 0 THEN CASE WHEN ndvi > 0.4 THEN 100.0 ELSE 0.0 END ELSE greatest(0.0, least(100.0, ndvi / base * 100)) END, 4)::DOUBLE AS p FROM
@@ -130,8 +130,8 @@ QUALITY = """SELECT id, round(x, 2)::DOUBLE AS score, CASE WHEN x >= 80 THEN 'hi
 query("quality_scores", QUALITY, "fires", "scenes")(lambda s, d: E.quality(load(s, d, "fires"), load(s, d, "scenes")))
 
 # Detections.
-hashed = lambda s, d: load(s, d, "detections").withColumn("detection_hash", ingest.detection_hash(F.col("satellite"), F.col("detected_at"), F.col("lat"), F.col("lon")))
-HASH = "sha256(concat_ws('|', satellite, strftime(detected_at, '%Y-%m-%d %H:%M'), floor(lat * 100000 + 0.5)::BIGINT::VARCHAR, floor(lon * 100000 + 0.5)::BIGINT::VARCHAR))"
+hashed = lambda s, d: ingest.hashed(load(s, d, "detections").withColumn("instrument", ingest.instrument(F.col("satellite"))))
+HASH = "sha256(concat_ws('|', satellite, CASE WHEN upper(satellite) LIKE '%VIIRS%' THEN 'VIIRS' ELSE 'MODIS' END, strftime(detected_at, '%Y-%m-%dT%H:%M:%S') || '+00:00', printf('%.5f', lat), printf('%.5f', lon), printf('%.2f', frp), confidence::VARCHAR))"
 query("ingest_hash", f"SELECT id, {HASH} AS detection_hash FROM detections", "detections")(lambda s, d: hashed(s, d).select("id", "detection_hash"))
 query("ingest_dedup", f"SELECT min(id) AS id, h AS detection_hash FROM (SELECT id, detected_at, {HASH} AS h FROM detections) WHERE detected_at >= TIMESTAMP '2024-01-15' AND h NOT IN (SELECT {HASH} FROM detections WHERE detected_at < TIMESTAMP '2024-01-15') GROUP BY h", "detections")(
     lambda s, d: ingest.new_only(hashed(s, d).filter("detected_at >= timestamp_ntz'2024-01-15'"), hashed(s, d).filter("detected_at < timestamp_ntz'2024-01-15'")).select("id", "detection_hash")
@@ -159,18 +159,32 @@ NEAR = f"d AS (SELECT *, epoch(detected_at) AS t FROM detections), pairs AS (SEL
 query("stdbscan_neighbours", NEAR.join([", ", " SELECT a, b FROM pairs"]), "detections")(lambda s, d: spatial.neighbours(timed(s, d), EPS, WINDOW))
 query("stdbscan_labels", NEAR.join([", ", """, e AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), reach AS (SELECT x.id, min(y.id) AS label FROM d x JOIN (SELECT DISTINCT * FROM walk) w ON w.a = x.id JOIN d y ON y.id = w.b GROUP BY 1)
  SELECT d.id, r.label FROM d LEFT JOIN reach r ON d.id = r.id""".replace("walk", "(WITH RECURSIVE r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT * FROM r)")]), "detections")(lambda s, d: spatial.dbscan(timed(s, d), EPS, 2, WINDOW))
-query("stdbscan_events", None)(lambda s, d: spatial.cluster_events(load(s, d, "detections"), spatial.dbscan(timed(s, d), EPS, 2, WINDOW)))
-query("daily_dbscan_events", None)(lambda s, d: spatial.cluster_events(load(s, d, "detections"), spatial.dbscan(timed(s, d).filter("confidence >= 50"), 1000.0, 2, partition="day")))
+# Two points make a cluster here, so that every linked point is core and clusters are the components.
+WALK = ", e AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), labels AS (SELECT a AS id, least(a, min(b)) AS label FROM (WITH RECURSIVE r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT * FROM r) GROUP BY a)"
+CLUSTERS = """ SELECT label AS event_id, count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, min(detected_at) AS start_date, max(detected_at) AS end_date, round(max(frp), 2) AS max_frp, round(sum(frp), 2) AS sum_frp, round(avg(frp) + 1e-7, 4) AS avg_frp,
+ (max(frp) > 50 OR avg(confidence) > 80) AS is_significant FROM detections JOIN labels ON detections.id = labels.id GROUP BY 1"""
+query("stdbscan_events", NEAR.join([", ", WALK + CLUSTERS]), "detections")(lambda s, d: spatial.cluster_events(load(s, d, "detections"), spatial.dbscan(timed(s, d), EPS, 2, WINDOW)))
+DAILY = f"pairs AS (SELECT a.id AS a, b.id AS b FROM detections a JOIN detections b ON a.id < b.id AND a.detected_at::DATE = b.detected_at::DATE AND a.confidence >= 50 AND b.confidence >= 50 WHERE {distance('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 1000)"
+query("daily_dbscan_events", DAILY.join([", ", WALK + CLUSTERS]), "detections")(lambda s, d: spatial.cluster_events(load(s, d, "detections"), spatial.dbscan(timed(s, d).filter("confidence >= 50"), 1000.0, 2, partition="day")))
+SAME = f"""pairs AS (SELECT a.id AS a, b.id AS b FROM fires a JOIN fires b ON a.id < b.id AND abs(a.lat - b.lat) < 0.02 AND abs(a.lon - b.lon) < 0.05 WHERE a.status = 'active' AND b.status = 'active' AND coalesce(a.province = b.province, true)
+ AND a.start_date::DATE <= b.end_date::DATE + 5 AND b.start_date::DATE <= a.end_date::DATE + 5 AND {distance('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 1000)"""
+query("consolidate_events", SAME.join([", ", WALK + " SELECT id, label AS survivor FROM labels"]), "fires")(lambda s, d: spatial.consolidate(load(s, d, "fires")))
+query("merged_events", SAME.join([", ", WALK + """ SELECT label AS id, count(*) AS n_merged, min(start_date) AS start_date, max(end_date) AS end_date, sum(total_detections)::BIGINT AS total_detections, max(max_frp) AS max_frp,
+ floor(sum(avg_confidence * total_detections) / nullif(sum(total_detections), 0) * 10000 + 0.5)::BIGINT AS confidence_e4, floor(avg(lat) * 10000 + 0.5)::BIGINT AS lat_e4, floor(avg(lon) * 10000 + 0.5)::BIGINT AS lon_e4 FROM fires JOIN labels ON fires.id = labels.id GROUP BY 1"""]), "fires")(
+    lambda s, d: spatial.merged(load(s, d, "fires"), spatial.consolidate(load(s, d, "fires")))
+)
+query("legacy_hash", "SELECT id, substring(md5(concat_ws('|', printf('%.5f', lat), printf('%.5f', lon), strftime(detected_at, '%Y-%m-%d'), strftime(detected_at, '%H%M'), satellite)), 1, 16) AS legacy_hash FROM detections", "detections")(
+    lambda s, d: load(s, d, "detections").select("id", ingest.legacy_hash(F.col("satellite"), F.col("detected_at"), F.col("lat"), F.col("lon")).alias("legacy_hash"))
+)
 
 # Text and prices.
-query("normalize_text", "SELECT doc_id, md5(translate(lower(trim(coalesce(text, ''))), 'áéíóúüñ', 'aeiouun')) AS h FROM documents WHERE text IS NOT NULL")(
-    lambda s, d: table(s, d, "documents").filter("text IS NOT NULL").select("doc_id", F.md5(F.translate(F.lower(F.trim("text")), "áéíóúüñ", "aeiouun")).alias("h"))
-)
-SQL_RED = "text"
-for _pattern, _put in text.REDACTIONS:
-    SQL_RED = f"regexp_replace({SQL_RED}, '{_pattern}', '{_put.replace('$', chr(92))}', 'g')"
-query("redact_pii", f"SELECT doc_id, md5({SQL_RED}) AS h FROM documents WHERE text IS NOT NULL")(lambda s, d: table(s, d, "documents").filter("text IS NOT NULL").select("doc_id", F.md5(text.redact(F.col("text"))).alias("h")))
-query("scrape_text", r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS h FROM pages WHERE html IS NOT NULL")(lambda s, d: table(s, d, "pages").filter("html IS NOT NULL").select("page_id", F.md5(text.visible(F.col("html"))).alias("h")))
+PLAIN = "translate(lower(trim(text)), 'áàâãäéèêëíìîïóòôõöúùûüñç', 'aaaaaeeeeiiiiooooouuuunc')"
+query("normalize_text", f"SELECT doc_id, md5({PLAIN}) AS h FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", F.md5(text.plain(F.col("text"))).alias("h")))
+REDACTED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+ '([\p{L}\p{N}_.-])[\p{L}\p{N}_.-]*@([\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]+)', '\1***@\2', 'g'), '\b(\d{1,3}\.\d{1,3}\.\d{1,3}\.)\d{1,3}\b', '\1***', 'g'), 'eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+', '[JWT_REDACTED]', 'g'),
+ '\b[[:xdigit:]]{32,}\b', '[API_KEY_REDACTED]', 'g'), '(password|passwd|pwd|secret)["'']?\s*[:=]\s*["'']?[^"''&\s]+', '\1=[REDACTED]', 'gi'), '\+?54[\s-]?\d{1,4}[\s-]?\d{4,8}', '[PHONE_REDACTED]', 'g'), '\b\d{2}-\d{7,8}-\d\b', '[CUIT_REDACTED]', 'g')"""
+query("redact_pii", f"SELECT doc_id, md5({REDACTED}) AS h FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", F.md5(text.redact(F.col("text"))).alias("h")))
+query("scrape_text", r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS h FROM pages")(lambda s, d: table(s, d, "pages").select("page_id", F.md5(text.visible(F.col("html"))).alias("h")))
 query("credit_prices", "SELECT p_size, CASE WHEN p_size = 5 THEN 2.50::DECIMAL(10,2) WHEN p_size = 12 THEN 5.00::DECIMAL(10,2) WHEN p_size = 25 THEN 10.00::DECIMAL(10,2) ELSE (p_size * 0.50::DECIMAL(10,2))::DECIMAL(10,2) END::DOUBLE AS usd, count(*) AS n FROM part GROUP BY 1")(
     lambda s, d: table(s, d, "part").groupBy("p_size").agg(F.count(F.lit(1)).alias("n")).select("p_size", scoring.credit_price(F.col("p_size")).cast("double").alias("usd"), "n")
 )

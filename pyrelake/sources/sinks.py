@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Columns of the event export, in order.
-EXPORT = ("id", "start_date", "end_date", "status", "province", "lat", "lon", "total_detections", "max_frp", "avg_confidence", "estimated_area_hectares")
+EXPORT = ("id", "start_date", "end_date", "last_seen_at", "status", "province", "department", "lat", "lon", "total_detections", "max_frp", "avg_confidence", "estimated_area_hectares", "is_significant")
 
 
 def export_csv(fires: DataFrame, path: str, max_records: int = 10_000) -> None:
@@ -22,8 +22,9 @@ def export_json(fires: DataFrame, path: str, filters: dict[str, str], exported_a
 
 
 def unseen(new: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Rows of ``new`` whose key is neither known nor repeated in ``new``."""
-    return new.dropDuplicates([key]).join(known.select(key), key, "left_anti")
+    """Of rows of ``new`` whose key is not known, one a key: the smallest in the order of all columns."""
+    first = new.groupBy(key).agg(F.min(F.struct(*[c for c in new.columns if c != key])).alias("row")).select(key, "row.*") if len(new.columns) > 1 else new.distinct()
+    return first.select(new.columns).join(known.select(key), key, "left_anti")
 
 
 def append_unseen(new: DataFrame, known: DataFrame, key: str, path: str) -> None:
@@ -35,6 +36,6 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
-def newest(rows: DataFrame, ts: str, keep: int = 1000) -> DataFrame:
-    """The dead-letter table keeps the newest rows only."""
-    return rows.orderBy(F.col(ts).desc()).limit(keep)
+def newest(rows: DataFrame, ts: str, key: str, keep: int = 1000) -> DataFrame:
+    """The dead-letter table keeps the newest rows only; ties go by the key."""
+    return rows.orderBy(F.col(ts).desc(), key).limit(keep)

@@ -90,7 +90,7 @@ def test_dbscan(spark, least):
 
 def test_consolidate(spark):
     f = load(spark, "/root/testdata/sf0.001", "fires")
-    live = {r["id"]: r for r in f.filter("status IN ('active', 'monitoring')").collect()}
+    live = {r["id"]: r for r in f.filter("status = 'active'").collect()}
     near = {i: {i} for i in live}
     for i, j in combinations(live, 2):
         a, b = live[i], live[j]
@@ -123,7 +123,7 @@ def test_scalars(spark):
     assert one(spark, *[scoring.confidence(F.lit(x)) for x in ("l", "Nominal", "high", "250", "-3", "7.9", "?", None)]) == [33, 66, 100, 100, 0, 7, 0, 0]
     assert one(spark, scoring.severity(F.lit(0.4)), scoring.reliability(F.lit(80.0), F.lit(100), F.lit(100), F.lit(100))) == ["moderate_low", 92.0]
     assert str(one(spark, scoring.add_months_28(F.lit("2024-01-31").cast("date"), 1))[0]) == "2024-02-28"
-    assert one(spark, text.plain(F.lit(" Córdoba ")), text.redact(F.lit("ana@x.org 10.1.2.3"))) == ["cordoba", "a***@x.org 10.1.2.xxx"]
+    assert one(spark, text.plain(F.lit(" Córdoba ")), text.redact(F.lit("ana@x.org 10.1.2.3"))) == ["cordoba", "a***@x.org 10.1.2.***"]
     assert str(one(spark, text.decimal(F.lit("1.234,50")))[0]) == "1234.5000"
     with pytest.raises(ValueError):
         fires.public_stats(None, "2000-01-01", "2003-01-01")
