@@ -19,6 +19,13 @@ def lon_degrees(metres: float, lat: Column) -> Column:
     return F.lit(metres / DEGREE) / F.greatest(F.cos(F.radians(lat)), F.lit(0.1))
 
 
+def radius_box(lat: Column, lon: Column, metres: float) -> list[tuple[str, Column]]:
+    """Sides of the box around a point, in 1e-4 degrees."""
+    m = F.lit(metres / DEGREE * 1e4)
+    wide = m / F.greatest(F.cos(F.radians(lat)), F.lit(1e-6))
+    return [("south", lat * 1e4 - m), ("north", lat * 1e4 + m), ("west", lon * 1e4 - wide), ("east", lon * 1e4 + wide)]
+
+
 def in_box(lat: Column, lon: Column, west, south, east, north, strict: bool = False) -> Column:
     """strict: points on the boundary are outside."""
     return (lon > west) & (lon < east) & (lat > south) & (lat < north) if strict else lon.between(west, east) & lat.between(south, north)

@@ -81,6 +81,49 @@ def credit_price(n: Column) -> Column:
     return out.otherwise((n * F.lit("0.50").cast("decimal(10,2)")).cast("decimal(10,2)"))
 
 
+def heat(intensity: Column) -> Column:
+    return steps(intensity, [(0.8, "very_high"), (0.6, "high"), (0.4, "medium"), (0.2, "low")], "very_low")
+
+
+def match(distance: Column, overlap_hours: Column, frp: Column, detections: Column, reach: float, buffer_days: float, weights: tuple[float, ...] = (0.4, 0.3, 0.2, 0.1)) -> Column:
+    """How well an event fits an episode: nearness, shared time, power, size."""
+    most = lambda x: F.least(x, F.lit(1.0))
+    return weights[0] * (1 - most(distance / reach)) + weights[1] * most(overlap_hours / (buffer_days * 24)) + weights[2] * most(F.coalesce(frp, F.lit(0.0)) / 100) + weights[3] * most(detections / 50)
+
+
+#: Categories of protected areas by their Spanish names.
+CATEGORIES = {
+    "parque nacional": "national_park",
+    "reserva nacional": "national_reserve",
+    "monumento natural": "natural_monument",
+    "reserva natural estricta": "national_reserve",
+    "reserva natural silvestre": "national_reserve",
+    "parque provincial": "provincial_park",
+    "reserva provincial": "provincial_reserve",
+    "reserva natural provincial": "provincial_reserve",
+    "area natural protegida": "provincial_reserve",
+    "reserva de biosfera": "biosphere_reserve",
+    "sitio ramsar": "ramsar_site",
+    "patrimonio mundial": "world_heritage",
+    "reserva municipal": "municipal_reserve",
+    "reserva privada": "private_reserve",
+    "refugio de vida silvestre": "wildlife_refuge",
+    "area marina protegida": "marine_park",
+    "parque marino": "marine_park",
+}
+#: Categories whose prohibition lasts 60 years; 30 for the others.
+LONG_PROHIBITION = ("national_park", "national_reserve", "natural_monument", "biosphere_reserve", "world_heritage")
+
+
+def area_category(raw: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for kv in CATEGORIES.items() for x in kv])
+    return F.coalesce(F.try_element_at(known, F.lower(F.trim(raw))), F.lit("other"))
+
+
+def prohibition_years(category: Column) -> Column:
+    return F.when(category.isin(*LONG_PROHIBITION), 60).otherwise(30)
+
+
 def months_between(a: Column, b: Column) -> Column:
     """Calendar months, days ignored."""
     return (F.year(b) - F.year(a)) * 12 + F.month(b) - F.month(a)

@@ -70,7 +70,7 @@ def threshold_scan(scenes: DataFrame, thresholds: tuple[int, ...] = (10, 20, 30,
 def burn_severity(scenes: DataFrame) -> DataFrame:
     """Change of the burn ratio from the first scene to the last."""
     nbr = (F.col("nir") - F.col("swir")) / (F.col("nir") + F.col("swir"))
-    order = F.struct("acquired_on", "scene_id")
+    order = F.struct("acquired_on", "scene_id", "nbr")
     g = scenes.withColumn("nbr", nbr).groupBy("event_id").agg(F.min_by("nbr", order).alias("post"), F.max_by("nbr", order).alias("pre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     d = S.rounded(F.col("pre") - F.col("post"), 6)
     return g.select("event_id", d.alias("dnbr"), S.severity(d).alias("severity"))
@@ -79,7 +79,7 @@ def burn_severity(scenes: DataFrame) -> DataFrame:
 def recovery(scenes: DataFrame) -> DataFrame:
     """Vegetation of each later scene against the first one, with class and what was to be expected."""
     ndvi = (F.col("nir") - F.col("red")) / (F.col("nir") + F.col("red"))
-    w = Window.partitionBy("event_id").orderBy("acquired_on", "scene_id")
+    w = Window.partitionBy("event_id").orderBy("acquired_on", "scene_id", "nir", "red")
     j = scenes.withColumn("ndvi", ndvi).withColumn("base", F.first("ndvi").over(w)).withColumn("from", F.first("acquired_on").over(w))
     pct = F.round(S.recovery(F.col("ndvi"), F.col("base")), 4)
     months = S.months_between(F.col("from"), F.col("acquired_on"))

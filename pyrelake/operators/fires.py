@@ -172,6 +172,29 @@ def recurrence(fires: DataFrame, box: tuple[float, float, float, float], size: f
     return g.orderBy(F.least(F.col("n"), F.lit(10)).desc(), "cell").limit(most).select("cell", "n", "max_frp", F.when(F.col("n") >= 5, "high").when(F.col("n") >= 2, "medium").otherwise("low").alias("class"), F.round(F.least(F.col("n") / 10, F.lit(1.0)), 4).alias("score"))
 
 
+def cell_count(fires: DataFrame, box: tuple[float, float, float, float], size: float = 0.5) -> DataFrame:
+    """Cells with events in a box."""
+    from ..functions.geo import cell
+
+    return fires.filter(in_box(F.col("lat"), F.col("lon"), *box)).agg(F.countDistinct(cell(F.col("lat"), F.col("lon"), size)).alias("n"))
+
+
+def guarded_recurrence(fires: DataFrame, box: tuple[float, float, float, float], size: float = 0.5, most_cells: int = 5000) -> DataFrame:
+    """Recurrence, or an error where the box has too many cells."""
+    if (n := cell_count(fires, box, size).first()["n"]) > most_cells:
+        raise ValueError(f"{n} cells: reduce the area")
+    return recurrence(fires, box, size)
+
+
+def search_with_areas(fires: DataFrame, crossings: DataFrame, areas: DataFrame, text: str) -> DataFrame:
+    """Events whose province, department or protected area holds a text, whatever its case and accents; shorter than two characters finds all."""
+    if len(text.strip()) < 2:
+        return fires
+    holds = lambda c: F.coalesce(plain(F.col(c)).contains(plain(F.lit(text))), F.lit(False))
+    named = crossings.filter("overlap = 100").join(areas.filter(holds("official_name")).select("area_id"), "area_id", "left_semi").select("id", F.lit(True).alias("named")).distinct()
+    return fires.join(named, "id", "left").filter(holds("province") | holds("department") | F.col("named").isNotNull()).drop("named")
+
+
 def recurrence_view(fires: DataFrame, as_of: str, size: float = 0.5) -> DataFrame:
     """Recurrence within one and five years of ``as_of``."""
     from ..functions.geo import cell

@@ -87,7 +87,7 @@ def cluster_events(detections: DataFrame, labels: DataFrame) -> DataFrame:
     """One event a cluster: counts, centre, span, power."""
     g = detections.join(labels.filter("label IS NOT NULL"), "id").groupBy(F.col("label").alias("event_id"))
     return g.agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"), F.min("detected_at").alias("start_date"), F.max("detected_at").alias("end_date"), F.round(F.max("frp"), 2).alias("max_frp"),
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("lat") + 1e-9, 6).alias("lat"), F.round(F.avg("lon") + 1e-9, 6).alias("lon"), F.min("detected_at").alias("start_date"), F.max("detected_at").alias("end_date"), F.round(F.max("frp"), 2).alias("max_frp"),
         F.round(F.sum("frp"), 2).alias("sum_frp"), F.round(F.avg("frp") + 1e-7, 4).alias("avg_frp"), ((F.max("frp") > 50) | (F.avg("confidence") > 80)).alias("is_significant"),
     )
 

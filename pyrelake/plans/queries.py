@@ -118,11 +118,11 @@ query("image_nearest", """SELECT event_id, scene_id, gap::INT AS gap FROM (SELEC
 query("image_threshold_scan", """SELECT event_id, scene_id, level FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY level, acquired_on DESC, scene_id) AS k FROM
  (SELECT *, CASE WHEN cloud_cover < 10 THEN 10 WHEN cloud_cover < 20 THEN 20 WHEN cloud_cover < 30 THEN 30 WHEN cloud_cover < 50 THEN 50 END AS level FROM scenes) WHERE level IS NOT NULL) WHERE k = 1""", "scenes")(lambda s, d: E.threshold_scan(load(s, d, "scenes")))
 query("dnbr_severity", """SELECT event_id, d AS dnbr, CASE WHEN d >= 0.66 THEN 'high' WHEN d >= 0.44 THEN 'moderate_high' WHEN d >= 0.27 THEN 'moderate_low' WHEN d >= 0.1 THEN 'low' ELSE 'unburned' END AS severity FROM
- (SELECT event_id, floor((arg_max(nbr, (acquired_on, scene_id)) - arg_min(nbr, (acquired_on, scene_id))) * 1e6 + 0.5) / 1e6 + 0.0 AS d FROM (SELECT *, (nir - swir) / (nir + swir) AS nbr FROM scenes) GROUP BY 1 HAVING count(*) > 1)""", "scenes")(lambda s, d: E.burn_severity(load(s, d, "scenes")))
+ (SELECT event_id, floor((arg_max(nbr, (acquired_on, scene_id, nbr)) - arg_min(nbr, (acquired_on, scene_id, nbr))) * 1e6 + 0.5) / 1e6 + 0.0 AS d FROM (SELECT *, (nir - swir) / (nir + swir) AS nbr FROM scenes) GROUP BY 1 HAVING count(*) > 1)""", "scenes")(lambda s, d: E.burn_severity(load(s, d, "scenes")))
 query("recovery_series", """SELECT event_id, scene_id, m::INT AS months, p AS pct, CASE WHEN p >= 90 THEN 'full_recovery' WHEN p >= 60 THEN 'advanced_recovery' WHEN p >= 30 THEN 'moderate_recovery' WHEN p >= 10 THEN 'early_recovery' ELSE 'no_recovery' END AS class,
  round(CASE WHEN m <= 0 THEN 0 WHEN m <= 3 THEN m / 3 * 0.15 WHEN m <= 6 THEN 0.15 + (m - 3) / 3 * 0.15 WHEN m <= 12 THEN 0.3 + (m - 6) / 6 * 0.2 WHEN m <= 24 THEN 0.5 + (m - 12) / 12 * 0.2 WHEN m <= 36 THEN 0.7 + (m - 24) / 12 * 0.15 ELSE 0.85 END, 6)::DOUBLE AS expected FROM
  (SELECT event_id, scene_id, ((year(acquired_on) - year(b)) * 12 + month(acquired_on) - month(b))::DOUBLE AS m, round(CASE WHEN base <= 0 THEN CASE WHEN ndvi > 0.4 THEN 100.0 ELSE 0.0 END ELSE greatest(0.0, least(100.0, ndvi / base * 100)) END, 4)::DOUBLE AS p FROM
- (SELECT *, first(ndvi) OVER w AS base, first(acquired_on) OVER w AS b FROM (SELECT *, (nir - red) / (nir + red) AS ndvi FROM scenes) WINDOW w AS (PARTITION BY event_id ORDER BY acquired_on, scene_id)))""", "scenes")(lambda s, d: E.recovery(load(s, d, "scenes")))
+ (SELECT *, first(ndvi) OVER w AS base, first(acquired_on) OVER w AS b FROM (SELECT *, (nir - red) / (nir + red) AS ndvi FROM scenes) WINDOW w AS (PARTITION BY event_id ORDER BY acquired_on, scene_id, nir, red)))""", "scenes")(lambda s, d: E.recovery(load(s, d, "scenes")))
 QUALITY = """SELECT id, round(x, 2)::DOUBLE AS score, CASE WHEN x >= 80 THEN 'high' WHEN x >= 50 THEN 'medium' ELSE 'low' END AS class,
  concat_ws(',', CASE WHEN avg_confidence < 50 THEN 'low_confidence' END, CASE WHEN n = 0 THEN 'no_imagery' END, CASE WHEN area IS NULL THEN 'no_climate' END, CASE WHEN k < 2 THEN 'single_source' END) AS limitations FROM
  (SELECT *, greatest(0.0, least(100.0, avg_confidence * 0.4::DOUBLE + CASE WHEN n > 0 THEN 100 ELSE 0 END * 0.2::DOUBLE + CASE WHEN area IS NOT NULL THEN 100 ELSE 0 END * 0.2::DOUBLE + CASE WHEN k >= 3 THEN 100 WHEN k = 2 THEN 50 ELSE 0 END * 0.2::DOUBLE)) AS x FROM
@@ -161,7 +161,7 @@ query("stdbscan_labels", NEAR.join([", ", """, e AS (SELECT a, b FROM pairs UNIO
  SELECT d.id, r.label FROM d LEFT JOIN reach r ON d.id = r.id""".replace("walk", "(WITH RECURSIVE r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT * FROM r)")]), "detections")(lambda s, d: spatial.dbscan(timed(s, d), EPS, 2, WINDOW))
 # Two points make a cluster here, so that every linked point is core and clusters are the components.
 WALK = ", e AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), labels AS (SELECT a AS id, least(a, min(b)) AS label FROM (WITH RECURSIVE r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT * FROM r) GROUP BY a)"
-CLUSTERS = """ SELECT label AS event_id, count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, min(detected_at) AS start_date, max(detected_at) AS end_date, round(max(frp), 2) AS max_frp, round(sum(frp), 2) AS sum_frp, round(avg(frp) + 1e-7, 4) AS avg_frp,
+CLUSTERS = """ SELECT label AS event_id, count(*) AS n, round(avg(lat) + 1e-9, 6) AS lat, round(avg(lon) + 1e-9, 6) AS lon, min(detected_at) AS start_date, max(detected_at) AS end_date, round(max(frp), 2) AS max_frp, round(sum(frp), 2) AS sum_frp, round(avg(frp) + 1e-7, 4) AS avg_frp,
  (max(frp) > 50 OR avg(confidence) > 80) AS is_significant FROM detections JOIN labels ON detections.id = labels.id GROUP BY 1"""
 query("stdbscan_events", NEAR.join([", ", WALK + CLUSTERS]), "detections")(lambda s, d: spatial.cluster_events(load(s, d, "detections"), spatial.dbscan(timed(s, d), EPS, 2, WINDOW)))
 DAILY = f"pairs AS (SELECT a.id AS a, b.id AS b FROM detections a JOIN detections b ON a.id < b.id AND a.detected_at::DATE = b.detected_at::DATE AND a.confidence >= 50 AND b.confidence >= 50 WHERE {distance('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 1000)"
