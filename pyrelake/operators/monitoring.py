@@ -47,7 +47,7 @@ def recovery_summary(scenes: DataFrame) -> DataFrame:
 
 def recovery_trend(scenes: DataFrame) -> DataFrame:
     """Slope of the recovered share over the scenes in order; confidence grows with it."""
-    g = observed(scenes).groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("pct", "x").alias("slope"))
+    g = observed(scenes).groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), S.rounded(F.regr_slope("pct", "x"), 6).alias("slope"))
     sure = F.least(F.lit(0.9), 0.5 + F.abs("slope") / 20)
     trend = F.when(F.col("n") < 2, "unknown").when(F.col("slope") > 5, "improving").when(F.col("slope") < -5, "declining").otherwise("stagnant")
     return g.select("event_id", trend.alias("trend"), F.round(F.when(F.col("n") < 2, 0.0).when(F.abs("slope") > 5, sure).otherwise(0.6), 3).alias("confidence"))

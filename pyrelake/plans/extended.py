@@ -69,7 +69,7 @@ query("recovery_anomalies", f"SELECT event_id, scene_id, {KIND} AS kind, (CASE W
 query("recovery_summary", f"SELECT CASE WHEN k = 'no_recovery' THEN 'suspicious' WHEN p >= 90 THEN 'excellent' WHEN p >= 70 THEN 'good' WHEN p >= 50 THEN 'moderate' WHEN p >= 25 THEN 'poor' ELSE 'critical' END AS status, count(*) AS n FROM (SELECT *, {KIND} AS k, row_number() OVER (PARTITION BY event_id ORDER BY acquired_on DESC, scene_id DESC, nir DESC, red DESC) AS z FROM {OBSERVED}) WHERE z = 1 GROUP BY 1", "scenes")(
     lambda s, d: M.recovery_summary(load(s, d, "scenes"))
 )
-query("recovery_trend", f"SELECT event_id, CASE WHEN n < 2 THEN 'unknown' WHEN r > 5 THEN 'improving' WHEN r < -5 THEN 'declining' ELSE 'stagnant' END AS trend, round(CASE WHEN n < 2 THEN 0.0 WHEN abs(r) > 5 THEN least(0.9, 0.5 + abs(r) / 20) ELSE 0.6 END, 3)::DOUBLE AS confidence FROM (SELECT event_id, count(*) AS n, regr_slope(p, x) AS r FROM {OBSERVED} GROUP BY 1)", "scenes")(
+query("recovery_trend", f"SELECT event_id, CASE WHEN n < 2 THEN 'unknown' WHEN r > 5 THEN 'improving' WHEN r < -5 THEN 'declining' ELSE 'stagnant' END AS trend, round(CASE WHEN n < 2 THEN 0.0 WHEN abs(r) > 5 THEN least(0.9, 0.5 + abs(r) / 20) ELSE 0.6 END, 3)::DOUBLE AS confidence FROM (SELECT event_id, count(*) AS n, floor(regr_slope(p, x) * 1e6 + 0.5) / 1e6 AS r FROM {OBSERVED} GROUP BY 1)", "scenes")(
     lambda s, d: M.recovery_trend(load(s, d, "scenes"))
 )
 query("land_use_changes", f"SELECT event_id, scene_id, CASE WHEN ndvi < 0.1 AND m > 12 THEN 'construction' WHEN ndvi < 0.2 AND m > 18 THEN 'bare_soil' WHEN m < 6 AND q > 1.2 THEN 'agriculture' WHEN q > {EXPECTED} * 0.7 THEN 'natural_recovery' ELSE 'uncertain' END AS change FROM (SELECT *, ndvi / greatest(base, 0.1) AS q FROM {OBSERVED})", "scenes")(
