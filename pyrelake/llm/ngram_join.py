@@ -33,6 +33,8 @@ any other. Repeated rows form one class, ties do not arise. Extra columns are ig
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -46,6 +48,8 @@ WORDS, PERCENT = 5, 80
 ROUNDS = 2
 #: Sizes at which sets meet: their natural logarithms times this, rounded down.
 SIZES = 50
+#: Classes of the universe in which common shingles are counted.
+CLASSES = 16
 #: Sets that meet under a shingle: the shingles of more sets count as common ones.
 RARE = 16
 
@@ -216,34 +220,39 @@ def overlap_allows(overlap: Column, n: Column, m: Column, percent: int) -> Colum
     return overlap * (100 + percent) >= (n + m) * percent
 
 
+def common_at_most(x: str, y: str) -> Column:
+    """The most common shingles that two sets can share, from their counts in each class of the universe."""
+    return reduce(Column.__add__, [F.least(F.get(x, F.lit(k)), F.get(y, F.lit(k))) for k in range(CLASSES)])
+
+
 def met_by_segment(probes: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components under a key allocated on both sides that need share no rare shingle to link.
 
     probes: doc_id, n, label, key, and e: how many shingles of the set more than ``RARE`` of the probing sets hold. The
     overlap is e at most, which bounds the size of a partner; sets meet by key and size, the larger one looking up the
-    sizes that its e allows. In a cloud, a copy too far from the hub to link has too few common shingles for any size.
+    sizes that its e allows. by_class: e by classes of the universe, a sharper bound for two sets that lack different shingles. In a cloud, a copy too far from the hub to link has too few common shingles for any size.
     """
     size = lambda c: F.floor(F.log(c) * SIZES).cast("int")
     low, high = F.ceil(F.col("n") * percent / 100), F.least(F.col("n"), F.floor(F.col("e") * (100 + percent) / percent).cast("long") - F.col("n"))
     x = probes.withColumn("low", low).withColumn("high", high).filter("high >= low")
-    x = x.select("key", F.explode(F.sequence(size(F.col("low")), size(F.col("high")))).alias("size"), F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("e").alias("ex"), F.col("label").alias("lx"))
-    y = probes.select("key", size(F.col("n")).alias("size"), "doc_id", "n", "e", "label")
+    x = x.select("key", F.explode(F.sequence(size(F.col("low")), size(F.col("high")))).alias("size"), F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("by_class").alias("cx"), F.col("label").alias("lx"))
+    y = probes.select("key", size(F.col("n")).alias("size"), "doc_id", "n", "by_class", "label")
     smaller = (F.col("n") < F.col("nx")) | ((F.col("n") == F.col("nx")) & (F.col("doc_id") < F.col("x")))
-    fits = (F.col("n") * 100 >= F.col("nx") * percent) & overlap_allows(F.least("e", "ex"), F.col("n"), F.col("nx"), percent)
+    fits = (F.col("n") * 100 >= F.col("nx") * percent) & overlap_allows(common_at_most("by_class", "cx"), F.col("n"), F.col("nx"), percent)
     both = x.join(y, ["key", "size"]).filter((F.col("label") != F.col("lx")) & smaller & fits)
     return both.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b"))
 
 
 def met_by_shingle(rare: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share rare shingles, enough of them to link. rare: key, doc_id, n, label, e.
+    """Pairs of different components that share rare shingles, enough of them to link. rare: key, doc_id, n, label, by_class.
 
-    At most ``RARE`` sets meet under a shingle. The overlap of a pair is the rare shingles that it shares and the
-    smaller e at most.
+    At most ``RARE`` sets meet under a shingle. The overlap of a pair is the rare shingles that it shares and
+    what its common ones allow.
     """
-    x, y = ([rare.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "n", "label", "e")]) for k in "ab"])
+    x, y = ([rare.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "n", "label", "by_class")]) for k in "ab"])
     fits = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
     both = x.join(y, "key").filter((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("label_a") != F.col("label_b")) & fits)
-    shared = both.groupBy("doc_id_a", "doc_id_b", "n_a", "n_b", F.least("e_a", "e_b").alias("e")).agg(F.count(F.lit(1)).alias("r"))
+    shared = both.groupBy("doc_id_a", "doc_id_b", "n_a", "n_b", common_at_most("by_class_a", "by_class_b").alias("e")).agg(F.count(F.lit(1)).alias("r"))
     return shared.filter(overlap_allows(F.col("e") + F.col("r"), F.col("n_a"), F.col("n_b"), percent)).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
 
 
@@ -251,8 +260,11 @@ def meetings(probes: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that may link. probes: doc_id, n, label, key; shared: (doc_id, key), the shingles of these sets that several of them hold."""
     few = shared.groupBy("key").agg(F.count(F.lit(1)).alias("f")).filter(F.col("f") <= RARE).select("key")
     rare = shared.join(few, "key")
-    own = rare.groupBy("doc_id").agg(F.count(F.lit(1)).alias("r"))
-    e = shared.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).join(own, "doc_id", "left").select("doc_id", (F.col("c") - F.coalesce("r", F.lit(0))).alias("e"), (F.col("c") * 100).alias("c"))
+    classes = lambda name: F.array(*[F.count_if(F.pmod("key", F.lit(CLASSES)) == k) for k in range(CLASSES)]).alias(name)
+    own = rare.groupBy("doc_id").agg(F.count(F.lit(1)).alias("r"), classes("rare"))
+    every = shared.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), classes("every"))
+    by_class = F.when(F.col("rare").isNull(), F.col("every")).otherwise(F.zip_with("every", "rare", lambda a, b: a - b)).cast("array<int>")
+    e = every.join(own, "doc_id", "left").select("doc_id", (F.col("c") - F.coalesce("r", F.lit(0))).alias("e"), by_class.alias("by_class"), (F.col("c") * 100).alias("c"))
     about = probes.select("doc_id", "n", "label").distinct().join(e, "doc_id").filter(F.col("c") >= F.col("n") * percent).drop("c")
     segments = met_by_segment(probes.select("doc_id", "key").join(about, "doc_id"), percent)
     return segments.union(met_by_shingle(rare.join(about, "doc_id"), percent)).distinct()
