@@ -14,10 +14,12 @@ gives an empty result.
 from __future__ import annotations
 
 import itertools
+import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ from .common import buckets_for, on_executors, prepare, save, volume
 
 SCHEMA = "part int, shard int, before long, n_tokens long, doc_ids array<long>, lengths array<long>, matrix binary"
 END_ID = 0
+#: Partitions whose offsets, two longs each, are broadcast: a megabyte.
+FEW = 1 << 16
 _encoders: dict[str, Encoder] = {}
 
 
@@ -33,19 +37,30 @@ class Encoder:
     """The tokenizers library behind a bounded cache of what stands between two splits.
 
     A space before a character that is no white space always starts a new pre-token of a byte-level BPE, so a text
-    may be cut there: the pieces' ids, joined, are the text's ids. New pieces are encoded together as one text and told
-    apart by the tokens that begin with a space. The cache has two generations.
+    may be cut there: the pieces' ids, joined, are the text's ids. Texts are cut and their pieces counted in Arrow; new
+    pieces go to the library's model where their pre-tokens are plain, and else through the whole tokenizer, many as one
+    text, told apart by the tokens that begin with a space. The cache has two generations.
     """
 
     LIMIT, TOGETHER = 400_000, 4000
+    #: A space that ends the text or stands before white space (or a control character): such texts are cut one by one.
+    WIDE = r" ([\s\pZ\pC]|\z)"
 
     def __init__(self, path: str):
         import re
 
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.former = Tokenizer.from_file(path), {}, {}
-        self.cut, self.wide = re.compile(r" (?=\S)"), re.compile(r" (?!\S)")
+        self.tokenizer, self.known, self.former = Tokenizer.from_file(path), {"": b""}, {}
+        self.cut = re.compile(r" (?=\S)")
+        self.simple = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]*)").fullmatch
+        # A byte-level tokenizer's letters for bytes: printable ones stand for themselves, the others follow from 256.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.spelled = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
+        # Whether the tokenizer cuts and spells like that, and no added token is made of letters alone.
+        probe = "Aé\u024f".encode().decode("latin-1").translate(self.spelled)
+        cuts = [t for t, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(" Aé\u024f,.;:!?")] if self.tokenizer.pre_tokenizer else []
+        self.direct = self.tokenizer.normalizer is None and cuts == ["Ġ" + probe, ",.;:!?"] and not any(self.simple(t.content.strip()) for t in self.tokenizer.get_added_tokens_decoder().values())
         top = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(top)])
 
@@ -53,33 +68,73 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> None:
-        """Words that follow a space and hold none."""
-        for s in range(0, len(words), self.TOGETHER):
-            some = words[s : s + self.TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            at = np.flatnonzero(self.spaced[ids])
-            if len(at) == len(some) and at[0] == 0:
-                raw, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
-                self.known.update(zip(some, [raw[a:e] for a, e in zip((4 * at).tolist(), ends, strict=True)], strict=True))
-            else:  # a token that takes in the space
-                self.known.update(zip(some, self.alone([" " + w for w in some]), strict=True))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian u32."""
+        """Words that follow a space. Latin letters before plain punctuation are two pre-tokens, given to the model as they are."""
+        tokenize, spelled, rest = self.tokenizer.model.tokenize, self.spelled, []
+        for w in words:
+            if self.direct and (m := self.simple(w)):
+                ids = [t.id for t in tokenize("Ġ" + m[1].encode().decode("latin-1").translate(spelled))]
+                if m[2]:
+                    ids += [t.id for t in tokenize(m[2])]
+                self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                rest.append(w)
+        for s in range(0, len(rest), self.TOGETHER):
+            self.together(rest[s : s + self.TOGETHER])
+
+    def together(self, words: list[str]) -> None:
+        """Words without a space are encoded as one text."""
+        some = [w for w in words if " " not in w]
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4") if some else np.zeros(0, "<u4")
+        at = np.flatnonzero(self.spaced[ids])
+        if some and len(at) == len(some) and at[0] == 0:
+            raw, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
+            self.known.update(zip(some, [raw[a:e] for a, e in zip((4 * at).tolist(), ends, strict=True)], strict=True))
+        else:  # a token that takes in the space
+            self.known.update(zip(some, self.alone([" " + w for w in some]), strict=True))
+        odd = [w for w in words if " " in w]
+        self.known.update(zip(odd, self.alone([" " + w for w in odd]), strict=True))
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of words that follow a space; the empty one has none."""
         if len(self.known) > self.LIMIT:
-            self.known, self.former = {}, self.known
-        cut = [self.cut.split(t) if self.wide.search(t) else t.split(" ") for t in texts]
+            self.known, self.former = {"": b""}, self.known
         known, former = self.known, self.former
-        words = set(itertools.chain.from_iterable([p[1:] for p in cut])).difference(known)
-        known.update([(w, former[w]) for w in words if w in former])
-        new = [w for w in words if w not in known]
-        odd = [w for w in new if " " in w]
-        self.learn([w for w in new if " " not in w])
-        known.update(zip(odd, self.alone([" " + w for w in odd]), strict=True))
-        begin = list({p[0] for p in cut})
-        firsts = dict(zip(begin, self.alone(begin), strict=True))
-        get = known.__getitem__
-        return [b"".join([firsts[p[0]], *map(get, p[1:])]) for p in cut]
+        out = list(map(known.get, words))
+        missing = [i for i, x in enumerate(out) if x is None]
+        known.update([(w, former[w]) for i in missing if (w := words[i]) in former])
+        self.learn([w for i in missing if (w := words[i]) not in known])
+        for i in missing:
+            out[i] = known[words[i]]
+        return out
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each text has."""
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        hard = pc.match_substring_regex(texts, self.WIDE)
+        easy = pc.split_pattern(texts.filter(pc.invert(hard)), " ")
+        other = [self.cut.split(t) for t in texts.filter(hard).to_pylist()]
+        words = pa.concat_arrays([easy.flatten(), pa.array(itertools.chain.from_iterable(other), texts.type)])
+        counts = np.concatenate([pc.list_value_length(easy).to_numpy(zero_copy_only=False), np.fromiter(map(len, other), np.int64, len(other))]).astype(np.int64)
+        begins = np.cumsum(counts) - counts
+        coded = words.dictionary_encode()
+        codes, following = coded.indices.to_numpy().astype(np.int64), self.ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        first = words.take(pa.array(begins)).dictionary_encode()
+        codes[begins] = len(following) + first.indices.to_numpy()
+        if other:  # back to the order of the texts
+            place = np.argsort(np.argsort(hard.to_numpy(zero_copy_only=False), kind="stable"))
+            begins, counts = begins[place], counts[place]
+            codes = codes[spread(begins, counts)]
+        raw = following + self.alone(first.dictionary.to_pylist())
+        pool, sizes = np.frombuffer(b"".join(raw), "<u4"), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        n = sizes[codes]
+        return pool[spread((np.cumsum(sizes) - sizes)[codes], n)], np.add.reduceat(n, np.cumsum(counts) - counts)
+
+
+def spread(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The positions of runs that begin at ``begins``, run after run."""
+    ends = np.cumsum(counts)
+    return np.repeat(begins - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def encoder(path: str) -> Encoder:
@@ -102,28 +157,30 @@ def encode_shards(docs: DataFrame, tokenizer: str, shard_tokens: int = 1 << 19,
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode, part, shard, before = encoder(local()), TaskContext.get().partitionId(), 0, 0
-        end = np.uint32(end_id).tobytes()
         ids: list[int] = []
-        tokens: list[bytes] = []
+        lengths: list[int] = []
+        flats: list[np.ndarray] = []
         n = 0
 
         def row():
-            flat = np.frombuffer(b"".join([x for t in tokens for x in (t, end)]), "<u4")
-            lengths = [len(t) // 4 + 1 for t in tokens]
-            cells = (part, shard, before, len(flat), ids, lengths, wavelet.encode(flat))
+            cells = (part, shard, before, n, ids, lengths, wavelet.encode(np.concatenate(flats)))
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
 
         for b in batches:
-            who, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for i, t in zip(who, encode(texts), strict=True):
-                ids.append(i)
-                tokens.append(t)
-                n += len(t) // 4 + 1
+            flat, sizes = encode(pc.fill_null(b.column(1), ""))
+            flat, who, sizes = np.insert(flat, np.cumsum(sizes), end_id), b.column(0).to_pylist(), (sizes + 1).tolist()
+            k = start = at = 0  # the first document, and the first id, that no shard has yet
+            for i, size in enumerate(sizes):
+                n, at = n + size, at + size
                 if n >= shard_tokens:
+                    ids, lengths = ids + who[k : i + 1], lengths + sizes[k : i + 1]
+                    flats.append(flat[start:at])
                     yield row()
-                    shard, before = shard + 1, before + n
-                    ids, tokens, n = [], [], 0
+                    shard, before, k, start = shard + 1, before + n, i + 1, at
+                    ids, lengths, flats, n = [], [], [], 0
+            ids, lengths = ids + who[k:], lengths + sizes[k:]
+            flats.append(flat[start:])
         if ids:
             yield row()
 
@@ -140,6 +197,8 @@ def read_shards(shards: DataFrame) -> DataFrame:
     earlier = groups.select("batch", (F.sum("all").over(Window.orderBy("batch")) - F.col("all")).alias("earlier"))
     inside = F.sum("n").over(Window.partitionBy("batch").orderBy("part")) - F.col("n")
     first = sizes.withColumn("inside", inside).join(earlier, "batch").select("part", (F.col("earlier") + F.col("inside")).alias("first"))
+    if shards.select("part").distinct().limit(FEW + 1).count() <= FEW:  # else the join shuffles the matrices
+        first = F.broadcast(first)
     placed = shards.join(first, "part").select((F.col("first") + F.col("before")).alias("start"), "doc_ids", "lengths", "matrix")
 
     def run(batches):

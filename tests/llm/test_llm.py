@@ -253,6 +253,26 @@ def test_token_output(spark):
     assert token_output.token_output(spark.createDataFrame([], EMPTY), path).count() == 0
 
 
+def test_encoder(spark, monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    odd = ["", "a", " a", "a ", "  ", "a  b", "x\n y\n\nz ", "don't  stop 12 345", "é è 　 \xa0ü", "a\tb \tc", " ", " \n", "\x1c a \x1c b", "a\x00 b", "a ​ b \x85c", "Été, çà! ñandú... ½ x½ Ωmega ok?!"]
+    monkeypatch.setattr(token_output.Encoder, "LIMIT", 50)  # generations change
+    for direct in (True, False):
+        encode = token_output.Encoder(path)
+        assert encode.direct
+        encode.direct = direct
+        for texts in (odd, odd[::-1], ["plain text"], [*documents(spark).values()][:60], odd):
+            texts = [x or "" for x in texts]
+            flat, sizes = encode(pa.array(texts, pa.string()))
+            ends = np.cumsum(sizes)
+            for x, a, b in zip(texts, ends - sizes, ends, strict=True):
+                assert flat[a:b].tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
 # 5
 
 
