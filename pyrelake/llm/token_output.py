@@ -13,8 +13,8 @@ gives an empty result.
 
 from __future__ import annotations
 
+import gc
 import itertools
-import struct
 import zlib
 
 import numpy as np
@@ -70,14 +70,19 @@ class Encoder:
     def learn(self, words: list[str]) -> None:
         """Words that follow a space. Latin letters before plain punctuation are two pre-tokens, given to the model as they are."""
         tokenize, spelled, rest = self.tokenizer.model.tokenize, self.spelled, []
+        own, ids, ends = [], [], [0]
         for w in words:
             if self.direct and (m := self.simple(w)):
-                ids = [t.id for t in tokenize("Ġ" + m[1].encode().decode("latin-1").translate(spelled))]
-                if m[2]:
-                    ids += [t.id for t in tokenize(m[2])]
-                self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
+                letters, marks = m.groups()
+                ids += [t.id for t in tokenize("Ġ" + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(spelled)))]
+                if marks:
+                    ids += [t.id for t in tokenize(marks)]
+                own.append(w)
+                ends.append(4 * len(ids))
             else:
                 rest.append(w)
+        raw = np.array(ids, "<u4").tobytes()
+        self.known.update(zip(own, [raw[a:e] for a, e in itertools.pairwise(ends)], strict=True))
         for s in range(0, len(rest), self.TOGETHER):
             self.together(rest[s : s + self.TOGETHER])
 
@@ -102,7 +107,11 @@ class Encoder:
         out = list(map(known.get, words))
         missing = [i for i, x in enumerate(out) if x is None]
         known.update([(w, former[w]) for i in missing if (w := words[i]) in former])
-        self.learn([w for i in missing if (w := words[i]) not in known])
+        gc.disable()  # many small objects, no cycles
+        try:
+            self.learn([w for i in missing if (w := words[i]) not in known])
+        finally:
+            gc.enable()
         for i in missing:
             out[i] = known[words[i]]
         return out

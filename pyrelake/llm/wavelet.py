@@ -22,12 +22,12 @@ def encode(ids: np.ndarray) -> bytes:
     narrow = a.astype(np.uint16) if levels <= 16 else a
     parts = [MAGIC, np.uint32(levels).tobytes(), np.uint64(len(a)).tobytes()]
     for level in range(levels - 1, -1, -1):
-        bit = (narrow >> narrow.dtype.type(level)) & narrow.dtype.type(1) != 0
+        bit = (narrow & narrow.dtype.type(1 << level)).astype(bool)
         plane = np.packbits(bit, bitorder="little")
         plane = np.r_[plane, np.zeros(-len(plane) % (BLOCK // 8), np.uint8)]
-        ones = _ONES[plane].reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.uint32)
+        ones = np.bitwise_count(plane.view("<u8")).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint32)
         parts += [np.uint64(len(a) - int(ones.sum())).tobytes(), plane.tobytes(), np.r_[np.uint32(0), np.cumsum(ones, dtype=np.uint32)].astype("<u4").tobytes()]
-        narrow = np.concatenate([narrow[~bit], narrow[bit]])
+        narrow = np.concatenate([narrow.take(np.flatnonzero(~bit)), narrow.take(np.flatnonzero(bit))])
     return b"".join(parts)
 
 
