@@ -53,6 +53,57 @@ TOGETHER = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+class Batch:
+    """What is known of the segments of some texts, in columns, each segment looked up once."""
+
+    def __init__(self, known: dict[str, tuple], cut: list[list[str]]):
+        flat = list(itertools.chain.from_iterable(cut))
+        index = {s: k for k, s in enumerate(dict.fromkeys(flat))}
+        self.codes = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
+        self.ends = np.cumsum([0, *map(len, cut)])
+        own, score, self.text, best, total, _, loss = zip(*map(known.__getitem__, index), strict=True) if index else [()] * 7
+        self.score, self.total, self.loss = (np.array(c, float)[self.codes] for c in (score, total, loss))
+        self.own, self.own_at = self.gather(own)
+        self.best, self.best_at = self.gather(best)
+
+    def gather(self, blobs: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all segments in a row, and where each begins."""
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        n = sizes[self.codes]
+        ends = np.cumsum(n)
+        at = np.repeat((np.cumsum(sizes) - sizes)[self.codes] - (ends - n), n) + np.arange(n.sum())
+        return np.frombuffer(b"".join(blobs), "<u4")[at], np.r_[0, ends]
+
+    def of(self, k: int) -> Found:
+        return Found(self, int(self.ends[k]), int(self.ends[k + 1]))
+
+
+class Found:
+    """The part of a batch that belongs to one text."""
+
+    def __init__(self, batch: Batch, start: int, end: int):
+        self.batch, self.start, self.end = batch, start, end
+
+    def own_ids(self) -> bytes:
+        return self.batch.own[self.batch.own_at[self.start] : self.batch.own_at[self.end]].tobytes()
+
+    def best_ids(self, a: int, b: int) -> bytes:
+        """The ids of the lattice's best for the segments from a to b."""
+        return self.batch.best[self.batch.best_at[self.start + a] : self.batch.best_at[self.start + b]].tobytes()
+
+    def score(self) -> float:
+        return float(self.batch.score[self.start : self.end].sum())
+
+    def total(self) -> float:
+        return float(self.batch.total[self.start : self.end].sum())
+
+    def loss(self) -> np.ndarray:
+        return self.batch.loss[self.start : self.end]
+
+    def text(self) -> str:
+        return "".join(map(self.batch.text.__getitem__, self.batch.codes[self.start : self.end].tolist()))
+
+
 class PieceModel:
     LIMIT = 100_000
     #: Links of up to so many characters are worked by length, many at a time.
@@ -76,7 +127,12 @@ class PieceModel:
                     raise ValueError(f"piece {p!r} reaches over a segment")
         self.score_of = np.array([self.scores.get(i, 0.0) for i in range(sp.get_piece_size())])
         self.longest = max(map(len, self.pieces))
-        self.joined = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
+        joined = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
+        self.joined = np.unique(np.array([ord(a) << 32 | ord(b) for a, b in joined], np.uint64))
+        #: Characters that a piece ends; of the bytes of one character, the first counts.
+        self.chars = np.zeros(sp.get_piece_size(), np.int64)
+        for i, b in self.bytes_of.items():
+            self.chars[i] = sum([x & 0xC0 != 0x80 for x in b])
         names = sorted(self.pieces, key=len)
         hashes = np.zeros(len(names), np.uint64)
         for k in range(self.longest):
@@ -168,11 +224,34 @@ class PieceModel:
                     heapq.heappush(heap, (-(best[start] + score + behind), start, tick, behind + score, (piece, path)))
         return found
 
-    def links(self, s: str) -> list[str]:
-        """Cut a segment between neighbouring characters that no piece holds side by side: no edge crosses such a cut."""
-        joined = self.joined
-        ends = [k for k in range(1, len(s)) if s[k - 1 : k + 1] not in joined]
-        return [s[a:b] for a, b in zip([0, *ends], [*ends, len(s)], strict=True)] if ends else [s]
+    def links(self, segments: list[str]) -> list[list[str]]:
+        """Cut segments between neighbouring characters that no piece holds side by side: no edge crosses such a cut."""
+        codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        pairs = codes[:-1] << np.uint64(32) | codes[1:]
+        if not len(pairs):
+            return [[s] for s in segments]
+        apart = self.joined[np.minimum(np.searchsorted(self.joined, pairs), len(self.joined) - 1)] != pairs
+        ends = np.cumsum([len(s) for s in segments])
+        apart[ends[:-1] - 1] = False  # where one segment ends
+        at = np.flatnonzero(apart) + 1
+        which = np.searchsorted(ends, at, side="right")
+        out = [[s] for s in segments]
+        for k, group in itertools.groupby(zip(which.tolist(), at.tolist(), strict=True), key=lambda x: x[0]):
+            s = segments[k]
+            begin = int(ends[k]) - len(s)
+            cuts = [0, *[x - begin for _, x in group], len(s)]
+            out[k] = [s[a:b] for a, b in itertools.pairwise(cuts)]
+        return out
+
+    def texts_of(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The decoded texts of runs of ids that end at ``ends``."""
+        raw = list(map(self.bytes_of.__getitem__, ids.tolist()))
+        try:
+            text = b"".join(raw).decode()
+        except UnicodeDecodeError:
+            return [b"".join(raw[a:b]).decode("utf-8", "replace") for a, b in itertools.pairwise([0, *ends.tolist()])]
+        upto = np.r_[0, np.cumsum(self.chars[ids])][np.r_[0, ends]].tolist()
+        return [text[a:b] for a, b in itertools.pairwise(upto)]
 
     def forward_all(self, links: list[str]) -> dict[str, tuple[bytes, float, float]]:
         """:meth:`forward` of many links, ids as little-endian u32: those of one length together, pieces found by hash."""
@@ -246,18 +325,18 @@ class PieceModel:
         flat = np.fromiter(itertools.chain.from_iterable(own), "<u4")
         ends = np.cumsum([len(ids) for ids in own])
         sums, raw = np.add.reduceat(self.score_of[flat], np.r_[0, ends[:-1]]).tolist(), flat.tobytes()
-        cut = [self.links(s) for s in new]
+        cut = self.links(new)
         ways = self.forward_all(list(dict.fromkeys(itertools.chain.from_iterable(cut))))
-        spell, start = self.bytes_of.__getitem__, 0
-        for s, ids, end, score, links in zip(new, own, ends.tolist(), sums, cut, strict=True):
-            found = [ways[link] for link in links]
-            text = b"".join(map(spell, ids)).decode("utf-8", "replace")
-            if len(found) == 1:
-                ((best, total, second),) = found
-                known[s] = raw[4 * start : 4 * end], score, text, best, total, None, total - second
+        start = 0
+        for s, text, end, score, links in zip(new, self.texts_of(flat, ends), (4 * ends).tolist(), sums, cut, strict=True):
+            text = s if text == s else text  # one string for both
+            if len(links) == 1:
+                best, total, second = ways[s]
+                known[s] = raw[start:end], score, text, best, total, None, total - second
             else:
+                found = [ways[link] for link in links]
                 losses = sorted([(best - second, k) for k, (_, best, second) in enumerate(found) if second > -math.inf])
-                known[s] = raw[4 * start : 4 * end], score, text, b"".join([f[0] for f in found]), sum([f[1] for f in found]), tuple(losses), losses[0][0] if losses else math.inf
+                known[s] = raw[start:end], score, text, b"".join([f[0] for f in found]), sum([f[1] for f in found]), tuple(losses), losses[0][0] if losses else math.inf
             start = end
 
     def forget(self) -> None:
@@ -277,35 +356,34 @@ class PieceModel:
     def cuts(self, text: str) -> list[str]:
         return self.cut.findall(self.normalize(text))
 
-    def best(self, segments: list[str], n: int) -> Best:
-        """The n best segmentations of a text, of its segments in order; these must be known.
+    def best(self, segments: list[str], found: Found, n: int) -> Best:
+        """The n best segmentations of a text, of its segments in order.
 
         Only the n - 1 links with the smallest losses of a second choice can take part in the n best sums, so A* runs
         for these alone.
         """
-        found = [self.known[s] for s in segments]
-        total = float(sum([f[4] for f in found]))
-        if n < 2 or not found:
-            return (b"".join([f[3] for f in found]),), (total,)
-        loss = np.array([f[6] for f in found])
+        total, loss = found.total(), found.loss()
+        if n < 2 or not segments:
+            return (found.best_ids(0, len(segments)),), (total,)
         limit = np.partition(loss, min(n - 1, len(loss)) - 1)[min(n - 1, len(loss)) - 1]
         first = np.flatnonzero((loss <= limit) & (loss < math.inf))
         first = first[np.argsort(loss[first], kind="stable")[: n - 1]].tolist()
-        many = sorted([(x, at, k) for at in first for x, k in found[at][5] or ((found[at][6], 0),)])[: n - 1]
+        many = sorted([(x, at, k) for at in first for x, k in self.known[segments[at]][5] or ((float(loss[at]), 0),)])[: n - 1]
         # (loss, the alternatives taken as (segment, link, which)); the first is the best segmentation of every part.
         ways: list[tuple[float, tuple[tuple[int, int, int], ...]]] = [(0.0, ())]
-        links = {at: self.links(segments[at]) for _, at, _ in many}
+        places = sorted({at for _, at, _ in many})
+        links = dict(zip(places, self.links([segments[at] for at in places]), strict=True))
         for _, at, k in many:
             choices = self.alternatives(links[at][k], n)
             ways = sorted([(x + choices[0][0] - score, (*taken, (at, k, j))) for x, taken in ways for j, (score, _) in enumerate(choices)], key=lambda w: w[0])[:n]
-        at, start, around = sorted(links), 0, []
-        for k in [*at, len(found)]:
-            around.append(b"".join([f[3] for f in found[start:k]]))
+        start, around = 0, []
+        for k in [*places, len(segments)]:
+            around.append(found.best_ids(start, k))
             start = k + 1
         out = []
         for _, taken in ways:
             which, ids = {(p, k): j for p, k, j in taken}, [around[0]]
-            for p, after in zip(at, around[1:], strict=True):
+            for p, after in zip(places, around[1:], strict=True):
                 ids += [self.alternatives(link, n)[which.get((p, k), 0)][1] for k, link in enumerate(links[p])]
                 ids.append(after)
             out.append(b"".join(ids))
@@ -315,7 +393,7 @@ class PieceModel:
         """The n segmentations of a text with the largest sums of scores."""
         segments = self.cuts(text)
         self.learn(segments)
-        return self.best(segments, n)
+        return self.best(segments, Batch(self.known, [segments]).of(0), n)
 
     def encode(self, text: str, n: int) -> tuple[bytes, list[float]]:
         """Ids of the lattice's best segmentation of a text, and the scores of its n best."""
@@ -332,18 +410,20 @@ class PieceModel:
             yield from self.results_together(texts[:few], n)
             texts = texts[few:]
 
-    def results_together(self, texts: list[str], n: int) -> Iterator[tuple[list[bytes], list[float], str]]:
-        cut = [self.cuts(t) for t in texts]
+    def results_together(self, texts: list[str], n: int) -> list[tuple[list[bytes], list[float], str]]:
         gc.disable()  # many small tuples, no cycles
         try:
+            cut = [self.cuts(t) for t in texts]
             self.learn(itertools.chain.from_iterable(cut))
+            batch = Batch(self.known, cut)
+            return [self.result(segments, batch.of(k), n) for k, segments in enumerate(cut)]
         finally:
             gc.enable()
-        for segments in cut:
-            found = [self.known[s] for s in segments]
-            own, score = b"".join([f[0] for f in found]), float(sum([f[1] for f in found]))
-            others = [x for x in zip(*self.best(segments, n), strict=True) if x[0] != own][: n - 1] if n > 1 else []
-            yield [own, *[ids for ids, _ in others]], [score, *[s for _, s in others]], self.spaced("".join([f[2] for f in found]))
+
+    def result(self, segments: list[str], found: Found, n: int) -> tuple[list[bytes], list[float], str]:
+        own = found.own_ids()
+        others = [x for x in zip(*self.best(segments, found, n), strict=True) if x[0] != own][: n - 1] if n > 1 else []
+        return [own, *[ids for ids, _ in others]], [found.score(), *[x for _, x in others]], self.spaced(found.text())
 
     def decode(self, ids: bytes) -> str:
         """The normalised text of ids."""
