@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 import zipfile
@@ -304,6 +305,38 @@ def shared_keys(docs: DataFrame, keys_of: Callable[[np.ndarray, list[bytes]], tu
     return dealt.sortWithinPartitions("bucket").mapInArrow(meet, "doc_id long, key long")
 
 
+def first_parts(n_buckets: int) -> int:
+    """Partitions of a first deal: all buckets if they are few, else so many that neither deal has too many."""
+    return n_buckets if n_buckets <= PARTS else math.isqrt(n_buckets * PARTS)
+
+
+def spread_buckets(blobs: DataFrame, n_buckets: int, together: Callable[[list[bytes]], bytes], held_bytes: int = 32 << 20) -> DataFrame:
+    """(bucket, data) with each bucket in one partition. Very many buckets are dealt in two steps, blobs of a bucket put ``together`` between them."""
+    if n_buckets <= PARTS:
+        return blobs.repartition(n_buckets, "bucket")
+    parts = first_parts(n_buckets)
+
+    def regroup(batches):
+        held: dict[int, list[bytes]] = {}
+        n = 0
+
+        def flush():
+            for bucket, data in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([together(data)], pa.binary())], ["bucket", "data"])
+
+        for b in batches:
+            for bucket, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held.setdefault(bucket, []).append(data)
+                n += len(data)
+                if n >= held_bytes:
+                    yield from flush()
+                    held, n = {}, 0
+        yield from flush()
+
+    first = blobs.repartition(parts, F.expr(f"bucket * {parts} div {n_buckets}"))
+    return first.mapInArrow(regroup, "bucket long, data binary").repartition(n_buckets, "bucket")
+
+
 def components(edges: DataFrame, save: Callable[[DataFrame], DataFrame] = save) -> DataFrame:
     """(id, component): the smallest id that links reach, for every id in ``edges`` (a, b).
 

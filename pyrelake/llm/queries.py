@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, line_dedup, ngram_join, piece_lattice, quality, secret_scan, substring_dedup, token_output
+from . import decontaminate, exact_dedup, kneser_ney, language_id, line_dedup, ngram_join, piece_lattice, prefix_trie, quality, secret_scan, spelling, substring_dedup, token_output
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,18 @@ def op10_secret_scan(spark, sf_dir):
     return secret_scan.digest(secret_scan.secret_scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_decontaminate, op4_token_output, op5_piece_lattice, op6_quality, op7_line_dedup, op8_substring_dedup, op9_exact_dedup, op10_secret_scan)}
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
 
-ORACLE_SQL = {"op7_line_dedup": line_dedup.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL}
+
+def op12_lm_scores(spark, sf_dir):
+    return kneser_ney.held_out_scores(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_decontaminate, op4_token_output, op5_piece_lattice, op6_quality, op7_line_dedup, op8_substring_dedup, op9_exact_dedup, op10_secret_scan, op11_prefix_trie, op12_lm_scores, op13_spelling_variants)}
+
+ORACLE_SQL = {"op7_line_dedup": line_dedup.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL, "op11_prefix_trie": prefix_trie.ORACLE_SQL, "op13_spelling_variants": spelling.ORACLE_SQL}
