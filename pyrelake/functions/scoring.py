@@ -82,7 +82,7 @@ def credit_price(n: Column) -> Column:
 
 
 def heat(intensity: Column) -> Column:
-    return steps(intensity, [(0.8, "very_high"), (0.6, "high"), (0.4, "medium"), (0.2, "low")], "very_low")
+    return steps(intensity, [(0.8, "very_high"), (0.6, "high"), (0.4, "medium"), (0.2, "low")], "very_low", strict=True)
 
 
 def match(distance: Column, overlap_hours: Column, frp: Column, detections: Column, reach: float, buffer_days: float, weights: tuple[float, ...] = (0.4, 0.3, 0.2, 0.1)) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -149,6 +150,44 @@ def series(fires: DataFrame) -> DataFrame:
     return m.withColumn("x", F.row_number().over(Window.orderBy("period")) - 1)
 
 
+def trend_granularity(date_from: str, date_to: str) -> str:
+    """Months for more than 90 days, else days."""
+    if date_to < date_from:
+        raise ValueError("date_to must not be before date_from")
+    return "month" if (date.fromisoformat(date_to) - date.fromisoformat(date_from)).days > 90 else "day"
+
+
+def trend_series(fires: DataFrame, date_from: str, date_to: str, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """period, n, area, x: events that start from the first day to the midnight of the last, in a box (west, south, east, north), by month or day; periods without events are left out.
+
+    There are as many rows as periods at most, so one window numbers them.
+    """
+    rows = fires.filter(F.col("start_date").between(F.lit(date_from).cast("timestamp_ntz"), F.lit(date_to).cast("timestamp_ntz")))
+    if box:
+        rows = rows.filter(in_box(F.col("lat"), F.col("lon"), *box))
+    period = F.date_trunc(trend_granularity(date_from, date_to), F.col("start_date").cast("timestamp")).cast("date")
+    p = rows.groupBy(period.alias("period")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("estimated_area_hectares"), F.lit(0.0)).alias("area"))
+    return p.withColumn("x", F.row_number().over(Window.orderBy("period")) - 1)
+
+
+def trend_summary(points: DataFrame, granularity: str) -> DataFrame:
+    """One row: direction, rate a period and a year (percent), totals. Without events: stable, 0."""
+    total = points.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_fires"), F.round(F.coalesce(F.sum("area"), F.lit(0.0)), 2).alias("total_hectares"))
+    yearly = F.round(F.col("rate") * (12 if granularity == "month" else 365), 2)
+    return direction(points).crossJoin(total).select("direction", "rate", yearly.alias("annual_rate"), "total_fires", "total_hectares")  # a row each
+
+
+def trend_next(points: DataFrame, granularity: str, periods: int = 3) -> DataFrame:
+    """The next periods after the last one with events: events, area at the mean area of an event, band of a fifth."""
+    last = points.agg(F.max("period").alias("last_period"), (F.sum("area") / F.sum("n")).alias("each")).filter("last_period IS NOT NULL")
+    ahead = F.col("ahead")
+    period = F.add_months("last_period", ahead) if granularity == "month" else F.date_add("last_period", ahead)
+    step = F.col("rate") / 100 * F.col("last")
+    value = F.greatest(F.col("last") + ahead * step, F.lit(0.0))
+    rows = direction(points).crossJoin(last).select("rate", "last", "last_period", "each", F.explode(F.sequence(F.lit(1), F.lit(periods))).alias("ahead"))  # a row each
+    return rows.select(period.alias("period"), F.round(value, 2).alias("n"), F.round(value * F.col("each"), 2).alias("area"), F.round(value * 0.8, 2).alias("low"), F.round(value * 1.2, 2).alias("high"))
+
+
 def direction(points: DataFrame, band: float = 5.0) -> DataFrame:
     """Slope as percent of the mean a period, and its direction outside a dead band."""
     s = points.agg(F.regr_slope("n", "x").alias("slope"), F.avg("n").alias("mean"), F.max_by("n", "x").alias("last"))

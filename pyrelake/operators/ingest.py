@@ -13,8 +13,8 @@ COUNTRY = (-74.0, -56.0, -53.0, -21.0)
 
 
 def detected_at(day: Column, hhmm: Column) -> Column:
-    """A date and digits like 5, 45 or 1345 as a time of that day."""
-    t = F.lpad(F.regexp_replace(hhmm, "[^0-9]", ""), 4, "0")
+    """A date and digits like 5, 45 or 1345 as a time of that day: the last four count, none or NULL is midnight."""
+    t = F.right(F.concat(F.lit("0000"), F.regexp_replace(F.coalesce(hhmm, F.lit("")), "[^0-9]", "")), F.lit(4))
     return F.to_timestamp_ntz(F.concat_ws(" ", day, F.concat_ws(":", F.substring(t, 1, 2), F.substring(t, 3, 2))), F.lit("yyyy-MM-dd HH:mm"))
 
 
@@ -31,7 +31,7 @@ def detection_hash(satellite: Column, by: Column, at: Column, lat: Column, lon:
 
 def legacy_hash(satellite: Column, at: Column, lat: Column, lon: Column) -> Column:
     """The older key: 16 digits of an MD5 over position, day, time and satellite."""
-    return F.substring(F.md5(F.concat_ws("|", F.format_string("%.5f", lat), F.format_string("%.5f", lon), F.date_format(at, "yyyy-MM-dd"), F.date_format(at, "HHmm"), satellite)), 1, 16)
+    return F.substring(F.md5(F.concat_ws("|", F.format_string("%.5f", lat), F.format_string("%.5f", lon), F.date_format(at, "yyyy-MM-dd"), F.date_format(at, "HH:mm:ss"), satellite)), 1, 16)
 
 
 def normalize(raw: DataFrame, least: int = 50) -> DataFrame:
@@ -48,6 +48,12 @@ def hashed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("detection_hash", detection_hash(*[F.col(c) for c in ("satellite", "instrument", "detected_at", "lat", "lon", "frp", "confidence")]))
 
 
+def on_days_of(known: DataFrame, batch: DataFrame) -> DataFrame:
+    """Known detections of the days of a batch: equal hashes are of one time, so no others can repeat. A batch looks back over some days at most."""
+    day = lambda rows: rows.withColumn("_day", F.to_date("detected_at"))
+    return day(known).join(day(batch).select("_day").distinct(), "_day", "left_semi").drop("_day")
+
+
 def new_only(batch: DataFrame, known: DataFrame) -> DataFrame:
     """Of a batch the first row of each hash that is not known yet."""
     first = batch.withColumn("_place", F.row_number().over(Window.partitionBy("detection_hash").orderBy("id"))).filter("_place = 1").drop("_place")

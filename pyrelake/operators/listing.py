@@ -53,9 +53,13 @@ def preview(fires: DataFrame, margin: float = 0.01) -> DataFrame:
 
 
 def home_events(fires: DataFrame, as_of: str, days: int = 30) -> DataFrame:
-    """Active events and those extinct for at most ``days``."""
-    recent = F.coalesce(F.col("last_seen_at"), F.col("end_date")) >= F.date_sub(F.lit(as_of).cast("date"), days).cast("timestamp_ntz")
-    return fires.filter((F.col("status") == "active") | ((F.col("status") == "extinct") & recent))
+    """Events with images that are active or monitoring, or extinct for at most ``days``; without a status, the time last seen tells."""
+    now = F.lit(as_of).cast("date")
+    seen = F.coalesce("last_seen_at", "end_date", "start_date") >= now.cast("timestamp_ntz")
+    live = F.col("status").isin("active", "monitoring") | (F.col("status").isNull() & seen)
+    out = (F.col("status") == "extinct") | (F.col("status").isNull() & ~seen)
+    recent = F.coalesce("extinct_at", "last_seen_at", "end_date") >= F.date_sub(now, days).cast("timestamp_ntz")
+    return fires.filter(live | (out & recent)).filter(F.json_array_length("slides_data") > 0)
 
 
 def episode_items(episodes: DataFrame, status: DataFrame, as_of: str, days: int = 60) -> DataFrame:

@@ -83,11 +83,13 @@ def clear_scenes(scenes: DataFrame, since: str, until: str, most_cloud: float =
     return scenes.filter(F.col("acquired_on").between(since, until) & (F.col("cloud_cover") < most_cloud)).select("event_id", "scene_id", "acquired_on", "cloud_cover", S.cloud_quality(F.col("cloud_cover")).alias("quality"))
 
 
-def closure_images(fires: DataFrame, scenes: DataFrame) -> DataFrame:
-    """For each event the image after its start within two weeks, nearest to a week, and before it: within 15 to 7 days (nearest to 10), or else 30 to 15 (nearest to 22)."""
-    j = fires.select(F.col("id").alias("event_id"), F.col("start_date").cast("date").alias("d")).join(scenes.select("event_id", "scene_id", "acquired_on"), "event_id").withColumn("k", F.datediff("acquired_on", "d"))
+def closure_images(fires: DataFrame, scenes: DataFrame, most_cloud: float = 20.0) -> DataFrame:
+    """For each extinct event, of the scenes under a cloud cover, the one after its extinction within two weeks, nearest to a week, and before its start: within 15 to 7 days (nearest to 10), or else 30 to 15 (nearest to 22)."""
+    events = fires.filter("extinct_at IS NOT NULL").select(F.col("id").alias("event_id"), F.col("start_date").cast("date").alias("pre"), F.col("extinct_at").cast("date").alias("post"))
+    j = events.join(scenes.filter(F.col("cloud_cover") < most_cloud).select("event_id", "scene_id", "acquired_on"), "event_id")
+    since = lambda side: F.datediff("acquired_on", side)
     slots = [("post", 1, 0, 14, 7), ("pre", 1, -15, -7, -10), ("pre", 2, -30, -15, -22)]
-    fits = F.array_compact(F.array(*[F.when(F.col("k").between(low, high), F.struct(F.lit(side).alias("side"), F.lit(tier).alias("tier"), F.abs(F.col("k") - target).alias("gap"))) for side, tier, low, high, target in slots]))
+    fits = F.array_compact(F.array(*[F.when(since(side).between(low, high), F.struct(F.lit(side).alias("side"), F.lit(tier).alias("tier"), F.abs(since(side) - target).alias("gap"))) for side, tier, low, high, target in slots]))
     rows = j.select("event_id", "scene_id", F.inline(fits))
     return rows.groupBy("event_id", "side").agg(F.min(F.struct("tier", "gap", "scene_id")).alias("best")).select("event_id", "side", "best.tier", "best.gap", "best.scene_id")
 

@@ -19,8 +19,8 @@ crossings = lambda s, d: spatial.crossing(*both(s, d))
 # Events.
 fires_query("fires_search_slim", "SELECT id, province, department, start_date, coalesce(status, 'unknown') AS status, avg_confidence AS quality_score FROM fires")(L.search_items)
 fires_query("fires_filter_department", "SELECT id FROM fires WHERE department ILIKE '%ñ2%' AND is_significant")(lambda f: O.Filters(AS_OF, department="ñ2", significant=True).apply(f).select("id"))
-fires_query("fires_filter_provinces", "SELECT id FROM fires WHERE province IN ('BRAZIL', 'PERU') AND total_detections >= 2")(lambda f: O.Filters(AS_OF, provinces=("BRAZIL", "PERU"), min_detections=2).apply(f).select("id"))
-fires_query("fires_home", "SELECT id FROM fires WHERE status = 'active' OR (status = 'extinct' AND coalesce(last_seen_at, end_date) >= TIMESTAMP '2001-07-12')")(lambda f: L.home_events(f, AS_OF).select("id"))
+fires_query("fires_filter_provinces", "SELECT id FROM fires WHERE province IN ('NATION_2', 'NATION_7') AND total_detections >= 2")(lambda f: O.Filters(AS_OF, provinces=("NATION_2", "NATION_7"), min_detections=2).apply(f).select("id"))
+fires_query("fires_home", "SELECT id FROM fires WHERE json_array_length(slides_data) > 0 AND (status IN ('active', 'monitoring') OR (status IS NULL AND coalesce(last_seen_at, end_date, start_date) >= TIMESTAMP '2001-08-11') OR ((status = 'extinct' OR (status IS NULL AND coalesce(last_seen_at, end_date, start_date) < TIMESTAMP '2001-08-11')) AND coalesce(extinct_at, last_seen_at, end_date) >= TIMESTAMP '2001-07-12'))")(lambda f: L.home_events(f, AS_OF).select("id"))
 fires_query("page_meta", "SELECT n AS total, ceil(n / 20.0)::BIGINT AS total_pages, 3 < ceil(n / 20.0) AS has_next, true AS has_prev FROM (SELECT count(*) AS n FROM fires)")(lambda f: L.page_meta(f, 3, 20))
 fires_query("province_list", "SELECT province, count(*) AS n FROM fires GROUP BY 1")(L.provinces)
 fires_query("chart_top_provinces", "SELECT province, count(*) AS n FROM fires WHERE province IS NOT NULL GROUP BY 1 ORDER BY n DESC, province LIMIT 8")(lambda f: O.by_province(f.filter("province IS NOT NULL")).orderBy(F.desc("n"), "province").limit(8).select("province", "n"))
@@ -34,7 +34,7 @@ fires_query("event_preview", """SELECT id, floor((lon - 0.01) * 10000 + 0.5) / 1
  coalesce(greatest(1, ceil(epoch(end_date - start_date) / 86400)), 1)::INT AS duration_days, concat('{"type":"Point","coordinates":[', round(lon, 4)::DOUBLE, ',', round(lat, 4)::DOUBLE, ']}') AS geojson FROM fires""")(L.preview)
 fires_query("date_rules", """SELECT id, (d + INTERVAL 1 MONTH)::DATE::VARCHAR AS clamped, CASE WHEN day(d) > day(last_day((date_trunc('month', d) + INTERVAL 1 MONTH)::DATE)) THEN concat(strftime(date_trunc('month', d) + INTERVAL 1 MONTH, '%Y-%m'), '-28') ELSE (d + INTERVAL 1 MONTH)::DATE::VARCHAR END AS overflow28,
  (date_trunc('month', d) + INTERVAL 1 MONTH)::DATE::VARCHAR AS next_month, (d + 1)::DATE::VARCHAR AS next_day FROM (SELECT id, start_date::DATE AS d FROM fires)""")(L.anniversaries)
-fires_query("heat_colours", "SELECT id, CASE WHEN x >= 0.8 THEN 'very_high' WHEN x >= 0.6 THEN 'high' WHEN x >= 0.4 THEN 'medium' WHEN x >= 0.2 THEN 'low' ELSE 'very_low' END AS colour FROM (SELECT id, least(1.0, coalesce(max_frp, 0) / 100) AS x FROM fires)")(
+fires_query("heat_colours", "SELECT id, CASE WHEN x > 0.8 THEN 'very_high' WHEN x > 0.6 THEN 'high' WHEN x > 0.4 THEN 'medium' WHEN x > 0.2 THEN 'low' ELSE 'very_low' END AS colour FROM (SELECT id, least(1.0, coalesce(max_frp, 0) / 100) AS x FROM fires)")(
     lambda f: f.select("id", scoring.heat(F.least(F.lit(1.0), F.coalesce("max_frp", F.lit(0.0)) / 100)).alias("colour"))
 )
 fires_query("match_score", """SELECT id, floor((0.4::DOUBLE * (1 - least(d / 5000, 1.0)) + 0.3::DOUBLE * least(total_detections / (7 * 24.0), 1.0) + 0.2::DOUBLE * least(coalesce(max_frp, 0.0) / 100, 1.0) + 0.1::DOUBLE * least(total_detections / 50.0, 1.0)) * 1e6 + 0.5) AS score_e6
@@ -60,7 +60,7 @@ query("clear_scenes", "SELECT event_id, scene_id, acquired_on, cloud_cover, CASE
 )
 SLOTS = "(VALUES ('post', 1, 0, 14, 7), ('pre', 1, -15, -7, -10), ('pre', 2, -30, -15, -22)) v(side, tier, low, high, target)"
 query("closure_images", f"""SELECT event_id, side, tier::INT AS tier, gap::INT AS gap, scene_id FROM (SELECT *, row_number() OVER (PARTITION BY event_id, side ORDER BY tier, gap, scene_id) AS p FROM (SELECT event_id, side, tier, abs(k - target) AS gap, scene_id FROM
- (SELECT s.event_id, s.scene_id, date_diff('day', f.start_date::DATE, s.acquired_on) AS k FROM scenes s JOIN fires f ON s.event_id = f.id), {SLOTS} WHERE k BETWEEN low AND high)) WHERE p = 1""", "fires", "scenes")(lambda s, d: M.closure_images(load(s, d, "fires"), load(s, d, "scenes")))
+ (SELECT s.event_id, s.scene_id, v.*, date_diff('day', CASE WHEN side = 'post' THEN f.extinct_at::DATE ELSE f.start_date::DATE END, s.acquired_on) AS k FROM scenes s JOIN fires f ON s.event_id = f.id AND f.extinct_at IS NOT NULL AND s.cloud_cover < 20, {SLOTS}) WHERE k BETWEEN low AND high)) WHERE p = 1""", "fires", "scenes")(lambda s, d: M.closure_images(load(s, d, "fires"), load(s, d, "scenes")))
 OBSERVED = """(SELECT *, ((year(acquired_on) - year(b)) * 12 + month(acquired_on) - month(b))::DOUBLE AS m, round(CASE WHEN base <= 0 THEN CASE WHEN ndvi > 0.4 THEN 100.0 ELSE 0.0 END ELSE greatest(0.0, least(100.0, ndvi / base * 100)) END, 4)::DOUBLE AS p FROM
  (SELECT *, first(ndvi) OVER w AS base, first(acquired_on) OVER w AS b, row_number() OVER w - 1 AS x FROM (SELECT *, (nir - red) / (nir + red) AS ndvi FROM scenes) WINDOW w AS (PARTITION BY event_id ORDER BY acquired_on, scene_id, nir, red)))"""
 EXPECTED = "(CASE WHEN m <= 0 THEN 0 WHEN m <= 3 THEN m / 3 * 0.15 WHEN m <= 6 THEN 0.15 + (m - 3) / 3 * 0.15 WHEN m <= 12 THEN 0.3 + (m - 6) / 6 * 0.2 WHEN m <= 24 THEN 0.5 + (m - 12) / 12 * 0.2 WHEN m <= 36 THEN 0.7 + (m - 24) / 12 * 0.15 ELSE 0.85 END)"

@@ -133,15 +133,23 @@ query("quality_scores", QUALITY, "fires", "scenes")(lambda s, d: E.quality(load(
 hashed = lambda s, d: ingest.hashed(load(s, d, "detections").withColumn("instrument", ingest.instrument(F.col("satellite"))))
 HASH = "sha256(concat_ws('|', satellite, CASE WHEN upper(satellite) LIKE '%VIIRS%' THEN 'VIIRS' ELSE 'MODIS' END, strftime(detected_at, '%Y-%m-%dT%H:%M:%S') || '+00:00', printf('%.5f', lat), printf('%.5f', lon), printf('%.2f', frp), confidence::VARCHAR))"
 query("ingest_hash", f"SELECT id, {HASH} AS detection_hash FROM detections", "detections")(lambda s, d: hashed(s, d).select("id", "detection_hash"))
+
+
+def dedup(rows):
+    """A batch against the history before it, of which only the batch's days are read."""
+    batch = rows.filter("detected_at >= timestamp_ntz'2024-01-15'")
+    return ingest.new_only(batch, ingest.on_days_of(rows.filter("detected_at < timestamp_ntz'2024-01-15'"), batch))
+
+
 query("ingest_dedup", f"SELECT min(id) AS id, h AS detection_hash FROM (SELECT id, detected_at, {HASH} AS h FROM detections) WHERE detected_at >= TIMESTAMP '2024-01-15' AND h NOT IN (SELECT {HASH} FROM detections WHERE detected_at < TIMESTAMP '2024-01-15') GROUP BY h", "detections")(
-    lambda s, d: ingest.new_only(hashed(s, d).filter("detected_at >= timestamp_ntz'2024-01-15'"), hashed(s, d).filter("detected_at < timestamp_ntz'2024-01-15'")).select("id", "detection_hash")
+    lambda s, d: dedup(hashed(s, d)).select("id", "detection_hash")
 )
 RAW = "CASE WHEN event_id % 5 = 0 THEN ' Low ' WHEN event_id % 5 = 1 THEN 'n' WHEN event_id % 5 = 2 THEN 'HIGH' WHEN event_id % 5 = 3 THEN CAST(event_id % 150 - 20 AS VARCHAR(9)) ELSE 'x?' END"
 query("ingest_confidence", f"SELECT event_id, CASE WHEN t IN ('l', 'low') THEN 33 WHEN t IN ('n', 'nominal') THEN 66 WHEN t IN ('h', 'high') THEN 100 ELSE greatest(0, least(100, coalesce(TRY_CAST(t AS INT), 0))) END AS confidence FROM (SELECT event_id, lower(trim({RAW})) AS t FROM events)")(
     lambda s, d: table(s, d, "events").select("event_id", scoring.confidence(F.expr(RAW)).alias("confidence"))
 )
-query("ingest_time", "SELECT event_id, ts::DATE + INTERVAL 1 HOUR * (event_id % 24) + INTERVAL 1 MINUTE * (event_id % 60) AS at FROM events")(
-    lambda s, d: table(s, d, "events").select("event_id", ingest.detected_at(F.col("ts").cast("date").cast("string"), (F.col("event_id") % 24 * 100 + F.col("event_id") % 60).cast("string")).alias("at"))
+query("ingest_time", "SELECT event_id, ts::DATE + CASE WHEN event_id % 7 = 0 THEN INTERVAL 0 HOUR ELSE INTERVAL 1 HOUR * (event_id % 24) + INTERVAL 1 MINUTE * (event_id % 60) END AS at FROM events")(
+    lambda s, d: table(s, d, "events").select("event_id", ingest.detected_at(F.col("ts").cast("date").cast("string"), F.expr("CASE WHEN event_id % 7 = 1 THEN concat('99', lpad(CAST(event_id % 24 * 100 + event_id % 60 AS STRING), 4, '0')) WHEN event_id % 7 > 0 THEN CAST(event_id % 24 * 100 + event_id % 60 AS STRING) END")).alias("at"))
 )
 query("detail_top_detections", "SELECT user_id, id, k::INT AS place FROM (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY detected_at DESC, id) AS k FROM detections) WHERE k <= 5", "detections")(
     lambda s, d: load(s, d, "detections").selectExpr("user_id", "id", "row_number() OVER (PARTITION BY user_id ORDER BY detected_at DESC, id) AS place").filter("place <= 5")
@@ -173,7 +181,7 @@ query("merged_events", SAME.join([", ", WALK + """ SELECT label AS id, count(*)
  floor(sum(avg_confidence * total_detections) / nullif(sum(total_detections), 0) * 10000 + 0.5)::BIGINT AS confidence_e4, floor(avg(lat) * 10000 + 0.5)::BIGINT AS lat_e4, floor(avg(lon) * 10000 + 0.5)::BIGINT AS lon_e4 FROM fires JOIN labels ON fires.id = labels.id GROUP BY 1"""]), "fires")(
     lambda s, d: spatial.merged(load(s, d, "fires"), spatial.consolidate(load(s, d, "fires")))
 )
-query("legacy_hash", "SELECT id, substring(md5(concat_ws('|', printf('%.5f', lat), printf('%.5f', lon), strftime(detected_at, '%Y-%m-%d'), strftime(detected_at, '%H%M'), satellite)), 1, 16) AS legacy_hash FROM detections", "detections")(
+query("legacy_hash", "SELECT id, substring(md5(concat_ws('|', printf('%.5f', lat), printf('%.5f', lon), strftime(detected_at, '%Y-%m-%d'), strftime(detected_at, '%H:%M:%S'), satellite)), 1, 16) AS legacy_hash FROM detections", "detections")(
     lambda s, d: load(s, d, "detections").select("id", ingest.legacy_hash(F.col("satellite"), F.col("detected_at"), F.col("lat"), F.col("lon")).alias("legacy_hash"))
 )
 

@@ -22,6 +22,8 @@ SELECT o_orderkey AS id, o_custkey AS site_id, o_orderdate + (o_orderkey % 24) *
        CASE WHEN o_custkey % 23 = 0 THEN NULL ELSE n_name END AS province, CASE WHEN o_custkey % 29 = 0 THEN NULL ELSE concat('Zona Ñ', CAST(o_custkey % 40 AS VARCHAR(9))) END AS department,
        coalesce(mx / 1000 > 50, false) OR o_orderkey * 31 % 101 > 80 AS is_significant,
        CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + (o_orderkey % 10 + 1) * interval '1' day END AS last_seen_at,
+       CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate + (o_orderkey % 10 + 2) * interval '1' day END AS extinct_at,
+       CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 = 1 THEN '[]' ELSE concat('[{{"n": ', CAST(o_orderkey % 3 AS VARCHAR(3)), '}}]') END AS slides_data,
        -55 + CAST(o_custkey * 37 % 3400 AS DOUBLE) / 100 + CAST(o_orderkey * 13 % 100 - 50 AS DOUBLE) / 10000 AS lat,
        -73 + CAST(o_custkey * 53 % 2000 AS DOUBLE) / 100 + CAST(o_orderkey * 29 % 100 - 50 AS DOUBLE) / 10000 AS lon,
        CAST(coalesce(n, 0) AS BIGINT) AS total_detections, mx / 1000 AS max_frp, CAST(o_orderkey * 31 % 101 AS DOUBLE) AS avg_confidence,
