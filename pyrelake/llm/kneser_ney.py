@@ -35,7 +35,7 @@ from .common import Scratch, buckets_for, mix, prepare, sampled, save, spread_bu
 ORDER = 2
 BEGIN, END = mix(np.array([11, 12], np.uint64))
 #: Tokens that a task counts or scores at once, and bytes that are hashed at once.
-TOGETHER, PIECE = 2 << 20, 1 << 20
+TOGETHER, PIECE = 1 << 20, 1 << 20
 #: Documents of the sample that shows heavy contexts.
 SAMPLE = 2000
 #: Open files of a worker.
