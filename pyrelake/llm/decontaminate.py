@@ -99,10 +99,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, covera
     found = save(counted.filter(F.col("coverage") >= coverage).union(rest.join(runs, ["doc_id", "item_id"], "left_semi").select(rest.columns)))
     # The values behind the placeholders, on the diagonals that matched.
     lines = hits.join(found.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi").groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.min("item_pos").alias("low"), F.max(F.col("item_pos") + F.col("size")).alias("high"))
-    slots = items.select("item_id", F.posexplode("t").alias("at", "kind"), "w").filter(F.startswith("kind", F.lit(MARK))).select("item_id", "at", F.lower(F.get("w", F.col("at"))).alias("value"))
+    slots = items.select("item_id", F.posexplode("t").alias("at", "kind"), "w").filter(F.startswith("kind", F.lit(MARK))).select("item_id", "at", F.lower(F.get("w", F.col("at"))).alias("value")).distinct()
     asked = lines.join(slots, "item_id").filter("at >= low AND at < high").select("doc_id", "item_id", "shift", "value", (F.col("at") + F.col("shift")).alias("pos"))
     candidates = asked.select("doc_id").distinct()
-    theirs = texts.join(candidates, "doc_id", "left_semi").select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "ours"))
+    theirs = texts.join(candidates, "doc_id", "left_semi").select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "ours")).distinct()  # repeated rows count once
     where = ["doc_id", "item_id", "shift"]
     pairs = asked.join(theirs, ["doc_id", "pos"]).groupBy(*where, "value", F.lower("ours").alias("ours")).agg(F.count(F.lit(1)).alias("n"))
     by_value = pairs.groupBy(*where, "value").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum(F.when(F.col("value") == F.col("ours"), F.col("n")).otherwise(0)).alias("same"))
