@@ -174,26 +174,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: Partitions that a block deals to at most; beyond, a partition holds several buckets and sorts them out itself.
+#: Partitions that a block deals to at most; beyond, buckets are dealt in two steps.
 PARTS = 4096
 #: Entries that a partition of several buckets gathers before it passes them on bucket by bucket.
 REGROUP = 8 << 20
 
 
 def part_of(bucket: np.ndarray, n_buckets: int) -> np.ndarray:
-    return bucket * min(n_buckets, PARTS) // n_buckets
+    return bucket * first_parts(n_buckets) // n_buckets
 
 
-def shared_keys(docs: DataFrame, keys_of: Callable[[np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray]], n_buckets: int) -> DataFrame:
+def shared_keys(docs: DataFrame, keys_of: Callable[[np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray]], n_buckets: int, distinct: bool = False) -> DataFrame:
     """(doc_id, key): the keys of each document that at least one other document holds too.
 
-    ``keys_of`` maps a block of texts to (64-bit keys, index of the document). Keys are dealt to at most ``PARTS``
-    partitions as compressed blocks of 32-bit prints, so the number of blocks of a document does not grow with the
-    input; a partition takes its buckets (about 16 MB of text each) one after the other, sorts a bucket, and sends the
-    keys with two documents back. A key that several documents of one block hold is known as shared already: one entry
+    ``keys_of`` maps a block of texts to (64-bit keys, index of the document). Keys are dealt to buckets of
+    about 16 MB of text as compressed blocks of 32-bit prints, beyond ``PARTS`` buckets in two steps, so that neither
+    the blocks nor the work of a task grow with the input; a bucket is sorted, and its keys with two documents go back. A key that several documents of one block hold is known as shared already: one entry
     of it is dealt, so that a key in a third of all rows adds one entry a block. Prints may collide, which only adds
-    keys: exact checks follow. ``key`` is bucket and print as a signed 64-bit integer; a (document, key) is repeated
-    only if the document's row is.
+    keys: exact checks follow. ``key`` is bucket and print as a signed 64-bit integer. ``distinct``: the keys of a document
+    are different 64-bit numbers, and each counts: two that fold into one key stay two rows. Else a (document, key) is
+    repeated only if the document's row is.
     """
     import pyarrow.compute  # noqa: F401
     import zstandard
@@ -227,8 +227,9 @@ def shared_keys(docs: DataFrame, keys_of: Callable[[np.ndarray, list[bytes]], tu
             full = ((keys >> np.uint64(32)) % np.uint64(n_buckets)) << np.uint64(32) | (keys & np.uint64(0xFFFFFFFF))
             o = np.lexsort((at, full))
             full, at = full[o], at[o]
-            new = np.r_[True, (full[1:] != full[:-1]) | (at[1:] != at[:-1])] if len(full) else np.zeros(0, bool)
-            full, at = full[new], at[new]
+            if not distinct:
+                new = np.r_[True, (full[1:] != full[:-1]) | (at[1:] != at[:-1])] if len(full) else np.zeros(0, bool)
+                full, at = full[new], at[new]
             first = starts_of(full)
             many = np.diff(np.r_[first, len(full)]) > 1
             known = np.repeat(many, np.diff(np.r_[first, len(full)]))
@@ -297,11 +298,11 @@ def shared_keys(docs: DataFrame, keys_of: Callable[[np.ndarray, list[bytes]], tu
         if blobs:
             yield from table(*settle(blobs))
 
-    parts = min(n_buckets, PARTS)
+    parts = first_parts(n_buckets)
     dealt = docs.select("doc_id", "text").mapInArrow(deal, "bucket long, doc_id long, keys binary")
     dealt = dealt.repartition(parts, F.expr(f"bucket * {parts} div {n_buckets}"))
     if parts < n_buckets:
-        dealt = dealt.mapInArrow(regroup, dealt.schema)
+        dealt = dealt.mapInArrow(regroup, dealt.schema).repartition(n_buckets, "bucket")
     return dealt.sortWithinPartitions("bucket").mapInArrow(meet, "doc_id long, key long")
 
 

@@ -283,7 +283,7 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
         n_buckets = buckets_for(volume(docs), 8 << 20)
         held = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
-        live = scratch.save(shared_keys(docs, keys_of, n_buckets).join(reps, "doc_id").withColumn("held", held))
+        live = scratch.save(shared_keys(docs, keys_of, n_buckets, distinct=True).join(reps, "doc_id").withColumn("held", held))
         texts = docs.select("doc_id", "text")
         parts = min(n_buckets, PARTS)
         sets = scratch.bucketed(sets_of(texts.join(live.select("doc_id").distinct(), "doc_id", "left_semi")).repartition(parts, "doc_id"), parts, "doc_id")
@@ -297,7 +297,7 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             labels = components(links, scratch.save)
         probes = scratch.save(allocate(labelled(live, labels)))
         asked = texts.join(probes.select("doc_id").distinct(), "doc_id", "left_semi")
-        shared = scratch.save(shared_keys(asked, shingle_keys, n_buckets))
+        shared = scratch.save(shared_keys(asked, shingle_keys, n_buckets, distinct=True))
         pairs = scratch.save(meetings(probes, shared, percent).join(tested, ["a", "b"], "left_anti"))
         found = scratch.save(verify(pairs, sets, percent))
         if not found.isEmpty():

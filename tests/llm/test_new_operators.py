@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pyrelake.llm import common, kneser_ney, prefix_trie, queries, spelling
+from pyrelake.llm import common, decontaminate, kneser_ney, ngram_join, prefix_trie, queries, spelling
 
 SF = "/root/testdata/sf0.001"
 CONVERSATIONS = "conv_id long, turn long, role string, text string, depth int, node long, n int"
@@ -254,3 +254,34 @@ def test_spelling_edges(spark):
     assert spelling.spelling_variants(docs(spark, ["x"]).limit(0)).collect() == []
     assert spelling.spelling_variants(docs(spark, ["short", None])).collect() == []
     assert np.isclose(len(spelling.keys_of("abcdefg", spelling.ranks_of(spark.createDataFrame([("abcdefg", 2)], "word string, n long")))), 24)
+
+
+# Earlier operators
+
+
+@pytest.mark.parametrize("parts", [4096, 3])
+def test_no_link_lost_by_folded_keys(spark, monkeypatch, parts):
+    """Sets of 80 and 100 that share 80, two of which have one key: they still may link."""
+
+    def folded_keys(ids, texts):
+        """The keys that the numbers in a text stand for; 1 and 2 fold into one."""
+        keys = [np.array([{b"1": (16 << 32) | 5, b"2": (32 << 32) | 5}.get(w, int(common.mix(np.array([int(w)], np.uint64))[0])) for w in t.split()], np.uint64) for t in texts]
+        return np.concatenate(keys), np.repeat(np.arange(len(texts)), [len(k) for k in keys])
+
+    monkeypatch.setattr(common, "PARTS", parts)
+    df = docs(spark, [" ".join(map(str, range(1, n + 1))) for n in (80, 100)])
+    shared = common.shared_keys(df, folded_keys, 16, distinct=True)
+    assert {r["doc_id"]: r["n"] for r in shared.groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == {0: 80, 1: 80}
+    probes = spark.createDataFrame([(0, 80, 0, 1), (1, 100, 1, 1)], "doc_id long, n long, label long, key long")
+    assert [tuple(r) for r in ngram_join.meetings(probes, shared, 80).collect()] == [(0, 1)]
+
+
+def test_decontaminate_repeated_rows(spark):
+    """Repeated documents and items change neither verdict nor numbers."""
+    q = "A train leaves Anton at 12 o'clock and travels 45 km to Berta in 45 minutes, how fast does the train travel on its way today?"
+    items = spark.createDataFrame([(1, q)], "item_id long, text string")
+    texts = [q, q.replace("45 km", "70 km").replace("45 minutes", "80 minutes").replace("12", "9"), q.replace("45", "46"), "Nothing. " + q]
+    once = sorted(map(tuple, decontaminate.decontaminate(docs(spark, texts), items).collect()))
+    twice = docs(spark, texts).union(docs(spark, texts))
+    assert once and sorted(map(tuple, decontaminate.decontaminate(twice, items).collect())) == once
+    assert sorted(map(tuple, decontaminate.decontaminate(docs(spark, texts), items.union(items)).collect())) == once
