@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import DEGREE, RADIUS, haversine
+from ..sources.shipping import ship
 from .spatial import covered
 
 #: Fixed value: metres a degree where extents are grown by a buffer.
@@ -135,6 +136,7 @@ def hulls(points: DataFrame, key: str) -> DataFrame:
     Tasks first replace their points by partial hulls, these are merged in sixteen groups a key, and then a key's groups;
     no task holds the points of a key, only corners.
     """
+    ship(points.sparkSession)
     kind = points.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, n long, corners array<struct<lon: double, lat: double>>"
 
@@ -226,6 +228,7 @@ def thinned(ring: list[tuple[float, float]], tolerance: float) -> list[tuple[flo
 def simplified(areas: DataFrame, tolerance: float = 0.0001) -> DataFrame:
     """``areas`` with thinner rings; a ring that would fall below three corners stays as it is."""
 
+    ship(areas.sparkSession)
     at = areas.columns.index("rings")
 
     def run(batches):

@@ -80,7 +80,7 @@ FROM chosen c, (SELECT count(*) AS total, min(start_date) AS earliest, max(end_d
 SEARCHES = {
     "province": ("  nation_2 ", None, "province = 'NATION_2'", "province", "NATION_2"),
     "area": ("pa_7", None, "area_id = 7", "protected_area", "PA_7"),
-    "point": ("Ruta 40", (-44.27, -65.05), f"{distance('-44.27', '-65.05', 'lat', 'lon')} <= 25000", "address", "Ruta 40"),
+    "point": ("Ruta 40", (-52.41, -69.29), f"{distance('-52.41', '-69.29', 'lat', 'lon')} <= 25000", "address", "Ruta 40"),
 }
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..sources.shipping import ship
+
 #: Requests let through in a window, its seconds, the life of a kept response, and the tolerance of a signature's time.
 CONTACT_LIMIT, CONTACT_WINDOW_S = 10, 60
 IDEMPOTENCY_S = 24 * 3600
@@ -52,6 +54,7 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], step: Callable[[l
                 out.append(outcome)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "outcome"])
 
+    ship(rows.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", outcome string"
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
@@ -111,6 +114,7 @@ class Folding(StatefulProcessor):
 
 
 def streamed(requests: DataFrame, key: str, order: str, ts: str, extra: list[str], step, keep_us: int, late: str) -> DataFrame:
+    ship(requests.sparkSession)
     rows = requests.withWatermark(ts, late).withColumn("us", F.unix_micros(F.col(ts)))
     kind = {f.name: f.dataType.simpleString() for f in requests.schema}
     rows = rows.select(key, order, ts, "us", *extra)
