@@ -20,6 +20,8 @@ from .spatial import covered
 GROWN_DEGREE = 111_320.0
 #: Radius of the sphere with the earth's surface.
 AUTHALIC = 6_371_007.2
+#: Corners that span less than this many square degrees (a hundredth of a square metre) lie in one line.
+FLAT = 1e-12
 #: A circle is drawn with this many corners.
 CORNERS = 32
 
@@ -123,7 +125,7 @@ def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     for order in (points, points[::-1]):
         half: list[tuple[float, float]] = []
         for x, y in order:
-            while len(half) > 1 and (half[-1][0] - half[-2][0]) * (y - half[-2][1]) <= (half[-1][1] - half[-2][1]) * (x - half[-2][0]):
+            while len(half) > 1 and (half[-1][0] - half[-2][0]) * (y - half[-2][1]) - (half[-1][1] - half[-2][1]) * (x - half[-2][0]) <= FLAT:
                 half.pop()
             half.append((x, y))
         halves += half[:-1]
