@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pyrelake.functions import geo, scoring, text
 from pyrelake.operators import fires, ingest, spatial
-from pyrelake.plans import extended, records, shapes, stateful  # noqa: F401  register their queries
+from pyrelake.plans import extended, imagery, records, shapes, stateful  # noqa: F401  register their queries
 from pyrelake.plans.queries import ORACLE_SQL, QUERIES
 from pyrelake.sources import readers, sinks
 from pyrelake.sources.adapters import load
