@@ -33,7 +33,8 @@ any other. Repeated rows form one class, ties do not arise. Extra columns are ig
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -61,10 +62,27 @@ def shingles(text: bytes, k: int = WORDS) -> np.ndarray:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
     n = max(1, len(w) - k + 1)
+    factor = factors(k)
     out = np.full(n, min(len(w), k), np.uint64)
     for i in range(min(k, len(w))):
-        out = mix(out) + h[i : i + n] * np.uint64(0x9E3779B97F4A7C15)
-    return np.unique(mix(out))
+        out += h[i : i + n] * factor[i]
+    return distinct_sorted(mix(out))
+
+
+@cache
+def factors(k: int) -> np.ndarray:
+    """An odd factor for each place in a shingle."""
+    return mix(np.arange(1, k + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def distinct_sorted(a: np.ndarray) -> np.ndarray:
+    a.sort()
+    return a[starts_of(a)]
+
+
+def segment_of(s: np.ndarray, m: int) -> np.ndarray:
+    """The segment of each shingle: equal ranges of the hashes, so that a sorted set lies segment by segment."""
+    return ((s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
 
 
 def bands(limit: int, percent: int = PERCENT) -> np.ndarray:
@@ -102,11 +120,9 @@ def band_keys(s: np.ndarray, band: int, percent: int = PERCENT) -> np.ndarray:
     need = needed(len(s), band, percent)
     if m == 1:
         return np.zeros(0, np.uint64)  # only equal sets could link
-    part = (s % np.uint64(m)).astype(np.int64)
-    content = mix(s + np.uint64(0x5851F42D4C957F2D))
-    o = np.argsort(part, kind="stable")
-    at = starts_of(part[o])
-    seg, total = part[o][at], np.add.reduceat(content[o], at)
+    part = segment_of(s, m)
+    at = starts_of(part)
+    seg, total = part[at], np.add.reduceat(s, at)
     tag = lambda seg, total, role: mix(total ^ mix((seg.astype(np.uint64) << np.uint64(20)) + np.uint64(band * 8 + role))) & ~np.uint64(1) | np.uint64(band & 1)
     full = tag(seg, total, 0)
     if len(seg) >= need:
@@ -114,7 +130,7 @@ def band_keys(s: np.ndarray, band: int, percent: int = PERCENT) -> np.ndarray:
     # Too few: subsets of two or more get 2. The subset and its one-deletion neighbourhood share a role, so that X = Y less one shingle meets.
     sizes = np.diff(np.r_[at, len(s)])
     big = np.repeat(sizes > 1, sizes)
-    less = tag(np.repeat(seg, sizes)[big], (np.repeat(total, sizes) - content[o])[big], 1)
+    less = tag(np.repeat(seg, sizes)[big], (np.repeat(total, sizes) - s)[big], 1)
     keys = [full, tag(seg, total, 1), less]
     if len(seg) + int((sizes > 1).sum()) < need:
         empty = np.setdiff1d(np.arange(m), seg)
@@ -127,7 +143,7 @@ def set_keys(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     if not len(s):
         return np.zeros(0, np.uint64)
     band = int(np.searchsorted(BOUNDS, len(s), "right")) - 1
-    return np.unique(np.concatenate([band_keys(s, b, percent) for b in (band, band + 1)]))
+    return distinct_sorted(np.concatenate([band_keys(s, b, percent) for b in (band, band + 1)]))
 
 
 def spare_of(s: np.ndarray, percent: int = PERCENT) -> int:
@@ -135,7 +151,7 @@ def spare_of(s: np.ndarray, percent: int = PERCENT) -> int:
     if not len(s):
         return 0
     band = int(np.searchsorted(BOUNDS, len(s), "right")) - 1
-    return max(0, min(len(np.unique(s % np.uint64(segments_of(b, percent)[0]))) - needed(len(s), b, percent) for b in (band, band + 1)))
+    return max(0, min(len(starts_of(segment_of(s, segments_of(b, percent)[0]))) - needed(len(s), b, percent) for b in (band, band + 1)))
 
 
 def keys_of(ids: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -207,12 +223,17 @@ def stars(live: DataFrame, peel: int, percent: int) -> DataFrame:
     return found.groupBy(F.least("hub.doc_id", "doc_id").alias("a"), F.greatest("hub.doc_id", "doc_id").alias("b")).agg(enough.alias("enough")).filter("enough").select("a", "b")
 
 
+def mixed(live: DataFrame) -> DataFrame:
+    """The rows of keys that reach over components, with ``freq``, the rows of the key."""
+    by_key = Window.partitionBy("key")
+    ends = live.select("*", F.min("label").over(by_key).alias("low"), F.max("label").over(by_key).alias("high"), F.count(F.lit(1)).over(by_key).alias("freq"))
+    return ends.filter("low < high").drop("low", "high")
+
+
 def allocate(live: DataFrame) -> DataFrame:
     """Of the keys that reach over components, those of each set and band but the ``spare`` most frequent ones, which get 0."""
-    by_key = Window.partitionBy("key")
-    mixed = live.select("*", F.min("label").over(by_key).alias("low"), F.max("label").over(by_key).alias("high"), F.count(F.lit(1)).over(by_key).alias("freq")).filter("low < high")
     place = F.row_number().over(Window.partitionBy("doc_id", F.col("key").bitwiseAND(1)).orderBy(F.desc("freq"), "key"))
-    return mixed.withColumn("place", place).filter("place > spare").select("doc_id", "n", "label", "key")
+    return mixed(live).withColumn("place", place).filter("place > spare").select("doc_id", "n", "label", "key")
 
 
 def overlap_allows(overlap: Column, n: Column, m: Column, percent: int) -> Column:
@@ -222,7 +243,7 @@ def overlap_allows(overlap: Column, n: Column, m: Column, percent: int) -> Colum
 
 def common_at_most(x: str, y: str) -> Column:
     """The most common shingles that two sets can share, from their counts in each class of the universe."""
-    return reduce(Column.__add__, [F.least(F.get(x, F.lit(k)), F.get(y, F.lit(k))) for k in range(CLASSES)])
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.least(a, b)), F.lit(0), lambda total, v: total + v)
 
 
 def met_by_segment(probes: DataFrame, percent: int) -> DataFrame:
@@ -235,39 +256,45 @@ def met_by_segment(probes: DataFrame, percent: int) -> DataFrame:
     size = lambda c: F.floor(F.log(c) * SIZES).cast("int")
     low, high = F.ceil(F.col("n") * percent / 100), F.least(F.col("n"), F.floor(F.col("e") * (100 + percent) / percent).cast("long") - F.col("n"))
     x = probes.withColumn("low", low).withColumn("high", high).filter("high >= low")
-    x = x.select("key", F.explode(F.sequence(size(F.col("low")), size(F.col("high")))).alias("size"), F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("by_class").alias("cx"), F.col("label").alias("lx"))
-    y = probes.select("key", size(F.col("n")).alias("size"), "doc_id", "n", "by_class", "label")
+    x = x.select("key", F.explode(F.sequence(size(F.col("low")), size(F.col("high")))).alias("size"), F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("e").alias("ex"), F.col("by_class").alias("cx"), F.col("label").alias("lx"))
+    y = probes.select("key", size(F.col("n")).alias("size"), "doc_id", "n", "e", "by_class", "label")
     smaller = (F.col("n") < F.col("nx")) | ((F.col("n") == F.col("nx")) & (F.col("doc_id") < F.col("x")))
-    fits = (F.col("n") * 100 >= F.col("nx") * percent) & overlap_allows(common_at_most("by_class", "cx"), F.col("n"), F.col("nx"), percent)
+    fits = (F.col("n") * 100 >= F.col("nx") * percent) & overlap_allows(F.least("e", "ex"), F.col("n"), F.col("nx"), percent)
+    fits &= overlap_allows(common_at_most("by_class", "cx"), F.col("n"), F.col("nx"), percent)
     both = x.join(y, ["key", "size"]).filter((F.col("label") != F.col("lx")) & smaller & fits)
     return both.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b"))
 
 
-def met_by_shingle(rare: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share rare shingles, enough of them to link. rare: key, doc_id, n, label, by_class.
+def met_by_shingle(rare: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share rare shingles, enough of them to link. rare: key, doc_id; about: doc_id, n, label, e, by_class.
 
     At most ``RARE`` sets meet under a shingle. The overlap of a pair is the rare shingles that it shares and
-    what its common ones allow.
+    what its common ones allow: by their number e first, then, for the pairs left, by class.
     """
-    x, y = ([rare.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "n", "label", "by_class")]) for k in "ab"])
+    rows = rare.join(about.drop("by_class"), "doc_id")
+    x, y = ([rows.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "n", "label", "e")]) for k in "ab"])
     fits = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
     both = x.join(y, "key").filter((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("label_a") != F.col("label_b")) & fits)
-    shared = both.groupBy("doc_id_a", "doc_id_b", "n_a", "n_b", common_at_most("by_class_a", "by_class_b").alias("e")).agg(F.count(F.lit(1)).alias("r"))
-    return shared.filter(overlap_allows(F.col("e") + F.col("r"), F.col("n_a"), F.col("n_b"), percent)).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
+    shared = both.groupBy("doc_id_a", "doc_id_b", "n_a", "n_b", F.least("e_a", "e_b").alias("e")).agg(F.count(F.lit(1)).alias("r"))
+    likely = shared.filter(overlap_allows(F.col("e") + F.col("r"), F.col("n_a"), F.col("n_b"), percent))
+    for k in "ab":
+        likely = likely.join(about.select(F.col("doc_id").alias(f"doc_id_{k}"), F.col("by_class").alias(f"by_class_{k}")), f"doc_id_{k}")
+    e = common_at_most("by_class_a", "by_class_b")
+    return likely.filter(overlap_allows(e + F.col("r"), F.col("n_a"), F.col("n_b"), percent)).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
 
 
-def meetings(probes: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+def meetings(probes: DataFrame, shared: DataFrame, percent: int, keep: Callable[[DataFrame], DataFrame] = save) -> DataFrame:
     """Pairs of different components that may link. probes: doc_id, n, label, key; shared: (doc_id, key), the shingles of these sets that several of them hold."""
     few = shared.groupBy("key").agg(F.count(F.lit(1)).alias("f")).filter(F.col("f") <= RARE).select("key")
-    rare = shared.join(few, "key")
+    rare = keep(shared.join(few, "key"))
     classes = lambda name: F.array(*[F.count_if(F.pmod("key", F.lit(CLASSES)) == k) for k in range(CLASSES)]).alias(name)
     own = rare.groupBy("doc_id").agg(F.count(F.lit(1)).alias("r"), classes("rare"))
     every = shared.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), classes("every"))
     by_class = F.when(F.col("rare").isNull(), F.col("every")).otherwise(F.zip_with("every", "rare", lambda a, b: a - b)).cast("array<int>")
     e = every.join(own, "doc_id", "left").select("doc_id", (F.col("c") - F.coalesce("r", F.lit(0))).alias("e"), by_class.alias("by_class"), (F.col("c") * 100).alias("c"))
-    about = probes.select("doc_id", "n", "label").distinct().join(e, "doc_id").filter(F.col("c") >= F.col("n") * percent).drop("c")
+    about = keep(probes.select("doc_id", "n", "label").distinct().join(e, "doc_id").filter(F.col("c") >= F.col("n") * percent).drop("c"))
     segments = met_by_segment(probes.select("doc_id", "key").join(about, "doc_id"), percent)
-    return segments.union(met_by_shingle(rare.join(about, "doc_id"), percent)).distinct()
+    return segments.union(met_by_shingle(rare, about, percent)).distinct()
 
 
 def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -295,10 +322,12 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             found = scratch.save(verify(pairs, sets, percent))
             links, tested = links.union(found), tested.union(pairs)
             labels = components(links, scratch.save)
+            if peel == 0:  # keys within one component have done their work
+                live = scratch.save(mixed(labelled(live, labels)).select("doc_id", "key", "n", "spare", "held"))
         probes = scratch.save(allocate(labelled(live, labels)))
         asked = texts.join(probes.select("doc_id").distinct(), "doc_id", "left_semi")
         shared = scratch.save(shared_keys(asked, shingle_keys, n_buckets, distinct=True))
-        pairs = scratch.save(meetings(probes, shared, percent).join(tested, ["a", "b"], "left_anti"))
+        pairs = scratch.save(meetings(probes, shared, percent, scratch.save).join(tested, ["a", "b"], "left_anti"))
         found = scratch.save(verify(pairs, sets, percent))
         if not found.isEmpty():
             links = links.union(found)
