@@ -161,6 +161,24 @@ def test_keys_meet():
     assert n > 100
 
 
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_ngram_join_exhaustive_round(spark, monkeypatch, rounds):
+    """The last round finds every link that the star rounds leave, all of them if there were none."""
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    texts = near_texts(21)
+    got = rows(ngram_join.ngram_join(table(spark, texts)))
+    assert {i: r["component_id"] for i, r in got.items()} == components_brute(range(len(texts)), sets_brute(texts))
+
+
+def test_segments_are_ranges():
+    """Segments of a sorted set ascend, stay below m and are about equal."""
+    s = np.unique(np.random.default_rng(3).integers(0, 1 << 64, 20_000, np.uint64, endpoint=False))
+    for m in (1, 7, 1000):
+        part = ngram_join.segment_of(s, m)
+        assert (np.diff(part) >= 0).all() and part.min() >= 0 and part.max() < m
+        assert np.bincount(part, minlength=m).max() < 3 * len(s) / m
+
+
 def test_ngram_join_documents(spark):
     docs = documents(spark)
     got = rows(ngram_join.ngram_join(spark.read.parquet(f"{SF}/documents.parquet")))
