@@ -65,3 +65,31 @@ def request_metrics(requests: DataFrame) -> DataFrame:
     """Requests of each route: number, mean milliseconds, share answered with 400 or more."""
     g = requests.groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ms"), 2).alias("avg_ms"), F.count_if(F.col("status") >= 400).alias("errors"))
     return g.select("route", "n", "avg_ms", F.round(F.col("errors") / F.col("n"), 4).alias("error_rate"))
+
+
+def plotted_points(points: DataFrame, centres: DataFrame, key: str, at: str, order: str, most: int = 150) -> DataFrame:
+    """key, place, x, y: about ``most`` points of each key for a map, in time order, scaled to the extent of all its points.
+
+    Of n located points every max(1, n // most)-th is kept, the first included. An axis without extent is widened by 0.01
+    both ways. A key of ``centres`` (key, lat, lon) without located points shows its centre, if that is located.
+    ``order`` breaks ties in time, so with distinct values the result is fixed; a null time comes first.
+    Places are counted by (key, day) first and numbered within a day, so that a key with very many points is no single task.
+    """
+    located = points.filter("lat IS NOT NULL AND lon IS NOT NULL").select(key, at, order, "lat", "lon", F.to_date(at).alias("day"))
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("lat", "lon") for f in (F.min, F.max)]
+    days = located.groupBy(key, "day").agg(F.count(F.lit(1)).alias("n"), *ends)
+    whole, before = Window.partitionBy(key), Window.partitionBy(key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    spans = [(F.min if c.startswith("min") else F.max)(c).over(whole).alias(c) for c in ("min_lat", "max_lat", "min_lon", "max_lon")]
+    days = days.select(key, F.col("day").alias("d"), F.sum("n").over(whole).alias("n"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"), *spans)
+    placed = located.withColumn("nth", F.row_number().over(Window.partitionBy(key, "day").orderBy(at, order)))
+    placed = placed.join(days.withColumnRenamed(key, "k"), F.col(key).eqNullSafe(F.col("k")) & F.col("day").eqNullSafe(F.col("d")))
+    place = (F.col("earlier") + F.col("nth") - 1).alias("place")
+    kept = placed.withColumn("place", place).filter(F.col("place") % F.greatest(F.lit(1), F.floor(F.col("n") / most)) == 0)
+    alone = centres.filter("lat IS NOT NULL AND lon IS NOT NULL").join(located.select(key).distinct(), key, "left_anti")
+    alone = alone.select(key, F.lit(0).cast("long").alias("place"), "lat", "lon", *[F.col(c[4:]).alias(c) for c in ("min_lat", "max_lat", "min_lon", "max_lon")])
+    shown = kept.select(*alone.columns).union(alone)
+    for name, c in (("x", "lon"), ("y", "lat")):
+        wider = F.when(F.col(f"min_{c}") == F.col(f"max_{c}"), 0.01).otherwise(0.0)
+        low, high = F.col(f"min_{c}") - wider, F.col(f"max_{c}") + wider
+        shown = shown.withColumn(name, (F.col(c) - low) / (high - low))
+    return shown.select(key, "place", "x", "y")

@@ -222,8 +222,26 @@ ANSWERED = "SELECT concat(CASE WHEN event_id % 2 = 0 THEN 'GET ' ELSE 'POST ' EN
 def route_metrics(spark, sf_dir):
     return reports.request_metrics(spark.sql(ANSWERED, events=table(spark, sf_dir, "events")))
 
+
+# The map of an event's detections, ten points at most twice over; users stand for events.
+
+PLOTTED_SQL = """,
+ranked AS (SELECT user_id, lat, lon, row_number() OVER (PARTITION BY user_id ORDER BY detected_at NULLS FIRST, id) - 1 AS place FROM detections),
+ends AS (SELECT user_id, count(*) AS n, min(lat) AS s, max(lat) AS t, min(lon) AS w, max(lon) AS e FROM detections GROUP BY 1),
+wide AS (SELECT user_id, n, CASE WHEN s = t THEN s - 0.01::DOUBLE ELSE s END AS s, CASE WHEN s = t THEN t + 0.01::DOUBLE ELSE t END AS t, CASE WHEN w = e THEN w - 0.01::DOUBLE ELSE w END AS w, CASE WHEN w = e THEN e + 0.01::DOUBLE ELSE e END AS e FROM ends)
+SELECT user_id, place, (lon - w) / (e - w) AS x, (lat - s) / (t - s) AS y FROM ranked JOIN wide USING (user_id) WHERE place % greatest(1, n // 10) = 0
+UNION ALL SELECT id, 0, (lon - (lon - 0.01::DOUBLE)) / ((lon + 0.01::DOUBLE) - (lon - 0.01::DOUBLE)), (lat - (lat - 0.01::DOUBLE)) / ((lat + 0.01::DOUBLE) - (lat - 0.01::DOUBLE)) FROM fires WHERE id NOT IN (SELECT user_id FROM ends)
+"""
+
+
+@query("plotted_points", PLOTTED_SQL, "detections", "fires")
+def plotted_points(spark, sf_dir):
+    centres = load(spark, sf_dir, "fires").select(F.col("id").alias("user_id"), "lat", "lon")
+    return reports.plotted_points(load(spark, sf_dir, "detections"), centres, "user_id", "detected_at", "id", most=10)
+
+
 #: The queries of this module.
 QUERY_NAMES = (
     "carousel_run", "report_images_annual", "report_images_monthly", "closure_reports", "image_vis_types", "image_metadata", "reports_fires", "reports_areas", "recurrence_in_box", "recurrence_summary",
-    "job_states", "route_metrics",
+    "job_states", "route_metrics", "plotted_points",
 )

@@ -3,6 +3,7 @@
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from pyrelake.operators import imagery, reports
 from pyrelake.plans.imagery import QUERY_NAMES
@@ -97,3 +98,14 @@ def test_results_hold_all_cases(spark):
     assert seen("job_states", "state") == {"running", "failed", "ready"}
     assert seen("image_vis_types", "vis_type") == {"DNBR", "NBR", "NDVI", "RGB"}
     assert all(QUERIES[name](spark, SF).limit(1).count() for name in QUERY_NAMES)
+
+
+def test_plotted_points(spark):
+    """Every second of four points in time order (one without a time first), a flat axis in the middle, a centre for keys without located points."""
+    rows = [(1, 10, "2020-01-02", 0.0, 5.0), (1, 11, "2020-01-01", 2.0, 5.0), (1, 12, None, 1.0, 5.0), (1, 13, "2020-01-02", 4.0, 5.0), (1, 14, "2020-01-03", None, 9.0), (2, 15, "2020-01-01", None, None)]
+    points = spark.createDataFrame(rows, "event long, id long, at string, lat double, lon double").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    centres = spark.createDataFrame([(1, 7.0, 7.0), (2, 3.0, 4.0), (3, None, 4.0)], "event long, lat double, lon double")
+    got = sorted(map(tuple, reports.plotted_points(points, centres, "event", "at", "id", most=2).collect()))
+    assert [r[:2] for r in got] == [(1, 0), (1, 2), (2, 0)]
+    assert [r[2:] for r in got] == [pytest.approx(p) for p in ((0.5, 0.25), (0.5, 0.0), (0.5, 0.5))]
+    assert reports.plotted_points(points.limit(0), centres.limit(0), "event", "at", "id").count() == 0
