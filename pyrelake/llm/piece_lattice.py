@@ -24,12 +24,11 @@ in memory in proportion to it.
 
 from __future__ import annotations
 
-import gc
 import heapq
 import itertools
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,48 +47,91 @@ _models: dict[str, PieceModel] = {}
 
 
 #: Characters of the texts whose segments are learnt at a time.
-TOGETHER = 1 << 20
-#: Of the hash of a piece: a polynomial in its code points, modulo 2^64.
+TOGETHER = 1 << 22
+#: Of the hash of an edge of the trie: a factor modulo 2^64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+class Runs:
+    """Short arrays in a row; the k-th is ``flat[at[k] : at[k + 1]]``."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.flat, self.at = flat, np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+
+    def take(self, which: np.ndarray) -> Runs:
+        sizes = np.diff(self.at)[which]
+        out = Runs(self.flat, sizes)
+        out.flat = self.flat[np.repeat(self.at[which] - out.at[:-1], sizes) + np.arange(out.at[-1])]
+        return out
+
+    def plus(self, more: Runs) -> Runs:
+        return Runs(np.concatenate([self.flat, more.flat]), np.diff(np.r_[self.at, self.at[-1] + more.at[1:]]))
+
+    def of(self, k: int) -> np.ndarray:
+        return self.flat[self.at[k] : self.at[k + 1]]
+
+
+class Segments:
+    """What is known of distinct segments, in columns: ids and score of the model's encoding; ids, score and smallest loss of the lattice's best; of each of its links, characters and loss of the second choice (inf: none)."""
+
+    def __init__(self, names: list[str], own: Runs, best: Runs, chars: Runs, losses: Runs, score: np.ndarray, total: np.ndarray, loss: np.ndarray):
+        self.place = {s: k for k, s in enumerate(names)}
+        self.own, self.best, self.chars, self.losses, self.score, self.total, self.loss = own, best, chars, losses, score, total, loss
+
+    @staticmethod
+    def none() -> Segments:
+        ids, chars, real = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0)
+        return Segments([], Runs(ids, chars), Runs(ids, chars), Runs(chars, chars), Runs(real, chars), real, real, real)
+
+    def only(self, names: list[str]) -> Segments:
+        """Those of ``names`` alone, all known."""
+        k = np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))
+        return Segments(names, *[c.take(k) for c in (self.own, self.best, self.chars, self.losses)], *[c[k] for c in (self.score, self.total, self.loss)])
+
+    def add(self, more: Segments) -> None:
+        """Put others, none known, behind these."""
+        self.place.update(zip(more.place, range(len(self.place), len(self.place) + len(more.place)), strict=True))
+        self.own, self.best, self.chars, self.losses = self.own.plus(more.own), self.best.plus(more.best), self.chars.plus(more.chars), self.losses.plus(more.losses)
+        self.score, self.total, self.loss = (np.concatenate(c) for c in ((self.score, more.score), (self.total, more.total), (self.loss, more.loss)))
+
+
 class Batch:
-    """What is known of the segments of some texts, in columns, each segment looked up once."""
-
-    def __init__(self, known: dict[str, tuple], cut: list[list[str]]):
-        flat = list(itertools.chain.from_iterable(cut))
-        index = {s: k for k, s in enumerate(dict.fromkeys(flat))}
-        self.codes = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
-        self.ends = np.cumsum([0, *map(len, cut)])
-        own, score, self.text, best, total, _, loss = zip(*map(known.__getitem__, index), strict=True) if index else [()] * 7
-        self.score, self.total, self.loss = (np.array(c, float)[self.codes] for c in (score, total, loss))
-        self.own, self.own_at = self.gather(own)
-        self.best, self.best_at = self.gather(best)
-
-    def gather(self, blobs: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all segments in a row, and where each begins."""
-        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-        n = sizes[self.codes]
-        ends = np.cumsum(n)
-        at = np.repeat((np.cumsum(sizes) - sizes)[self.codes] - (ends - n), n) + np.arange(n.sum())
-        return np.frombuffer(b"".join(blobs), "<u4")[at], np.r_[0, ends]
+    """Some texts, as the columns of their segments in order."""
+
+    def __init__(self, m: PieceModel, texts: list[str]):
+        self.names, codes, self.ends = m.cuts(texts)
+        self.known, place = m.learn(self.names)
+        self.codes, self.place = codes, place[codes]
+        self.score, self.total, self.loss = (c[self.place] for c in (self.known.score, self.known.total, self.known.loss))
+        self.own, self.best = self.known.own.take(self.place), self.known.best.take(self.place)
+        #: The bytes of the model's pieces, and where those of each text end.
+        taken = m.bytes.take(pa.array(self.own.flat))
+        if taken.null_count:
+            raise ValueError("a piece without bytes")
+        self.bytes, at = taken.buffers()[2], np.frombuffer(taken.buffers()[1], np.int64)
+        self.upto = at[self.own.at[self.ends]].tolist() if len(self.own.flat) else [0] * len(self.ends)
 
     def of(self, k: int) -> Found:
-        return Found(self, int(self.ends[k]), int(self.ends[k + 1]))
+        return Found(self, k)
 
 
 class Found:
     """The part of a batch that belongs to one text."""
 
-    def __init__(self, batch: Batch, start: int, end: int):
-        self.batch, self.start, self.end = batch, start, end
+    def __init__(self, batch: Batch, k: int):
+        self.batch, self.k, self.start, self.end = batch, k, int(batch.ends[k]), int(batch.ends[k + 1])
+
+    def __len__(self) -> int:
+        return self.end - self.start
 
     def own_ids(self) -> bytes:
-        return self.batch.own[self.batch.own_at[self.start] : self.batch.own_at[self.end]].tobytes()
+        own = self.batch.own
+        return own.flat[own.at[self.start] : own.at[self.end]].tobytes()
 
     def best_ids(self, a: int, b: int) -> bytes:
         """The ids of the lattice's best for the segments from a to b."""
-        return self.batch.best[self.batch.best_at[self.start + a] : self.batch.best_at[self.start + b]].tobytes()
+        best = self.batch.best
+        return best.flat[best.at[self.start + a] : best.at[self.start + b]].tobytes()
 
     def score(self) -> float:
         return float(self.batch.score[self.start : self.end].sum())
@@ -100,13 +142,25 @@ class Found:
     def loss(self) -> np.ndarray:
         return self.batch.loss[self.start : self.end]
 
+    def losses(self, at: int) -> list[float]:
+        """Those of the links of a segment."""
+        return self.batch.known.losses.of(self.batch.place[self.start + at]).tolist()
+
+    def links(self, at: int) -> list[str]:
+        s = self.batch.names[self.batch.codes[self.start + at]]
+        ends = np.cumsum(self.batch.known.chars.of(self.batch.place[self.start + at])).tolist()
+        return [s[a:b] for a, b in itertools.pairwise([0, *ends])]
+
     def text(self) -> str:
-        return "".join(map(self.batch.text.__getitem__, self.batch.codes[self.start : self.end].tolist()))
+        """The text that the model's ids decode to."""
+        a, b = self.batch.upto[self.k : self.k + 2]
+        return self.batch.bytes[a:b].to_pybytes().decode("utf-8", "replace") if a < b else ""
 
 
 class PieceModel:
-    LIMIT = 100_000
-    #: Links of up to so many characters are worked by length, many at a time.
+    #: With so many segments known, those that the next texts do without are forgotten; so many links searched.
+    LIMIT, SEARCHED = 400_000, 100_000
+    #: Links of up to so many characters are worked many at a time.
     TOGETHER = 40
 
     def __init__(self, path: str):
@@ -129,27 +183,54 @@ class PieceModel:
         self.longest = max(map(len, self.pieces))
         joined = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         self.joined = np.unique(np.array([ord(a) << 32 | ord(b) for a, b in joined], np.uint64))
-        #: Characters that a piece ends; of the bytes of one character, the first counts.
-        self.chars = np.zeros(sp.get_piece_size(), np.int64)
-        for i, b in self.bytes_of.items():
-            self.chars[i] = sum([x & 0xC0 != 0x80 for x in b])
-        names = sorted(self.pieces, key=len)
-        hashes = np.zeros(len(names), np.uint64)
-        for k in range(self.longest):
-            more = np.array([len(p) > k for p in names])
-            hashes[more] = hashes[more] * BASE + np.array([ord(p[k]) + 1 for p in names if len(p) > k], np.uint64)
-        o = np.argsort(hashes)
-        own = np.array([self.pieces[p] for p in names])[o]
-        if len(np.unique(hashes)) < len(names):
-            raise ValueError("two pieces have one hash")
-        self.table = hashes[o], own, self.score_of[own]
-        self.powers = np.cumprod(np.r_[np.uint64(1), np.full(self.longest, BASE)], dtype=np.uint64)
+        self.bytes = pa.array([self.bytes_of.get(i) for i in range(sp.get_piece_size())], pa.large_binary())
+        self.plant()
+        #: As :meth:`cuts`, for one text.
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        #: Segment -> ids, score and text of the model's encoding; ids and score of the lattice's best; losses of the second choice by link, if there are several; the smallest.
-        self.known: dict[str, tuple[bytes, float, str, bytes, float, tuple[tuple[float, int], ...] | None, float]] = {}
-        self.former = self.known
+        self.known = Segments.none()
         self.searched: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
+    def plant(self) -> None:
+        """The trie of the pieces: nodes numbered from the root (0), edges in a hash table of open addresses."""
+        chars = sorted({c for p in self.pieces for c in p})
+        self.kinds = np.uint64(len(chars) + 1)
+        self.kind = np.zeros(0x110000, np.uint32)  # 0: in no piece
+        self.kind[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        kind, edges, ids = {c: k for k, c in enumerate(chars, 1)}, {}, [-1]
+        for p, i in self.pieces.items():
+            node = 0
+            for c in p:
+                key = node * int(self.kinds) + kind[c]
+                if (node := edges.get(key, 0)) == 0:
+                    node = edges[key] = len(ids)
+                    ids.append(-1)
+            ids[node] = i
+        self.id_at = np.array(ids, np.int64)
+        self.score_at = np.where(self.id_at < 0, -math.inf, self.score_of[self.id_at])
+        bits = (4 * len(edges)).bit_length()
+        self.shift, self.last = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.edge, self.to = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64)  # no edge has key 0
+        keys = np.array(list(edges), np.uint64)
+        for key, slot, node in zip(edges, (keys * BASE >> self.shift).tolist(), edges.values(), strict=True):
+            while self.edge[slot]:
+                slot = (slot + 1) & int(self.last)
+            self.edge[slot], self.to[slot] = key, node
+
+    def step(self, node: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """The nodes that kinds of characters lead to from nodes; 0: none."""
+        key = node.astype(np.uint64) * self.kinds + kind
+        slot = (key * BASE >> self.shift).astype(np.int64)
+        met = self.edge[slot]
+        out = np.where(met == key, self.to[slot], 0)
+        open_ = np.flatnonzero((met != key) & (met != 0))
+        while len(open_):
+            slot[open_] = slot[open_] + 1 & self.last
+            met = self.edge[slot[open_]]
+            hit = met == key[open_]
+            out[open_[hit]] = self.to[slot[open_[hit]]]
+            open_ = open_[~hit & (met != 0)]
+        return out
+
     def edges(self, s: str, end: int) -> list[tuple[int, tuple[int, ...], float]]:
         """(start, ids, score) of the pieces that end at ``end``, the longest first."""
         get, scores = self.pieces.get, self.scores
@@ -224,128 +305,121 @@ class PieceModel:
                     heapq.heappush(heap, (-(best[start] + score + behind), start, tick, behind + score, (piece, path)))
         return found
 
-    def links(self, segments: list[str]) -> list[list[str]]:
-        """Cut segments between neighbouring characters that no piece holds side by side: no edge crosses such a cut."""
-        codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        pairs = codes[:-1] << np.uint64(32) | codes[1:]
-        if not len(pairs):
-            return [[s] for s in segments]
-        apart = self.joined[np.minimum(np.searchsorted(self.joined, pairs), len(self.joined) - 1)] != pairs
-        ends = np.cumsum([len(s) for s in segments])
-        apart[ends[:-1] - 1] = False  # where one segment ends
-        at = np.flatnonzero(apart) + 1
-        which = np.searchsorted(ends, at, side="right")
-        out = [[s] for s in segments]
-        for k, group in itertools.groupby(zip(which.tolist(), at.tolist(), strict=True), key=lambda x: x[0]):
-            s = segments[k]
-            begin = int(ends[k]) - len(s)
-            cuts = [0, *[x - begin for _, x in group], len(s)]
-            out[k] = [s[a:b] for a, b in itertools.pairwise(cuts)]
-        return out
-
-    def texts_of(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
-        """The decoded texts of runs of ids that end at ``ends``."""
-        raw = list(map(self.bytes_of.__getitem__, ids.tolist()))
-        try:
-            text = b"".join(raw).decode()
-        except UnicodeDecodeError:
-            return [b"".join(raw[a:b]).decode("utf-8", "replace") for a, b in itertools.pairwise([0, *ends.tolist()])]
-        upto = np.r_[0, np.cumsum(self.chars[ids])][np.r_[0, ends]].tolist()
-        return [text[a:b] for a, b in itertools.pairwise(upto)]
-
-    def forward_all(self, links: list[str]) -> dict[str, tuple[bytes, float, float]]:
-        """:meth:`forward` of many links, ids as little-endian u32: those of one length together, pieces found by hash."""
-        out: dict[str, tuple[bytes, float, float]] = {}
-        by_length: dict[int, list[str]] = {}
-        for s in links:
-            by_length.setdefault(len(s), []).append(s)
-        for length, group in by_length.items():
-            for k in range(0, len(group), 1 << 16) if length <= self.TOGETHER else ():
-                self._forward_group(group[k : k + (1 << 16)], length, out)
-        for s in links:
-            if s not in out:  # long, or with bytes on its best path
-                ids, best, second = self.forward(s)
-                out[s] = np.array(ids, "<u4").tobytes(), best, second
-        return out
-
-    def _forward_group(self, group: list[str], length: int, out: dict[str, tuple[bytes, float, float]]) -> None:
-        n = len(group)
-        codes = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, length).T.astype(np.uint64)
-        prefix = np.zeros((length + 1, n), np.uint64)
-        for k in range(length):
-            prefix[k + 1] = prefix[k] * BASE + codes[k] + np.uint64(1)
-        best, second = np.zeros((length + 1, n)), np.full((length + 1, n), -math.inf)
-        start_of, id_of = np.zeros((length + 1, n), np.int64), np.zeros((length + 1, n), np.int64)
-        hashes, ids, scores = self.table
-        for end in range(1, length + 1):
-            b1, b2 = np.full(n, -math.inf), np.full(n, -math.inf)
-            for start in range(max(0, end - self.longest), end):
-                h = prefix[end] - prefix[start] * self.powers[end - start]
-                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                known = hashes[at] == h
-                if start < end - 1 and not known.any():
-                    continue
-                score, piece = np.where(known, scores[at], -math.inf), np.where(known, ids[at], -1)
-                if start == end - 1 and not known.all():
-                    for k in np.flatnonzero(~known).tolist():
-                        score[k] = sum([self.scores[self.byte_id[x]] for x in group[k][start].encode()])
-                v = best[start] + score
-                better = v > b1
-                b2 = np.where(better, np.maximum(b1, second[start] + score), np.maximum(b2, v))
-                b1 = np.where(better, v, b1)
-                start_of[end] = np.where(better, start, start_of[end])
-                id_of[end] = np.where(better, piece, id_of[end])
-            best[end], second[end] = b1, b2
-        back, end, every = np.zeros((n, length), "<u4"), np.full(n, length), np.arange(n)
+    def forward_all(self, text: str, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[Runs, np.ndarray, np.ndarray]:
+        """:meth:`forward` of many links, given by place and length in a text and its code points."""
+        n = len(start)
+        best, second, slow = np.zeros(n), np.zeros(n), size > self.TOGETHER
+        few = np.flatnonzero(~slow)
+        few = few[np.argsort(-size[few], kind="stable")]
+        ids, best[few], second[few], plain = self.forward_together(codes, start[few], size[few])
+        slow[few[~plain]] = True  # long, or with bytes on its best path
+        more = []
+        for k in np.flatnonzero(slow).tolist():
+            own, best[k], second[k] = self.forward(text[start[k] : start[k] + size[k]])
+            more.append(own)
+        which = np.zeros(n, np.int64)
+        which[few] = np.arange(len(few))
+        which[slow] = len(few) + np.arange(len(more))
+        sizes = np.fromiter(map(len, more), np.int64, len(more))
+        return ids.plus(Runs(np.fromiter(itertools.chain.from_iterable(more), "<u4"), sizes)).take(which), best, second
+
+    def forward_together(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[Runs, np.ndarray, np.ndarray, np.ndarray]:
+        """Of links that come by falling length: ids, best, second, and whether the ids are pieces of the vocabulary alone.
+
+        Every position hands its sums on along the trie's edges, for all links that have the position. A character
+        that is in no piece is a link by itself, so no walk goes on from the root.
+        """
+        n, longest = len(start), int(size[0]) if len(size) else 0
+        upto = np.searchsorted(-size, -np.arange(1, longest + 1), side="right")  # links with a k-th character
+        kinds = [self.kind[codes[start[:m] + k]] for k, m in enumerate(upto.tolist())]
+        best, second = ([np.full(m, x) for m in (n, *upto.tolist())] for x in (-math.inf, -math.inf))
+        came, id_of = ([np.zeros(m, np.int64) for m in (n, *upto.tolist())] for _ in range(2))
+        best[0][:] = 0
+        for k in range(longest):
+            links, node, d = np.arange(upto[k]), self.step(np.zeros(upto[k], np.int64), kinds[k]), 0
+            while len(links):
+                d += 1
+                ids, scores = self.id_at[node], self.score_at[node]
+                if d == 1:
+                    for j in np.flatnonzero(ids < 0).tolist():
+                        scores[j] = sum([self.scores[self.byte_id[x]] for x in chr(codes[start[j] + k]).encode("utf-8", "surrogatepass")])
+                    at = links
+                else:
+                    hit = ids >= 0
+                    at, ids, scores = links[hit], ids[hit], scores[hit]
+                v, w, b = best[k][at] + scores, second[k][at] + scores, best[k + d][at]
+                better = v > b
+                second[k + d][at] = np.where(better, np.maximum(b, w), np.maximum(second[k + d][at], v))
+                at = at[better]
+                best[k + d][at], came[k + d][at], id_of[k + d][at] = v[better], d, ids[better]
+                if k + d == longest or d == self.longest:
+                    break
+                few = np.searchsorted(links, upto[k + d])
+                links, node = links[:few], node[:few]
+                node = self.step(node, kinds[k + d][links])
+                links, node = links[node > 0], node[node > 0]
+        base = np.cumsum([0, n, *upto.tolist()])
+        best, second, came, id_of = map(np.concatenate, (best, second, came, id_of))
+        back, ends, at, every = np.zeros(size.sum(), "<u4"), np.cumsum(size), size.copy(), np.arange(n)
         count, plain = np.zeros(n, np.int64), np.ones(n, bool)
-        while (live := every[end[every] > 0]).size:
-            piece = id_of[end[live], live]
-            plain[live[piece < 0]] = False
-            count[live] += 1
-            back[live, length - count[live]] = piece.astype("<u4")
-            end[live] = start_of[end[live], live]
-        raw = back.tobytes()
-        for k, (s, c, ok, x, y) in enumerate(zip(group, count.tolist(), plain.tolist(), best[-1].tolist(), second[-1].tolist(), strict=True)):
-            if ok:
-                out[s] = raw[4 * (length * (k + 1) - c) : 4 * length * (k + 1)], x, y
-
-    def learn(self, segments: Iterable[str]) -> None:
-        """Put what is not known of these segments in the cache of two bounded generations."""
-        if len(self.known) >= self.LIMIT:
-            self.known, self.former = {}, self.known
-        known, former = self.known, self.former
-        new = [s for s in dict.fromkeys(segments) if s not in known]
-        known.update([(s, former[s]) for s in new if s in former])
-        new = [s for s in new if s not in known]
-        if not new:
-            return
+        while len(every):
+            here = base[at[every]] + every
+            plain[every[id_of[here] < 0]] = False
+            count[every] += 1
+            back[ends[every] - count[every]] = id_of[here].astype("<u4")
+            at[every] -= came[here]
+            every = every[at[every] > 0]
+        own = Runs(back, size)
+        # A link's ids are the last of its run.
+        skip = np.repeat(size - count, size) <= np.arange(len(back)) - np.repeat(own.at[:-1], size)
+        last = base[size] + np.arange(n)
+        return Runs(back[skip], count), best[last], second[last], plain
+
+    def columns(self, new: list[str]) -> Segments:
+        """What is to be known of these segments."""
         # The model puts the mark before a text and merges nothing over a cut: the ids of a segment are those in its text.
         own = self.sp.encode([s[1:].replace(SPACE, " ") for s in new], num_threads=1)
         own = [ids or list(self.forward(s)[0]) for s, ids in zip(new, own, strict=True)]  # a mark alone is no text
-        flat = np.fromiter(itertools.chain.from_iterable(own), "<u4")
-        ends = np.cumsum([len(ids) for ids in own])
-        sums, raw = np.add.reduceat(self.score_of[flat], np.r_[0, ends[:-1]]).tolist(), flat.tobytes()
-        cut = self.links(new)
-        ways = self.forward_all(list(dict.fromkeys(itertools.chain.from_iterable(cut))))
-        start = 0
-        for s, text, end, score, links in zip(new, self.texts_of(flat, ends), (4 * ends).tolist(), sums, cut, strict=True):
-            text = s if text == s else text  # one string for both
-            if len(links) == 1:
-                best, total, second = ways[s]
-                known[s] = raw[start:end], score, text, best, total, None, total - second
-            else:
-                found = [ways[link] for link in links]
-                losses = sorted([(best - second, k) for k, (_, best, second) in enumerate(found) if second > -math.inf])
-                known[s] = raw[start:end], score, text, b"".join([f[0] for f in found]), sum([f[1] for f in found]), tuple(losses), losses[0][0] if losses else math.inf
-            start = end
+        own = Runs(np.fromiter(itertools.chain.from_iterable(own), "<u4"), np.fromiter(map(len, own), np.int64, len(own)))
+        text = "".join(new)
+        raw, codes = text.encode("utf-8", "surrogatepass"), np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        # Cut into links between neighbouring characters that no piece holds side by side: no edge crosses such a cut.
+        first = np.ones(len(codes), bool)
+        pairs = codes[:-1].astype(np.uint64) << np.uint64(32) | codes[1:]
+        first[1:] = self.joined[np.minimum(np.searchsorted(self.joined, pairs), len(self.joined) - 1)] != pairs
+        begin = np.cumsum([0, *map(len, new)])
+        first[begin[:-1]] = True
+        start = np.flatnonzero(first)
+        size = np.diff(np.r_[start, len(codes)])
+        at = np.searchsorted(start, begin)
+        bytes_at = np.r_[0, np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000), dtype=np.int64)]
+        which = distinct(raw, bytes_at[np.r_[start, len(codes)]]).indices.to_numpy()
+        one = np.zeros(which.max() + 1, np.int64)
+        one[which] = np.arange(len(which))
+        ids, best, second = self.forward_all(text, codes, start[one], size[one])
+        best, loss = best[which], (best - second)[which]
+        ids = ids.take(which)
+        return Segments(
+            new, own, Runs(ids.flat, np.diff(ids.at[at])), Runs(size, np.diff(at)), Runs(loss, np.diff(at)),
+            np.add.reduceat(self.score_of[own.flat], own.at[:-1]), np.add.reduceat(best, at[:-1]), np.minimum.reduceat(loss, at[:-1]),
+        )
+
+    def learn(self, segments: list[str]) -> tuple[Segments, np.ndarray]:
+        """The columns of what is known, and the places of these distinct segments there."""
+        if len(self.known.place) >= self.LIMIT:
+            self.known = self.known.only([s for s in segments if s in self.known.place])
+        new = [s for s in segments if s not in self.known.place]
+        if new:
+            self.known.add(self.columns(new))
+        return self.known, np.fromiter(map(self.known.place.__getitem__, segments), np.int64, len(segments))
 
     def forget(self) -> None:
-        self.known, self.former, self.searched = {}, {}, {}
+        self.known, self.searched = Segments.none(), {}
 
     def alternatives(self, link: str, n: int) -> list[tuple[float, bytes]]:
         key = (link, n)
         if (got := self.searched.get(key)) is None:
-            if len(self.searched) >= self.LIMIT:
+            if len(self.searched) >= self.SEARCHED:
                 self.searched = {}
             got = self.searched[key] = [(score, np.array(ids, "<u4").tobytes()) for score, ids in self.nbest(link, n)]
         return got
@@ -353,31 +427,42 @@ class PieceModel:
     def normalize(self, text: str) -> str:
         return self.sp.normalize(text) if text else ""
 
-    def cuts(self, text: str) -> list[str]:
-        return self.cut.findall(self.normalize(text))
-
-    def best(self, segments: list[str], found: Found, n: int) -> Best:
-        """The n best segmentations of a text, of its segments in order.
+    def cuts(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct segments of some texts; those of all texts in order, as places among them; where each text's begin."""
+        each = [self.normalize(t).encode() for t in texts]
+        ends, raw = np.cumsum([0, *map(len, each)]), b"".join(each)
+        b = np.frombuffer(raw, np.uint8)
+        mark = np.zeros(len(b), bool)
+        mark[:-2] = (b[:-2] == 0xE2) & (b[1:-1] == 0x96) & (b[2:] == 0x81)
+        first = mark.copy()
+        first[3:] &= ~mark[:-3]
+        first[ends[:-1][np.diff(ends) > 0]] = True
+        start = np.flatnonzero(first)
+        found = distinct(raw, np.r_[start, len(b)])
+        return found.dictionary.to_pylist(), found.indices.to_numpy(), np.searchsorted(start, ends)
+
+    def best(self, found: Found, n: int) -> Best:
+        """The n best segmentations of a text.
 
         Only the n - 1 links with the smallest losses of a second choice can take part in the n best sums, so A* runs
         for these alone.
         """
         total, loss = found.total(), found.loss()
-        if n < 2 or not segments:
-            return (found.best_ids(0, len(segments)),), (total,)
+        if n < 2 or not len(found):
+            return (found.best_ids(0, len(found)),), (total,)
         limit = np.partition(loss, min(n - 1, len(loss)) - 1)[min(n - 1, len(loss)) - 1]
         first = np.flatnonzero((loss <= limit) & (loss < math.inf))
         first = first[np.argsort(loss[first], kind="stable")[: n - 1]].tolist()
-        many = sorted([(x, at, k) for at in first for x, k in self.known[segments[at]][5] or ((float(loss[at]), 0),)])[: n - 1]
+        many = sorted([(x, at, k) for at in first for k, x in enumerate(found.losses(at)) if x < math.inf])[: n - 1]
         # (loss, the alternatives taken as (segment, link, which)); the first is the best segmentation of every part.
         ways: list[tuple[float, tuple[tuple[int, int, int], ...]]] = [(0.0, ())]
         places = sorted({at for _, at, _ in many})
-        links = dict(zip(places, self.links([segments[at] for at in places]), strict=True))
+        links = {at: found.links(at) for at in places}
         for _, at, k in many:
             choices = self.alternatives(links[at][k], n)
             ways = sorted([(x + choices[0][0] - score, (*taken, (at, k, j))) for x, taken in ways for j, (score, _) in enumerate(choices)], key=lambda w: w[0])[:n]
         start, around = 0, []
-        for k in [*places, len(segments)]:
+        for k in [*places, len(found)]:
             around.append(found.best_ids(start, k))
             start = k + 1
         out = []
@@ -391,9 +476,7 @@ class PieceModel:
 
     def lattice(self, text: str, n: int) -> Best:
         """The n segmentations of a text with the largest sums of scores."""
-        segments = self.cuts(text)
-        self.learn(segments)
-        return self.best(segments, Batch(self.known, [segments]).of(0), n)
+        return self.best(Batch(self, [text]).of(0), n)
 
     def encode(self, text: str, n: int) -> tuple[bytes, list[float]]:
         """Ids of the lattice's best segmentation of a text, and the scores of its n best."""
@@ -411,18 +494,12 @@ class PieceModel:
             texts = texts[few:]
 
     def results_together(self, texts: list[str], n: int) -> list[tuple[list[bytes], list[float], str]]:
-        gc.disable()  # many small tuples, no cycles
-        try:
-            cut = [self.cuts(t) for t in texts]
-            self.learn(itertools.chain.from_iterable(cut))
-            batch = Batch(self.known, cut)
-            return [self.result(segments, batch.of(k), n) for k, segments in enumerate(cut)]
-        finally:
-            gc.enable()
+        batch = Batch(self, texts)
+        return [self.result(batch.of(k), n) for k in range(len(texts))]
 
-    def result(self, segments: list[str], found: Found, n: int) -> tuple[list[bytes], list[float], str]:
+    def result(self, found: Found, n: int) -> tuple[list[bytes], list[float], str]:
         own = found.own_ids()
-        others = [x for x in zip(*self.best(segments, found, n), strict=True) if x[0] != own][: n - 1] if n > 1 else []
+        others = [x for x in zip(*self.best(found, n), strict=True) if x[0] != own][: n - 1] if n > 1 else []
         return [own, *[ids for ids, _ in others]], [found.score(), *[x for _, x in others]], self.spaced(found.text())
 
     def decode(self, ids: bytes) -> str:
@@ -439,6 +516,11 @@ class PieceModel:
         return self.spaced(self.decode(ids))
 
 
+def distinct(raw: bytes, at: np.ndarray) -> pa.DictionaryArray:
+    """The strings of which each begins in UTF-8 at ``at`` and ends where the next begins, as places among the distinct ones."""
+    return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw)).dictionary_encode()
+
+
 def model(path: str) -> PieceModel:
     if path not in _models:
         _models[path] = PieceModel(path)

@@ -4,10 +4,12 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -337,6 +339,42 @@ def test_pieces_are_the_models(spark):
         assert got[i]["best_score"] == sum(sp.get_score(k) for k in ids)
 
 
+def test_pieces_columns():
+    """What is learnt of many segments at once is what a pass over each alone gives, also for long ones and bytes, whatever they share a batch with."""
+    m = piece_lattice.PieceModel(queries.tokenizer_path("piece_bpe_32k.model"))
+    texts = [*(t or "" for t in ODD), "▁", "▁▁ a▁", "é日x 𝄞.\x00", "the,quick.brown" * 9, "e" * 40, "e" * 41, "ab" * 200]
+    names, codes, ends = m.cuts(texts)
+    for k, t in enumerate(texts):
+        assert [names[c] for c in codes[ends[k] : ends[k + 1]]] == m.cut.findall(m.normalize(t))
+    found = m.columns(names)
+    for k, s in enumerate(names):
+        ids, best, second = m.forward(s)
+        assert tuple(found.best.of(k).tolist()) == ids
+        assert (found.total[k], found.total[k] - found.loss[k]) == (best, second)
+        assert sum(found.chars.of(k)) == len(s) and min(found.losses.of(k)) == found.loss[k]
+    whole = list(m.results(texts, 4))
+    m.LIMIT = 3  # what is known goes between texts
+    assert [r for t in texts for r in m.results([t], 4)] == whole
+    assert list(m.results(texts, 4)) == whole
+
+
+def test_pieces_cpu():
+    """The lattice with its alternatives takes less than 2.7 times the CPU of the model's own encoder (3.5 to 4.1 times when each segment was worked in Python, 1.7 to 2.0 in columns)."""
+    m = piece_lattice.PieceModel(queries.tokenizer_path("piece_bpe_32k.model"))
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()]
+
+    def seconds(work):
+        began = time.process_time()
+        work()
+        return time.process_time() - began
+
+    def ratio():
+        m.forget()
+        return seconds(lambda: list(m.results(texts, 4))) / seconds(lambda: [m.sp.encode(t) for t in texts])
+
+    assert min(ratio() for _ in range(3)) < 2.7
+
+
 def test_pieces_nbest_ids(spark):
     """Ids of every result, and the text that they decode to."""
     path = queries.tokenizer_path("piece_bpe_32k.model")
