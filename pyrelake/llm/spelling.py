@@ -8,7 +8,9 @@ half of the shorter word as it is, that half belongs to the key: a bigram that v
 is split by it, and no group of it is paired whole. What meets is verified by its edit distance; skewed keys are split
 by Spark's join.
 
-The order of bigrams has a row for each pair of letters, at most 90 * 90, and is the only thing that the driver holds.
+The order of bigrams has a row for each pair of letters, at most 90 * 90, and is the only thing that the driver holds:
+all joins are merge joins. Spark would broadcast tables that grow with the words, as it takes a table for as large as its
+compressed file, and what a Python task makes of a word for as large as the word.
 A word's form is its near word of largest n (ties: the first in code-point order) if that n is at least ``factor``
 times its own; forms of forms lead to a root, each step at least ``factor`` times as frequent, so steps are few.
 
@@ -88,7 +90,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     x = keys.filter(F.col("role") != LONGER).select("key", "role", F.col("word").alias("a"))
     y = keys.filter(F.col("role") != SHORTER).select("key", F.col("word").alias("b"))
     near = (F.col("role") == SHORTER) | (F.col("a") < F.col("b"))
-    both = x.join(y, "key").filter(near & (F.levenshtein("a", "b", 1) == 1))
+    both = x.hint("merge").join(y, "key").filter(near & (F.levenshtein("a", "b", 1) == 1))
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -98,21 +100,21 @@ def variants(words: DataFrame, factor: int = FACTOR) -> DataFrame:
         words = scratch.save(words.select("word", "n"))
         pairs = scratch.save(near_pairs(words))
         both = pairs.union(pairs.select("b", "a")).toDF("word", "other")
-        both = both.join(words.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other")
+        both = both.hint("merge").join(words.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other")
         best = F.min(F.struct((-F.col("other_n")).alias("order"), "other"))
         near = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
-        forms = words.join(near, "word", "left").withColumn("frequent", -F.col("best.order") >= factor * F.col("n"))
+        forms = words.hint("merge").join(near, "word", "left").withColumn("frequent", -F.col("best.order") >= factor * F.col("n"))
         forms = forms.select("word", F.when(F.col("frequent"), F.col("best.other")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(F.col("frequent"), -F.col("best.order")).alias("form_n"))
         forms = scratch.save(forms)
         step = forms.filter("form IS NOT NULL").select("word", "form")
         roots = step.withColumnRenamed("form", "root")
         while True:
             further = step.select(F.col("word").alias("root"), F.col("form").alias("next"))
-            moved = scratch.save(roots.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+            moved = scratch.save(roots.hint("merge").join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
             roots = moved.drop("moved")
             if moved.filter("moved").isEmpty():
                 break
-        out = forms.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+        out = forms.hint("merge").join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
         return save(out)
 
 

@@ -256,6 +256,21 @@ def test_spelling_edges(spark):
     assert np.isclose(len(spelling.keys_of("abcdefg", spelling.ranks_of(spark.createDataFrame([("abcdefg", 2)], "word string, n long")))), 24)
 
 
+def test_spelling_broadcasts_nothing(spark, monkeypatch):
+    """Small words make large keys, and small files large tables: no plan may send either through the driver."""
+    plans, save = [], common.save
+
+    def seen(df, *base):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return save(df, *base)
+
+    for module in (common, spelling):
+        monkeypatch.setattr(module, "save", seen)
+    got = spelling.variants(spark.createDataFrame([("letters", 30), ("lettersx", 3), ("lettersxx", 2)], "word string, n long")).collect()
+    assert {r["word"]: r["root"] for r in got} == {"letters": "letters", "lettersx": "letters", "lettersxx": "lettersxx"}
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 5 and not any("Broadcast" in p for p in plans)
+
+
 # Earlier operators
 
 
