@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -74,43 +75,57 @@ def edges(rings: Column) -> Column:
     return F.flatten(F.transform(rings, lambda r: F.zip_with(r, around(r), lambda p, q: F.struct(p.alias("p"), q.alias("q")))))
 
 
-def in_rings(lat: Column, lon: Column, sides: Column) -> Column:
-    """Even-odd over all rings: holes are out, islands in holes and further parts are in."""
+def ring_distances(lat: np.ndarray, lon: np.ndarray, n_sides: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(is_inside, metres) of points to polygons; ``sides`` (px, py, qx, qy) has the ``n_sides`` of each point's polygon one after another.
 
-    def crosses(e: Column) -> Column:
-        p, q = e["p"], e["q"]
-        at = (q["lon"] - p["lon"]) * (lat - p["lat"]) / (q["lat"] - p["lat"]) + p["lon"]
-        return ((p["lat"] > lat) != (q["lat"] > lat)) & (lon < at)
-
-    return F.size(F.filter(sides, crosses)) % 2 == 1
-
-
-def edge_distance(lat: Column, lon: Column, sides: Column) -> Column:
-    """Metres to the nearest edge, on the plane that touches the earth at the point: for short distances."""
-    metres = RADIUS * math.pi / 180
-
-    def one(e: Column) -> Column:
-        x = lambda c: (c["lon"] - lon) * F.cos(F.radians(lat)) * metres
-        y = lambda c: (c["lat"] - lat) * metres
-        dx, dy = x(e["q"]) - x(e["p"]), y(e["q"]) - y(e["p"])
-        along = F.coalesce(-(x(e["p"]) * dx + y(e["p"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
-        return F.sqrt(F.pow(x(e["p"]) + t * dx, 2) + F.pow(y(e["p"]) + t * dy, 2))
-
-    return F.array_min(F.transform(sides, one))
-
-
-def near_polygons(points: DataFrame, areas: DataFrame, near_m: float = 5000.0, size: float = 0.5) -> DataFrame:
-    """(id, area_id, is_inside, distance): points in or within ``near_m`` of areas (area_id, rings); 0 inside."""
+    Even-odd over all rings: holes are out, islands in holes and further parts are in, at distance 0. Others: to the nearest
+    edge, on the plane that touches the earth at the point, for short distances.
+    """
+    starts = np.cumsum(n_sides) - n_sides
+    px, py, qx, qy = sides.T
+    y, x = np.repeat(lat, n_sides), np.repeat(lon, n_sides)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        crosses = ((py > y) != (qy > y)) & (x < (qx - px) * (y - py) / (qy - py) + px)
+        inside = np.add.reduceat(crosses, starts, dtype=np.int64) % 2 == 1
+        far = np.zeros(len(lat))
+        if not inside.all():
+            out = np.repeat(~inside, n_sides)
+            px, py, qx, qy, y, x = (c[out] for c in (px, py, qx, qy, y, x))
+            metres = RADIUS * math.pi / 180
+            wide = np.cos(np.radians(y)) * metres
+            ax, ay, dx, dy = (px - x) * wide, (py - y) * metres, (qx - px) * wide, (qy - py) * metres
+            square = dx * dx + dy * dy
+            t = np.where(square == 0, 0.0, np.clip(-(ax * dx + ay * dy) / square, 0.0, 1.0))
+            n = n_sides[~inside]
+            far[~inside] = np.fmin.reduceat(np.sqrt((ax + t * dx) ** 2 + (ay + t * dy) ** 2), np.cumsum(n) - n)
+    return inside, far
+
+
+def near_polygons(points: DataFrame, areas: DataFrame, near_m: float = 5000.0, size: float = 0.25) -> DataFrame:
+    """(id, area_id, is_inside, distance): points in or within ``near_m`` of areas (area_id, rings); 0 inside.
+
+    A point meets the areas whose box, grown by ``near_m``, holds it; batches of such pairs are measured in columns. The join
+    is a merge join: an area is in many cells with all its edges, which Spark would take for small.
+    """
+    ship(points.sparkSession)
     flat = lambda c: F.transform(F.flatten("rings"), lambda p: p[c])
-    boxed = areas.select("area_id", "rings", *[f(flat(c)).alias(n) for f, c, n in ((F.array_min, "lat", "south"), (F.array_max, "lat", "north"), (F.array_min, "lon", "west"), (F.array_max, "lon", "east"))])
-    cells = covered(boxed, size, near_m / DEGREE / 0.1).select("area_id", "rings", "gy", "gx")
+    sides = F.flatten(F.transform(edges(F.col("rings")), lambda e: F.array(e["p"]["lon"], e["p"]["lat"], e["q"]["lon"], e["q"]["lat"])))
+    boxed = areas.select("area_id", sides.alias("sides"), *[f(flat(c)).alias(n) for f, c, n in ((F.array_min, "lat", "south"), (F.array_max, "lat", "north"), (F.array_min, "lon", "west"), (F.array_max, "lon", "east"))])
+    high = near_m / DEGREE
+    wide = F.lit(high) / F.greatest(F.cos(F.radians(F.greatest(F.abs("south"), F.abs("north")) + high)), F.lit(0.01))
+    grown = boxed.select("area_id", "sides", (F.col("south") - high).alias("south"), (F.col("north") + high).alias("north"), (F.col("west") - wide).alias("west"), (F.col("east") + wide).alias("east"))
     p = points.select("id", "lat", "lon", F.floor((F.col("lat") + 90) / size).cast("long").alias("gy"), F.floor((F.col("lon") + 180) / size).cast("long").alias("gx"))
-    both = p.join(cells, ["gy", "gx"]).withColumn("sides", edges(F.col("rings")))
-    lat, lon = F.col("lat"), F.col("lon")
-    both = both.withColumn("is_inside", in_rings(lat, lon, F.col("sides")))
-    both = both.withColumn("distance", F.when(F.col("is_inside"), 0.0).otherwise(edge_distance(lat, lon, F.col("sides"))))
-    return both.filter(F.col("distance") <= near_m).select("id", "area_id", "is_inside", "distance")
+    both = p.hint("merge").join(covered(grown, size), ["gy", "gx"]).filter(F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east")))
+
+    def measured(batches):
+        for b in batches:
+            n_sides = b.column(4).value_lengths().to_numpy() // 4
+            inside, far = ring_distances(b.column(2).to_numpy(), b.column(3).to_numpy(), n_sides, b.column(4).flatten().to_numpy(zero_copy_only=False).reshape(-1, 4))
+            rows = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(inside), pa.array(far)], ["id", "area_id", "is_inside", "distance"])
+            yield rows.filter(pa.array(far <= near_m))
+
+    kinds = [f"{n} {df.schema[n].dataType.simpleString()}" for df, n in ((points, "id"), (areas, "area_id"))]
+    return both.select("id", "area_id", "lat", "lon", "sides").mapInArrow(measured, f"{', '.join(kinds)}, is_inside boolean, distance double")
 
 
 # Hulls

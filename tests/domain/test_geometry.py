@@ -84,6 +84,20 @@ def test_polygon_distance(spark):
     assert wider[2] == pytest.approx(0.1 * degree, rel=1e-3)
 
 
+def test_polygon_far_north(spark):
+    """4.9 km are more than a degree of longitude there."""
+    areas = spark.createDataFrame([(7, [ring([(0, 88), (1, 88), (1, 88.1), (0, 88.1)])])], f"area_id long, rings array<array<{POINT}>>")
+    points = spark.createDataFrame([(1, 88.05, 1 + lon) for lon in (1.27, 1.4)], "id long, lat double, lon double").selectExpr("monotonically_increasing_id() AS id", "lat", "lon").coalesce(1)
+    rows = geometry.near_polygons(points, areas, 5000.0)
+    assert [r["distance"] for r in rows.collect()] == [pytest.approx(1.27 * math.cos(math.radians(88.05)) * geometry.RADIUS * math.pi / 180, rel=1e-6)]
+
+
+def test_polygons_meet_by_box(spark):
+    """Only pairs within reach of a box are measured, in a join that broadcasts no table of areas by cell."""
+    plan = shapes.near_polygons(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [gy" in plan and "lon#" in plan[(at := plan.index("SortMergeJoin [gy")) : plan.index("\n", at)]
+
+
 def test_extent_modes(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.03), (3, None, None)], "id long, lat double, lon double").selectExpr("*", "timestamp_ntz'2024-01-01' AS start_date", "timestamp_ntz'2024-01-02' AS end_date")
     box = spark.sql("SELECT 'e' AS episode_id, 0.0D AS centre_lat, 0.02D AS centre_lon, -0.01D AS south, 0.01D AS north, 0.01D AS west, 0.03D AS east, timestamp_ntz'2024-01-05' AS start_date, timestamp_ntz'2024-01-06' AS end_date")
