@@ -8,7 +8,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +24,8 @@ AUTHALIC = 6_371_007.2
 FLAT = 1e-12
 #: A circle is drawn with this many corners.
 CORNERS = 32
+#: Points of one key that a task gathers before their hull replaces them.
+GATHERED = 4096
 
 
 # Points and extents
@@ -150,27 +151,49 @@ def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
 def hulls(points: DataFrame, key: str) -> DataFrame:
     """(key, n, corners): hulls of points (key, lon, lat), merged like any aggregate.
 
-    Tasks first replace their points by partial hulls, these are merged in sixteen groups a key, and then a key's groups;
-    no task holds the points of a key, only corners.
+    Of the points of a meridian only the outermost two can be corners. What is left of a key in one partition is replaced by
+    a partial hull, and those are merged; no task holds the points of a key, only corners and ``GATHERED`` points.
     """
     ship(points.sparkSession)
     kind = points.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, n long, corners array<struct<lon: double, lat: double>>"
+    schema = f"{key} {kind}, n long, lons array<double>, lats array<double>"
 
-    def shaped(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(k, n, [{"lon": x, "lat": y} for x, y in hull(p)]) for k, n, p in rows], columns=[key, "n", "corners"])
+    def shaped(batches):
+        """Rows of one key are together, also where a batch ends."""
+        open_key, n, held, room, kept = None, 0, [], GATHERED, None
 
-    def partial(frames):
-        for f in frames:
-            yield shaped([(k, len(g), list(zip(g["lon"], g["lat"], strict=True))) for k, g in f.groupby(key, dropna=False)])
+        def close(out):
+            corners = hull(held)
+            for column, v in zip(out, (open_key, n, [x for x, _ in corners], [y for _, y in corners]), strict=True):
+                column.append(v)
 
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        together = [(c["lon"], c["lat"]) for corners in frame["corners"] for c in corners]
-        return shaped([(frame[key].iloc[0], int(frame["n"].sum()), together)])
-
-    some = points.filter("lon IS NOT NULL AND lat IS NOT NULL").select(key, "lon", "lat").mapInPandas(partial, schema)
-    some = some.withColumn("salt", F.pmod(F.xxhash64("corners"), F.lit(16)))
-    return some.groupBy(key, "salt").applyInPandas(lambda f: merge(f), schema).groupBy(key).applyInPandas(lambda f: merge(f), schema)
+        for b in batches:
+            kept, out = b.schema, ([], [], [], [])
+            ends = np.cumsum(b.column(2).value_lengths().to_numpy()).tolist()
+            lons, lats = (b.column(k).flatten().to_numpy().tolist() for k in (2, 3))
+            start = 0
+            for k, m, end in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), ends, strict=True):
+                if k != open_key and not (k != k and open_key != open_key):
+                    if n:
+                        close(out)
+                    open_key, n, held, room = k, 0, [], GATHERED
+                n += m
+                held += zip(lons[start:end], lats[start:end], strict=True)
+                start = end
+                if len(held) > room:
+                    held = hull(held)
+                    room = max(GATHERED, 2 * len(held))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kept, strict=True)], schema=kept)
+        if n:
+            close(out := ([], [], [], []))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kept, strict=True)], schema=kept)
+
+    ends = points.filter("lon IS NOT NULL AND lat IS NOT NULL").groupBy(key, "lon").agg(F.count(F.lit(1)).alias("n"), F.min("lat").alias("south"), F.max("lat").alias("north"))
+    once = F.col("south") == F.col("north")
+    some = ends.select(key, "n", F.when(once, F.array("lon")).otherwise(F.array("lon", "lon")).alias("lons"), F.when(once, F.array("south")).otherwise(F.array("south", "north")).alias("lats"))
+    some = some.sortWithinPartitions(key).mapInArrow(shaped, schema)
+    whole = some.repartition(key).sortWithinPartitions(key).mapInArrow(shaped, schema)
+    return whole.select(key, "n", F.zip_with("lons", "lats", lambda x, y: F.struct(x.alias("lon"), y.alias("lat"))).alias("corners"))
 
 
 def ring_hectares(ring: Column) -> Column:

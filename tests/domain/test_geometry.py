@@ -44,6 +44,20 @@ def test_perimeters_by_hand(spark):
     assert geometry.perimeters(df.limit(0), "k").collect() == []
 
 
+def test_hulls_of_many_keys(spark):
+    """A circle of more points than a task gathers, beside many small keys; no call of Python for each key."""
+    circle = [(math.cos(k / 3000 * math.tau), math.sin(k / 3000 * math.tau)) for k in range(3000)]
+    rows = [(-1, x * r, y * r) for r in (1.0, 0.5) for x, y in circle] + [(k, float(x), float(x * x)) for k in range(5000) for x in range(4)] + [(None, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "k long, lon double, lat double").repartition(5)
+    out = geometry.hulls(df, "k")
+    got = {r["k"]: (r["n"], {tuple(c) for c in r["corners"]}) for r in out.collect()}
+    assert len(got) == 5002 and got[None] == (1, {(1.0, 2.0)})
+    assert got[-1] == (6000, set(geometry.hull(circle))) and len(got[-1][1]) == 3000
+    assert all(got[k] == (4, {(float(x), float(x * x)) for x in range(4)}) for k in range(5000))
+    plan = out._jdf.queryExecution().toString()
+    assert "InPandas" not in plan and "FlatMapGroups" not in plan
+
+
 def test_projected_area(spark):
     """Within half a percent of the area on the sphere, holes and parts counted by sign."""
     for row in shapes.area_hectares(spark, "/root/testdata/sf0.001").join(shapes.polygons(spark, "/root/testdata/sf0.001"), "area_id").collect():
