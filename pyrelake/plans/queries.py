@@ -162,7 +162,7 @@ query("request_metrics", "SELECT event_type, count(*) AS n, round(avg(value), 4)
     lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.count_if(F.col("event_type") == "error") * 1.0 / F.count(F.lit(1)), 4).alias("error_rate"))
 )
 EPS, WINDOW = 2000.0, 48 * 3600
-timed = lambda s, d: load(s, d, "detections").withColumn("t", spatial.seconds("detected_at")).withColumn("day", F.to_date("detected_at"))
+timed = lambda s, d: load(s, d, "detections").withColumn("t", spatial.exact_seconds("detected_at")).withColumn("day", F.to_date("detected_at"))
 NEAR = f"d AS (SELECT *, epoch(detected_at) AS t FROM detections), pairs AS (SELECT a.id AS a, b.id AS b FROM d a JOIN d b ON a.id < b.id AND abs(a.lat - b.lat) < 0.02 WHERE {distance('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 2000 AND abs(a.t - b.t) <= 172800)"
 query("stdbscan_neighbours", NEAR.join([", ", " SELECT a, b FROM pairs"]), "detections")(lambda s, d: spatial.neighbours(timed(s, d), EPS, WINDOW))
 query("stdbscan_labels", NEAR.join([", ", """, e AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), reach AS (SELECT x.id, min(y.id) AS label FROM d x JOIN (SELECT DISTINCT * FROM walk) w ON w.a = x.id JOIN d y ON y.id = w.b GROUP BY 1)

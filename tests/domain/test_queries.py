@@ -1,6 +1,7 @@
 """Every query with an oracle against DuckDB, the others against brute force; hand fixtures for the rest."""
 
 import math
+import random
 from datetime import datetime
 from itertools import combinations
 from pathlib import Path
@@ -89,6 +90,36 @@ def test_dbscan(spark, least):
     assert {r["id"]: r["label"] for r in spatial.dbscan(df, 2000, least, 172_800).collect()} == dbscan_brute(points, 2000, least, 172_800)
 
 
+@pytest.mark.parametrize("least", [1, 2, 4])
+def test_dbscan_crowded(spark, least, monkeypatch):
+    """Crowded and empty cells, clusters that only inner points link, points in one place, parts, times with fractions, NULL positions; no pairs are written."""
+    rng = random.Random(least)
+    spots = [(-40 + rng.uniform(0, 0.06), -60 + rng.uniform(0, 0.08), rng.uniform(0, 400)) for _ in range(14)]
+    points = [(y + rng.gauss(0, 0.004), x + rng.gauss(0, 0.005), t + rng.gauss(0, 25), rng.randrange(3) // 2) for y, x, t in spots for _ in range(45)] + [(-40.0, -60.0, 5.5, 0)] * 40
+    # two crowds whose outermost points are all too far apart, but a pair of inner ones is not
+    for y, up in ((60.0, 1), (60.0 + 0.0157, -1)):
+        points += [(y + up * dy, 10 + dx, 7.25, 0) for dy, dx in [(0.0035, -0.01), (0.0035, 0.01), (0, -0.004), (0, 0.004), (0.007, 0.0), (0.0001, 0.0)] for _ in range(5)]
+    points += [(y, 20.0, t, 0) for y, t in [(50.0, 0.0)] * 4 + [(50.001, 100.5)] * 4]  # half a second too late
+    points = dict(enumerate(points))
+    df = spark.createDataFrame([(i, *p) for i, p in points.items()] + [(5000, None, 1.0, 1.0, 0), (5001, 1.0, 1.0, None, 0)], "id long, lat double, lon double, t double, part int").repartition(4)
+    sizes, write = [], spatial.written
+
+    def seen(rows):
+        sizes.append((out := write(rows)).count())
+        return out
+
+    monkeypatch.setattr(spatial, "written", seen)
+    got = {r["id"]: r["label"] for r in spatial.dbscan(df, 1500, least, 100, "part").collect()}
+    want = {5000: 5000, 5001: 5001} if least == 1 else {5000: None, 5001: None}
+    for part in (0, 1):
+        want |= dbscan_brute({i: p for i, p in points.items() if p[3] == part}, 1500, least, 100)
+    assert got == want
+    n_pairs = sum(a[3] == b[3] and abs(a[2] - b[2]) <= 100 and metres(a, b) <= 1500 for a, b in combinations(points.values(), 2))
+    assert max(sizes) < n_pairs / 4
+    labels = {i: got[i] for i, p in points.items() if p[1] == 20.0}
+    assert len(set(labels.values())) == 2 and len({i for i, x in got.items() if x == i}) > 3
+
+
 def test_consolidate(spark):
     f = load(spark, "/root/testdata/sf0.001", "fires")
     live = {r["id"]: r for r in f.filter("status = 'active'").collect()}
